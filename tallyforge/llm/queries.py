@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import near_dedup, substring_dedup
+from tallyforge.llm import bpe, near_dedup, substring_dedup
 from tallyforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +23,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_substring_dedup, op7_near_dedup)}
+    return {f.__name__: f for f in (op4_substring_dedup, op7_near_dedup, op9_bpe)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
