@@ -31,9 +31,9 @@ from tallyforge.llm.common import segments
 REMEMBERED = 400_000
 _NONE = np.iinfo(np.int64).max
 _BITS = 20  # of a symbol's number in a pair key
-_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+_SPACE = regex.compile("[" + "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
 #: str.split() takes these for white space, the vocabulary's pattern does not.
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
+_SEPARATORS = regex.compile("[" + "".join(map(chr, range(0x1C, 0x20))) + "]")
 
 
 def byte_symbols() -> list[str]:
