@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, near_dedup, substring_dedup, toxicity
-from tallyforge.llm.common import table
+from tallyforge.llm import bpe, mixing, near_dedup, substring_dedup, toxicity
+from tallyforge.llm.common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.describe(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens")
+    mixed = mixing.mix(cut(docs, "described"))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
 
@@ -32,12 +38,39 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op4_substring_dedup, op7_near_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op4_substring_dedup, op7_near_dedup, op9_bpe)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TOPIC = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{x}')" for x in parts) + f" THEN '{name}'" for name, parts in mixing.TOPICS) + " ELSE 'prose' END"
+_GOAL = "(SELECT {0}, pow(sum(tokens), 0.7) / sum(pow(sum(tokens), 0.7)) OVER () AS goal_{0} FROM cell GROUP BY {0})"
+
+_OP1 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {_TOPIC} AS topic,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS BIGINT) AS n_tokens FROM documents),
+every AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
+cell AS (SELECT * FROM every WHERE tokens > 0),
+goals AS (SELECT * FROM cell JOIN {_GOAL.format("source")} USING (source) JOIN {_GOAL.format("lang")} USING (lang) JOIN {_GOAL.format("topic")} USING (topic)),
+ipf AS (
+  SELECT 0 AS i, source, lang, topic, tokens, goal_source, goal_lang, goal_topic, tokens / sum(tokens) OVER () AS w FROM goals
+  UNION ALL
+  SELECT i + 1, source, lang, topic, tokens, goal_source, goal_lang, goal_topic, w * goal_topic / sum(w) OVER (PARTITION BY topic) FROM (
+    SELECT * REPLACE (w * goal_lang / sum(w) OVER (PARTITION BY lang) AS w) FROM (
+      SELECT * REPLACE (w * goal_source / sum(w) OVER (PARTITION BY source) AS w) FROM ipf WHERE i < {mixing.ROUNDS}))),
+raked AS (SELECT source, lang, topic, tokens, w / sum(w) OVER () * sum(tokens) OVER () / tokens AS r FROM ipf WHERE i = {mixing.ROUNDS}),
+ranked AS (
+  SELECT *, 0.8 * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY r DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS budget,
+    sum(tokens * r) OVER (ORDER BY r DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mass FROM raked),
+scale AS (SELECT arg_max(budget / mass, r) FILTER (budget / mass * r < 1) AS scale FROM ranked),
+chance AS (SELECT source, lang, topic, r, least(1.0, r * scale) AS p FROM raked, scale)
+SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(coalesce(r, 1.0), 6) AS weight, round(coalesce(p, 1.0), 6) AS probability,
+  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0 < coalesce(p, 1.0) AS sampled
+FROM d LEFT JOIN chance c ON d.source = c.source AND d.lang = c.lang AND d.topic = c.topic
+"""
+
 _OP4 = rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS words FROM documents),
 win AS (SELECT doc_id, words, unnest(generate_series(1, len(words) - 19)) AS s FROM w),
@@ -75,4 +108,4 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, component_id, n.doc_id = com
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": _OP4, "op7_near_dedup": _OP7}
+    return {"op1_mix_sources": _OP1, "op4_substring_dedup": _OP4, "op7_near_dedup": _OP7}
