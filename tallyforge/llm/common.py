@@ -58,27 +58,32 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def range_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, name: str = "chunk", most: int = 4096) -> tuple[DataFrame, list[float]]:
+def range_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, name: str = "chunk", grid: int = 4096) -> tuple[DataFrame, list[float]]:
     """Number ``docs`` by ranges of ``id_col``: a smaller chunk holds smaller ids, and equal ids share a chunk.
 
-    The ranges come from approximate quantiles over all ids (one pass, ``most``
-    numbers on the driver at most) and hold about ``chunk_bytes`` of text each.
-    Null ids go to the first chunk.  Returns the frame and the inner bounds.
+    The ranges come from approximate quantiles over all ids and hold about
+    ``chunk_bytes`` of text each.  One pass gives the size of all texts and ``grid``
+    quantiles; only where more chunks are needed, a second one over the ids alone gives
+    as many as that.  The driver holds one number a chunk.  Null ids go to the first
+    chunk.  Returns the frame and the inner bounds.
     """
-    grid = [i / most for i in range(1, most)]
-    found = docs.agg(
-        F.sum(F.octet_length(text_col)).alias("size"),
-        F.percentile_approx(F.col(id_col).cast("double"), grid, 8 * most).alias("at"),
-    ).first()
-    n = min(most, math.ceil((found["size"] or 0) / chunk_bytes)) or 1
+    number = F.col(id_col).cast("double")
+
+    def quantiles(n: int):
+        return F.percentile_approx(number, [i / n for i in range(1, n)], min(8 * n, 1 << 30))
+
+    found = docs.agg(F.sum(F.octet_length(text_col)).alias("size"), quantiles(grid).alias("at")).first()
+    n = math.ceil((found["size"] or 0) / chunk_bytes) or 1
     at = found["at"] or []
-    bounds = sorted({at[most * i // n - 1] for i in range(1, n)}) if at else []
+    if n > grid:
+        at, grid = docs.agg(quantiles(n)).first()[0], n
+    bounds = sorted({at[grid * i // n - 1] for i in range(1, n)}) if at else []
     splits = [-math.inf, *bounds, math.inf]
     if len(splits) == 2:
         return docs.withColumn(name, F.lit(0)), []
     key = f"{name}_of"
     cutter = Bucketizer(splits=splits, inputCol=key, outputCol=name, handleInvalid="keep")
-    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("double"), F.lit(-math.inf)))
+    keyed = docs.withColumn(key, F.coalesce(number, F.lit(-math.inf)))
     return cutter.transform(keyed).withColumn(name, F.col(name).cast("int")).drop(key), bounds
 
 

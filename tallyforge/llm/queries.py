@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, mixing, near_dedup, substring_dedup, toxicity
+from tallyforge.llm import bpe, mixing, near_dedup, substring_dedup, toxicity, winnowing
 from tallyforge.llm.common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,8 +37,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op4_substring_dedup, op7_near_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op4_substring_dedup, op7_near_dedup, op9_bpe, op10_fingerprints)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
