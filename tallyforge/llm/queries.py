@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, mixing, near_dedup, substring_dedup, toxicity, winnowing
+from tallyforge.llm import bpe, mixing, near_dedup, substring_dedup, toxicity, warc, winnowing
 from tallyforge.llm.common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(docs, window=20).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -42,7 +46,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op4_substring_dedup, op7_near_dedup, op9_bpe, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op4_substring_dedup, op6_warc, op7_near_dedup, op9_bpe, op10_fingerprints)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -111,5 +115,20 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, component_id, n.doc_id = com
 """
 
 
+_OP6 = """
+WITH p AS (SELECT page_id, sha1(encode(coalesce(html, ''))) AS hex, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+h AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS head FROM p),
+bits AS (SELECT DISTINCT hex, list_transform(range(0, 40), lambda i: CAST('0x' || hex[i + 1] AS INTEGER)) AS x FROM h),
+five AS (
+  SELECT hex, array_to_string(list_transform(range(0, 32), lambda i:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(1 + list_sum(list_transform(range(0, 5), lambda k:
+      ((x[((5 * i + k) // 4) + 1] >> (3 - (5 * i + k) % 4)) & 1) << (4 - k))) AS BIGINT)]), '') AS b32 FROM bits)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, b32 AS payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> head THEN head END AS refers_to
+FROM h JOIN five USING (hex)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _OP1, "op4_substring_dedup": _OP4, "op7_near_dedup": _OP7}
+    return {"op1_mix_sources": _OP1, "op4_substring_dedup": _OP4, "op6_warc": _OP6, "op7_near_dedup": _OP7}
