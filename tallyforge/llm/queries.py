@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, mixing, near_dedup, substring_dedup, toxicity, warc, winnowing
+from tallyforge.llm import bpe, mixing, near_dedup, substring_dedup, toxicity, url_filter, warc, winnowing
 from tallyforge.llm.common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeated(docs, window=20).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -46,7 +50,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op4_substring_dedup, op6_warc, op7_near_dedup, op9_bpe, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_url_filter, op4_substring_dedup, op6_warc, op7_near_dedup, op9_bpe, op10_fingerprints)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -79,6 +83,44 @@ SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(coalesce(r, 1.0),
 FROM d LEFT JOIN chance c ON d.source = c.source AND d.lang = c.lang AND d.topic = c.topic
 """
 
+_RULES = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
+_FITS = ["(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')".format(h, p) for _, h, p in _RULES]
+_BY_RULE = "CASE " + " ".join(f"WHEN {fits} THEN '{v}'" for fits, (v, _, _) in zip(_FITS, _RULES, strict=True)) + " END"
+_RULE = "CASE " + " ".join(f"WHEN {fits} THEN '{h}{p}'" for fits, (_, h, p) in zip(_FITS, _RULES, strict=True)) + " END"
+_M = url_filter.SMOOTHING
+_LEVEL = """
+l{k} AS (SELECT g.gram, (g.a + {m} * s.pa) / (c.a + {m}) AS pa, (g.b + {m} * s.pb) / (c.b + {m}) AS pb
+  FROM gram g JOIN l{j} s ON s.gram = g.gram[2:] JOIN context c ON c.gram = g.gram[:-2] WHERE length(g.gram) = {k} + 1),"""
+_RATIO = "coalesce(r{k}.ratio, coalesce(c{k}.fall, 0) + {rest})"
+
+
+def _ratio(k: int) -> str:
+    return "coalesce(r0.ratio, unseen)" if k == 0 else _RATIO.format(k=k, rest=_ratio(k - 1))
+
+
+_OP3 = rf"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS id FROM pages),
+j AS (SELECT *, {_RULE} AS rule, {_BY_RULE} AS by_rule, md5(coalesce(CAST(page_id AS VARCHAR), ''))[1] < '8' AS fold, chr(2) || url || chr(3) AS s FROM p),
+pos AS (SELECT id, by_rule, fold, s, unnest(range(2, length(s) + 1)) AS i FROM j),
+run AS (SELECT by_rule, unnest(list_transform(range(0, least(i, 5)), lambda k: s[i - k:i])) AS gram FROM pos WHERE by_rule IS NOT NULL AND fold),
+counted AS (SELECT gram, CAST(count(*) FILTER (by_rule = 'allow') AS DOUBLE) AS a, CAST(count(*) FILTER (by_rule = 'block') AS DOUBLE) AS b FROM run GROUP BY gram),
+powers AS (SELECT floor(log2(a + b)) AS power, sum(count(*)) OVER (ORDER BY floor(log2(a + b)) DESC) AS n FROM counted GROUP BY 1),
+gram AS (SELECT * FROM counted WHERE a + b >= (SELECT pow(2, coalesce(max(power) + 1, 0)) FROM powers WHERE n > {url_filter.MOST_GRAMS})),
+n AS (SELECT sum(a) AS na, sum(b) AS nb, ln(nb + {_M}) - ln(na + {_M}) AS unseen FROM gram WHERE length(gram) = 1),
+context AS (SELECT gram[:-2] AS gram, sum(a) AS a, sum(b) AS b, ln(sum(b) + {_M}) - ln(sum(a) + {_M}) AS fall FROM gram WHERE length(gram) > 1 GROUP BY 1),
+l0 AS (SELECT gram, (a + {_M} / {url_filter.CHARACTERS}) / (na + {_M}) AS pa, (b + {_M} / {url_filter.CHARACTERS}) / (nb + {_M}) AS pb FROM gram, n WHERE length(gram) = 1),
+{"".join(_LEVEL.format(k=k, j=k - 1, m=_M) for k in range(1, 5))}
+ratio AS (SELECT gram, ln(pa) - ln(pb) AS ratio FROM ({" UNION ALL ".join(f"FROM l{k}" for k in range(5))})),
+scored AS (SELECT id, avg({_ratio(4)}) AS score FROM (SELECT *, {", ".join(f"CASE WHEN i > {k} THEN s[i - {k}:i] END AS g{k}" for k in range(5))} FROM pos) CROSS JOIN n
+  {" ".join(f"LEFT JOIN ratio r{k} ON r{k}.gram = g{k}" for k in range(5))} {" ".join(f"LEFT JOIN context c{k} ON c{k}.gram = g{k}[:-2]" for k in range(1, 5))} GROUP BY id),
+c AS (SELECT count(*) FILTER (by_rule = 'allow') AS na, count(*) FILTER (by_rule = 'block') AS nb, avg(score) FILTER (by_rule = 'allow') AS ma, avg(score) FILTER (by_rule = 'block') AS mb,
+    var_pop(score) FILTER (by_rule = 'allow') AS va, var_pop(score) FILTER (by_rule = 'block') AS vb FROM j JOIN scored USING (id) WHERE by_rule IS NOT NULL AND NOT fold)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN (ma - mb) / greatest((na * va + nb * vb) / (na + nb), 1e-9) * (score - (ma + mb) / 2) < 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM j JOIN scored USING (id), c
+"""
+
 _OP4 = rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS words FROM documents),
 win AS (SELECT doc_id, words, unnest(generate_series(1, len(words) - 19)) AS s FROM w),
@@ -131,4 +173,4 @@ FROM h JOIN five USING (hex)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _OP1, "op4_substring_dedup": _OP4, "op6_warc": _OP6, "op7_near_dedup": _OP7}
+    return {"op1_mix_sources": _OP1, "op3_url_filter": _OP3, "op4_substring_dedup": _OP4, "op6_warc": _OP6, "op7_near_dedup": _OP7}
