@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, mixing, near_dedup, substring_dedup, toxicity, url_filter, warc, winnowing
+from tallyforge.llm import bpe, licenses, mixing, near_dedup, substring_dedup, toxicity, url_filter, warc, winnowing
 from tallyforge.llm.common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,7 +54,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_url_filter, op4_substring_dedup, op6_warc, op7_near_dedup, op9_bpe, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_url_filter, op4_substring_dedup, op6_warc, op7_near_dedup, op8_licenses, op9_bpe, op10_fingerprints)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
