@@ -134,17 +134,18 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
 
     ``targets`` names the weights of the values of a dimension; a dimension that it leaves out
     has tempered targets (``power``).  ``weight`` is the raked share of a cell's tokens over
-    their present share.  Null values of a dimension count as the value "".  Rows of one id
+    their present share.  Null values of a dimension count as the value "" and stay null.  Rows of one id
     are kept or left together; a null id is an id of its own.  Documents without tokens share
     their cell's probability.  Columns with the names of the three new ones are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("weight", "probability", "sampled").withColumns({d: F.coalesce(F.col(d), F.lit("")) for d in dimensions})
-    cells = cut(docs.groupBy(*dimensions).agg(F.sum(F.coalesce("n_tokens", F.lit(0))).cast("double").alias("tokens")), "cells")
+    docs = docs.drop("weight", "probability", "sampled")
+    cells = cut(docs.groupBy(*(F.coalesce(d, F.lit("")).alias(d) for d in dimensions)).agg(F.sum(F.coalesce("n_tokens", F.lit(0))).cast("double").alias("tokens")), "cells")
     given = {d: spark.createDataFrame(list(t.items()), "value string, target double") for d, t in (targets or {}).items()}
     goals = {d: given[d] if d in given else tempered(cells, d, power) for d in dimensions}
     chances = cut(calibrate(cut(rake(cells, goals), "raked"), keep), "chances")
     total, rows = chances.agg(F.sum("tokens"), F.count("*")).first()
     weight = F.when(F.col("tokens") > 0, F.col("share") * (total or 0.0) / F.col("tokens")).otherwise(1.0)
-    chances = _small(chances.select(*dimensions, weight.alias("weight"), "probability"), rows)
-    return docs.join(chances, list(dimensions)).withColumn("sampled", drawn(id_col, seed) < F.col("probability"))
+    chances = _small(chances.select(*(F.col(d).alias(f"cell_{d}") for d in dimensions), weight.alias("weight"), "probability"), rows)
+    of_cell = [F.coalesce(docs[d], F.lit("")) == F.col(f"cell_{d}") for d in dimensions]
+    return docs.join(chances, of_cell).drop(*(f"cell_{d}" for d in dimensions)).withColumn("sampled", drawn(id_col, seed) < F.col("probability"))
