@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, licenses, mixing, near_dedup, substring_dedup, toxicity, url_filter, warc, winnowing
+from tallyforge.llm import bpe, licenses, mixing, near_dedup, search, substring_dedup, toxicity, url_filter, warc, winnowing
 from tallyforge.llm.common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(docs, window=20).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents like each one whose id is divisible by 20, by its 16 most telling words that another document has too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.search(search.build(docs), docs.where("doc_id % 20 = 0"), k=10, query_terms=16, least_docs=2)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -54,7 +60,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_url_filter, op4_substring_dedup, op6_warc, op7_near_dedup, op8_licenses, op9_bpe, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_url_filter, op4_substring_dedup, op5_search, op6_warc, op7_near_dedup, op8_licenses, op9_bpe, op10_fingerprints)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
