@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tallyforge.llm.common import segments
 
 #: Remembered words of a task; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _NONE = np.iinfo(np.int64).max
 _BITS = 20  # of a symbol's number in a pair key
 _SPACE = regex.compile("[" + "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
@@ -56,6 +56,7 @@ class Vocabulary:
         self.strings = {i: s for s, i in model["vocab"].items()}
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings |= {i: s for s, i in self.added.items()}
+        self.decimals = [str(i) for i in range(max(self.strings) + 1)]
         known, end = model["vocab"], model["end_of_word_suffix"]
         self.inner = np.array([known[s] for s in byte_symbols()], np.int64)
         self.last = np.array([known[s + end] for s in byte_symbols()], np.int64)
@@ -70,9 +71,19 @@ class Vocabulary:
         """The words of a piece of text without added tokens, as the pattern finds them."""
         if not piece.isascii():
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # lower() alone minds a sigma's place
-        return self.pattern.findall(piece.lower())
-
-    def merge(self, words: list[str]) -> list[list[int]]:
+        piece = piece.lower()
+        if piece.isalpha():
+            return [piece]
+        if piece[-1] in ".,!?;:" and piece[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.pattern.findall(piece)
+
+    def _ranks(self, key: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of pair keys (none where they are not of the ``same`` word), and where they stand."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & same, self.ranks[at], _NONE), at
+
+    def merge(self, words: list[str]) -> list[tuple[int, ...]]:
         """Symbols of each word, after all merges."""
         raw = [w.encode() for w in words]
         size = np.array([len(b) for b in raw], np.int64)
@@ -81,37 +92,41 @@ class Vocabulary:
         ends = np.cumsum(size)
         symbols[ends - 1] = self.last[data[ends - 1]]
         word = np.repeat(np.arange(len(raw)), size)
+        rank, at = np.full(len(word), _NONE), np.zeros(len(word), np.int64)  # of the pair of a symbol and the next
+        rank[:-1], at[:-1] = self._ranks(symbols[:-1] << _BITS | symbols[1:], word[:-1] == word[1:])
         done_symbols, done_word = [], []
         while len(symbols):
-            key = symbols[:-1] << _BITS | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.append(np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.ranks[at], _NONE), _NONE)
             starts = np.flatnonzero(np.diff(word, prepend=-1))
             lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(word))))
             open_ = lowest != _NONE
             if not open_.all():
                 done_symbols.append(symbols[~open_])
                 done_word.append(word[~open_])
-                at = np.append(at, 0)[open_]
-                symbols, word, rank, lowest = symbols[open_], word[open_], rank[open_], lowest[open_]
+                symbols, word, rank, at, lowest = symbols[open_], word[open_], rank[open_], at[open_], lowest[open_]
             hit = np.flatnonzero(rank == lowest)
-            if len(hit) > 1:  # of overlapping places, as in a run of one symbol, every other one
-                run = np.cumsum(np.append(True, np.diff(hit) != 1))
-                first = np.flatnonzero(np.diff(run, prepend=0))
-                hit = hit[(np.arange(len(hit)) - first[run - 1]) % 2 == 0]
+            if not len(hit):
+                break
+            run = np.cumsum(np.append(True, np.diff(hit) != 1))  # of overlapping places, as in a run of one symbol, every other one
+            first = np.flatnonzero(np.diff(run, prepend=0))
+            hit = hit[(np.arange(len(hit)) - first[run - 1]) % 2 == 0]
             symbols[hit] = self.merged[at[hit]]
             stay = np.ones(len(symbols), bool)
             stay[hit + 1] = False
-            symbols, word = symbols[stay], word[stay]
+            symbols, word, rank, at = symbols[stay], word[stay], rank[stay], at[stay]
+            hit -= np.arange(len(hit))
+            near = np.concatenate([hit, hit[hit > 0] - 1])
+            after = np.minimum(near + 1, len(symbols) - 1)
+            rank[near], at[near] = self._ranks(symbols[near] << _BITS | symbols[after], (word[near] == word[after]) & (near != after))
         if not done_word:
-            return [[] for _ in words]
+            return [() for _ in words]
         word, symbols = np.concatenate(done_word), np.concatenate(done_symbols)
         order = np.argsort(word, kind="stable")
-        edges = np.searchsorted(word[order], np.arange(1, len(raw)))
-        return [x.tolist() for x in np.split(symbols[order], edges)]
+        flat = symbols[order].tolist()
+        edges = np.searchsorted(word[order], np.arange(len(raw) + 1)).tolist()
+        return [tuple(flat[i:j]) for i, j in zip(edges, edges[1:])]  # tuples of numbers leave the garbage collector's lists
 
     def decode(self, ids: Iterable[int]) -> str:
-        return " ".join([self.strings[i] for i in ids])
+        return " ".join(map(self.strings.__getitem__, ids))
 
 
 class Encoder:
@@ -119,37 +134,43 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED) -> None:
         self.vocabulary, self.remembered = vocabulary, remembered
-        self.ids: dict[str, list[int]] = {}
+        self.ids: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids.clear()
+        self.words.clear()
+        self.words |= {x: (i,) for x, i in self.vocabulary.added.items()}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         return [x for x in _SPACE.split(text) if x] if _SEPARATORS.search(text) else text.split()
 
-    def learn(self, pieces: Iterable[str]) -> set[str]:
-        """Encode the pieces that are not yet known; returns them."""
+    def _parts(self, piece: str) -> list[str]:
+        """The words and added tokens of a piece; the pattern makes no word that looks like an added token."""
         v = self.vocabulary
-        new = set(pieces) - self.ids.keys()
-        plan: list[tuple[str, list[str | int]]] = []
-        for piece in new:
-            parts: list[str | int] = []
-            for x in v.split_added.split(piece) if v.split_added and "<" in piece else [piece]:
-                if x in v.added:
-                    parts.append(v.added[x])
-                elif x:
-                    parts += v.words_of(x)
-            plan.append((piece, parts))
-        words = list({x for _, parts in plan for x in parts if isinstance(x, str)})
-        of = dict(zip(words, v.merge(words), strict=True))
-        for piece, parts in plan:
-            self.ids[piece] = [i for x in parts for i in (of[x] if isinstance(x, str) else [x])]
+        if "<" not in piece or not v.split_added:
+            return v.words_of(piece)
+        return [w for x in v.split_added.split(piece) if x for w in ([x] if x in v.added else v.words_of(x))]
+
+    def learn(self, split: list[list[str]]) -> set[str]:
+        """Encode the pieces that are not yet known; returns them."""
+        new = set().union(*split) - self.ids.keys()
+        plan = [self._parts(x) for x in new]
+        known = self.words
+        unknown = list({w for words in plan for w in words if w not in known})
+        known.update(zip(unknown, self.vocabulary.merge(unknown), strict=True))
+        for piece, words in zip(new, plan, strict=True):
+            self.ids[piece] = known[words[0]] if len(words) == 1 else tuple([i for w in words for i in known[w]])
         return new
 
     def texts(self, texts: list[str | None]) -> list[list[str]]:
         """The pieces of each text, all of them known afterwards."""
         if len(self.ids) > self.remembered:
-            self.ids.clear()
+            self._forget()
         split = [self.pieces(x) if x else [] for x in texts]
-        self.learned = self.learn(x for pieces in split for x in pieces)
+        self.learned = self.learn(split)
         return split
 
 
@@ -221,7 +242,6 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(file.value)
         encoder = Encoder(v)
-        count: dict[str, int] = {}
         shown: dict[str, str] = {}
         decoded: dict[str, str] = {}
         for batch in batches:
@@ -229,18 +249,17 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             for i, j in segments(texts, 4 << 20):
                 n, ids_sha, text_sha = [], [], []
                 split = encoder.texts(texts[i:j].to_pylist())
-                for known in (count, shown, decoded) if len(count) + len(encoder.learned) != len(encoder.ids) else ():
-                    known.clear()
+                if len(shown) + len(encoder.learned) != len(encoder.ids):  # it has begun anew
+                    shown.clear()
+                    decoded.clear()
                 for piece in encoder.learned:
                     ids = encoder.ids[piece]
-                    count[piece], shown[piece], decoded[piece] = len(ids), " ".join(map(str, ids)), v.decode(ids)
+                    shown[piece], decoded[piece] = " ".join(map(v.decimals.__getitem__, ids)), v.decode(ids)
                 for pieces in split:
-                    counts = [count[x] for x in pieces]
-                    if not all(counts):
-                        pieces = [x for x in pieces if count[x]]
-                    n.append(sum(counts))
-                    ids_sha.append(hashlib.sha256(" ".join([shown[x] for x in pieces]).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(" ".join([decoded[x] for x in pieces]).encode()).hexdigest())
+                    ids = " ".join(map(shown.__getitem__, pieces))
+                    n.append(ids.count(" ") + 1 if pieces else 0)
+                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(" ".join(map(decoded.__getitem__, pieces)).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = T.StructType([docs.schema[id_col], *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
