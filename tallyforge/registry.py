@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tallyforge.operators import reads, spending, store, trends  # noqa: F401  they register their queries
+from tallyforge.plans.catalog import ORACLE, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return line.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"monthly_spending": _monthly}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"monthly_spending": "SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n FROM lineitem GROUP BY 1"}
+    return dict(ORACLE)
