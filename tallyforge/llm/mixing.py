@@ -89,7 +89,7 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
         new = None
         for d in names:
             now = weighed({x: f for x, f in by.items() if x != d}).groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("now"))
-            one = goal.where(F.col("dimension") == d).join(now, "value").where("now > 0").select("dimension", "value", (F.col("target") / whole[d] / F.col("now")).alias("factor"))
+            one = goal.where(F.col("dimension") == d).join(now, "value").where("now > 0").select("dimension", "value", (F.col("target") / whole.get(d, 1.0) / F.col("now")).alias("factor"))
             by[d] = factor(one, d)
             new = one if new is None else new.unionByName(one)
         new = cut(new, "factors")
@@ -141,7 +141,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     spark = docs.sparkSession
     docs = docs.drop("weight", "probability", "sampled")
     cells = cut(docs.groupBy(*(F.coalesce(d, F.lit("")).alias(d) for d in dimensions)).agg(F.sum(F.coalesce("n_tokens", F.lit(0))).cast("double").alias("tokens")), "cells")
-    given = {d: spark.createDataFrame(list(t.items()), "value string, target double") for d, t in (targets or {}).items()}
+    given = {d: spark.createDataFrame([(v, float(x)) for v, x in t.items()], "value string, target double") for d, t in (targets or {}).items()}
     goals = {d: given[d] if d in given else tempered(cells, d, power) for d in dimensions}
     chances = cut(calibrate(cut(rake(cells, goals), "raked"), keep), "chances")
     total, rows = chances.agg(F.sum("tokens"), F.count("*")).first()
