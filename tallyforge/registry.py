@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.operators import reads, spending, store, trends  # noqa: F401  they register their queries
+from tallyforge.operators import merchants, reads, spending, store, trends  # noqa: F401  they register their queries
 from tallyforge.plans.catalog import ORACLE, QUERIES, Query
 
 
