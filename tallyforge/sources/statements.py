@@ -75,19 +75,24 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Transactions of delimited lines, and a row on each file's success.
+    """Transactions of delimited lines, and a row on each file's success.  A file's first line tells its delimiter."""
+    header = lines.groupBy("file").agg(F.min_by("line", "place").alias("header"))
+    marks = header.select("file", delimiter(F.col("header")).alias("delimiter"))  # one row a file
+    return read_cells(lines.join(marks, "file").select("file", "place", cells(F.col("line"), F.col("delimiter")).alias("cells")))
 
-    A file's first line is its header.  Rows without a date or an amount are left out; the rest of the
-    fields may be missing.  The one row a file of headers is joined to its lines.
+
+def read_cells(rows: DataFrame, headers: Mapping[str, Sequence[str]] = HEADERS) -> tuple[DataFrame, DataFrame]:
+    """Transactions of rows of ``cells``, and a row on each file's success.
+
+    A file's first row is its header.  Rows without a date or an amount are left out; the rest of the
+    fields may be missing.  The one row a file of headers is joined to its rows.
     """
-    header = lines.groupBy("file").agg(F.min("place").alias("first"), F.min_by("line", "place").alias("header"))
-    header = header.withColumn("delimiter", delimiter(F.col("header"))).withColumn("names", cells(F.col("header"), F.col("delimiter")))
-    header = header.withColumns({f"at_{f}": column_of(F.col("names"), n) for f, n in HEADERS.items()})
+    header = rows.groupBy("file").agg(F.min("place").alias("first"), F.min_by("cells", "place").alias("names"))
+    header = header.withColumns({f"at_{f}": column_of(F.col("names"), n) for f, n in headers.items()})
     problem = F.when(F.col("at_date").isNull(), "Could not find date column in CSV").when(F.col("at_amount").isNull(), "Could not find amount column in CSV")
-    rows = lines.join(header.where("at_date IS NOT NULL AND at_amount IS NOT NULL"), "file").where(F.col("place") > F.col("first"))
-    rows = rows.withColumn("cells", cells(F.col("line"), F.col("delimiter")))
-    cell = lambda f: F.nullif(F.get("cells", F.col(f"at_{f}").cast("int") - 1), F.lit(""))
-    transactions = rows.select(
+    body = rows.join(header.where("at_date IS NOT NULL AND at_amount IS NOT NULL"), "file").where(F.col("place") > F.col("first"))
+    cell = lambda f: F.nullif(F.get("cells", F.col(f"at_{f}").cast("int") - 1), F.lit("")) if f in headers else F.lit(None).cast("string")
+    transactions = body.select(
         "file", "place",
         parse_date(cell("date")).alias("booking_date"),
         parse_date(cell("value_date")).alias("value_date"),
