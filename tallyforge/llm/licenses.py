@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 from tallyforge.llm.common import LOWER_ALNUM, Words, segments, words
 
+#: Words of the lower-cased text, as a pattern.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed values: (label, phrase).
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 #: Fixed values: (label, template).
@@ -39,7 +41,7 @@ TEMPLATES = (
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License <<beginOptional>>v<<endOptional>> 2 0"),
 )
 
-_MARK = re.compile(r"<<\s*(beginOptional|endOptional|var(?:;[^<>]*)?)\s*>>")
+MARK = re.compile(r"<<\s*(beginOptional|endOptional|var(?:;[^<>]*)?)\s*>>")
 _UNLIMITED_VAR = 50  # words of a replaceable region that names no maximum
 
 
@@ -100,7 +102,7 @@ class Automaton:
 
 def compile_template(label: str, markup: str) -> Automaton:
     """The automaton of a template, which has to begin with two mandatory words at least, after optional ones if any."""
-    parts = _MARK.split(markup)
+    parts = MARK.split(markup)
     lead, depth, anchored = [], 0, False
     for i, part in enumerate(parts):  # the first run of mandatory words outside of all regions
         if i % 2:

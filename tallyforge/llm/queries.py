@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -182,5 +183,47 @@ FROM h JOIN five USING (hex)
 """
 
 
+_LICENSE_WORD = licenses.WORD
+
+
+def _template_sql(markup: str) -> tuple[list[str], str]:
+    """A template's first mandatory words, and a pattern for its words with a space after each."""
+    out, lead, depth = "", [], 0
+    for i, part in enumerate(licenses.MARK.split(markup)):
+        if i % 2 and part == "beginOptional":
+            depth += 1
+            out += "(?:" if lead else ""
+        elif i % 2 and part == "endOptional":
+            depth -= 1
+            out += ")?" if lead else ""
+        elif i % 2:
+            out += "(?:[^ ]+ ){0,%s}" % part.partition("max=")[2]
+        elif lead or not depth:
+            own = [w.lower() for w in re.findall(_LICENSE_WORD, part.lower())]
+            lead = lead or own
+            out += "".join(f"{w} " for w in own)
+    return lead, out
+
+
+def _places(label: str, phrase: list[str], base: bool, size: str) -> str:
+    m = len(phrase)
+    same = "array_to_string(words[i + 1:i + {0}], ' ') = '{1}'".format(m, " ".join(phrase))
+    return f"SELECT doc_id, '{label}' AS label, {base} AS base, i AS first, {size} AS size FROM (SELECT doc_id, words, unnest(list_filter(range(0, greatest(len(words) - {m - 1}, 0)), lambda i: {same})) AS i FROM w WHERE contains(line, ' {' '.join(phrase)} '))"
+
+
+_FOUND = " UNION ALL ".join(
+    [_places(label, text.split(), True, str(len(text.split()))) for label, text in licenses.PHRASES]
+    + [_places(label, lead, False, f"len(string_split(regexp_extract(array_to_string(words[i + 1:], ' ') || ' ', '^{pattern}'), ' ')) - 1") for label, (lead, pattern) in ((x, _template_sql(t)) for x, t in licenses.TEMPLATES)]
+)
+_OP8 = rf"""
+WITH w AS (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS line FROM (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_LICENSE_WORD}') AS words FROM documents)),
+f AS (SELECT * FROM ({_FOUND}) WHERE size > 0),
+c AS (SELECT doc_id, count(DISTINCT pos) AS covered FROM (SELECT doc_id, unnest(range(first, first + size)) AS pos FROM f) GROUP BY 1),
+b AS (SELECT doc_id, count(*) FILTER (base) AS n, min(first) FILTER (base) AS lo, max(first) FILTER (base) AS hi, list_sort(list_distinct(list(label) FILTER (base))) AS base_labels, list_sort(list_distinct(list(label))) AS labels FROM f GROUP BY 1)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, lo AS first_word, hi AS last_word, coalesce(array_to_string(base_labels, ','), '') AS base_labels,
+  coalesce(array_to_string(labels, ','), '') AS labels, coalesce(covered, 0) / CAST(greatest(len(words), 1) AS DOUBLE) AS score FROM w LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _OP1, "op3_url_filter": _OP3, "op4_substring_dedup": _OP4, "op6_warc": _OP6, "op7_near_dedup": _OP7}
+    return {"op1_mix_sources": _OP1, "op3_url_filter": _OP3, "op4_substring_dedup": _OP4, "op6_warc": _OP6, "op7_near_dedup": _OP7, "op8_licenses": _OP8}

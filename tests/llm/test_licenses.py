@@ -47,7 +47,7 @@ def test_base_equals_brute_force(spark):
 
 def as_regex(markup):
     out = []
-    for i, part in enumerate(licenses._MARK.split(markup)):
+    for i, part in enumerate(licenses.MARK.split(markup)):
         if i % 2 and part == "beginOptional":
             out.append("(?:")
         elif i % 2 and part == "endOptional":
