@@ -6,8 +6,7 @@ min(1, c * raked weight / present weight), where c is set so that the expected t
 meet the budget although no document can be kept more than once.
 
 All of it is DataFrame expressions.  Documents are read to count tokens by cell and to
-look up their cell; the rounds work on the table of cells and of one factor for each
-value of a marginal.
+look up their cell; the rounds work on the table of cells alone.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ DIMENSIONS = ("source", "lang", "topic")
 TOPICS = (("legal", ("license", "copyright")), ("web", ("http://", "https://", "www.")), ("contact", ("@",)), ("code", ("{", "};", "=")))
 #: Largest tables of factors and of cells (a row is below 200 bytes) that are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 50_000
-ROUNDS, SETTLED = 25, 1e-9
+ROUNDS, SETTLED = 15, 1e-9
 
 
 def topic(text: Column, topics: Sequence[tuple[str, Sequence[str]]] = TOPICS) -> Column:
@@ -62,44 +61,23 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
     targets can't all be met, the last rounds stay as near as the order of the dimensions gives.
     """
     names = list(targets)
-    goal = None
+    state, values = cells.where("tokens > 0"), {}
     for d in names:
-        present = cells.where("tokens > 0").select(F.col(d).alias("value")).distinct()
-        one = targets[d].select("value", F.col("target").cast("double").alias("target")).where("target > 0").join(present, "value", "left_semi").select(F.lit(d).alias("dimension"), "value", "target")
-        goal = one if goal is None else goal.unionByName(one)
-    goal = cut(goal, "targets")
-    whole = {r["dimension"]: r["whole"] for r in goal.groupBy("dimension").agg(F.sum("target").alias("whole")).collect()}
-    rows = goal.count()
-
-    def factor(factors: DataFrame, d: str) -> DataFrame:
-        return _small(factors.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("factor").alias(f"by_{d}")), rows)
-
-    def weighed(by: Mapping[str, DataFrame]) -> DataFrame:
-        out = cells.where("tokens > 0")
-        for d, f in by.items():
-            out = out.join(f, d)
-        weight = F.col("tokens")
-        for d in by:
-            weight = weight * F.col(f"by_{d}")
-        return out.withColumn("weight", weight)
-
-    factors = goal.select("dimension", "value", F.lit(1.0).alias("factor"))
+        goal = targets[d].select(F.col("value").alias(d), F.col("target").cast("double").alias("target")).where("target > 0")
+        goal = cut(goal.join(state.select(d).distinct(), d, "left_semi"), "targets")
+        values[d], whole = goal.agg(F.count("*"), F.sum("target")).first()
+        state = state.join(_small(goal.select(d, (F.col("target") / (whole or 1.0)).alias(f"goal_{d}")), values[d]), d)
+    state = cut(state.withColumns({"weight": F.col("tokens"), "step": F.lit(1.0)}), "weights")
     for _ in range(rounds):
-        by = {d: factor(factors, d) for d in names}
-        new = None
-        for d in names:
-            now = weighed({x: f for x, f in by.items() if x != d}).groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("now"))
-            one = goal.where(F.col("dimension") == d).join(now, "value").where("now > 0").select("dimension", "value", (F.col("target") / whole.get(d, 1.0) / F.col("now")).alias("factor"))
-            by[d] = factor(one, d)
-            new = one if new is None else new.unionByName(one)
-        new = cut(new, "factors")
-        step = new.join(factors.withColumnRenamed("factor", "last"), ["dimension", "value"]).agg(F.max(F.abs(F.col("factor") / F.col("last") - 1))).first()[0]
-        factors = new
-        if step is None or step < settled:
+        for d in names:  # one factor for each value, from a sum that each task begins on its own
+            now = state.groupBy(d).agg((F.max(f"goal_{d}") / F.sum("weight")).alias("factor"))
+            scaled = {"weight": F.col("weight") * F.col("factor"), "step": F.col("factor") * (F.lit(1.0) if d == names[0] else F.col("step"))}
+            state = cut(state.join(_small(now, values[d]), d).withColumns(scaled).drop("factor"), "weights")
+        moved = state.agg(F.max(F.abs(F.col("step") - 1))).first()[0]
+        if moved is None or moved < settled:
             break
-    raked = weighed({d: factor(factors, d) for d in names}).select(*names, "weight")
-    total = raked.agg(F.sum("weight")).first()[0] or 1.0
-    out = cells.select(*names, "tokens").join(raked, names, "left")
+    total = state.agg(F.sum("weight")).first()[0] or 1.0
+    out = cells.select(*names, "tokens").join(state.select(*names, "weight"), names, "left")
     return out.select(*names, "tokens", F.coalesce(F.col("weight") / total, F.lit(0.0)).alias("share"))
 
 
