@@ -6,6 +6,8 @@ no operator loops over words in Python.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -87,6 +89,13 @@ def range_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int,
     return cutter.transform(keyed).withColumn(name, F.col(name).cast("int")).drop(key), bounds
 
 
+def give_back() -> None:
+    """Return freed memory to the machine at the end of a task: its Python worker lives on, idle, beside later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call, and need none
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread every bit of each 64-bit value over all bits."""
     h = h ^ (h >> _U(33))

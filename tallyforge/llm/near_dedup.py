@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACED, buffers, cut, mix, segments, words
+from tallyforge.llm.common import SPACED, buffers, cut, give_back, mix, segments, words
 from tallyforge.llm.components import components
 
 _U = np.uint64
@@ -110,6 +110,7 @@ def _sign(size: int, bands: int, rows: int):
                 have = np.repeat(n > 0, bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]), pa.int32()), pa.array(key.ravel()[have].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(t.view(np.int64)) for t in total), lists], ["doc", "n_shingles", "set_a", "set_b", "bands"])
+        give_back()
 
     return sign
 
@@ -144,6 +145,7 @@ def _verify(size: int, percent: int):
                     shared = int((both[1:] == both[:-1]).sum())
                     linked.append(len(both) > 0 and 100 * shared >= percent * (len(both) - shared))
                 yield part.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
+        give_back()
 
     return verify
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import SPACED, Words, buffers, range_chunks, segments, words
+from tallyforge.llm.common import SPACED, Words, buffers, give_back, range_chunks, segments, words
 
 _SENT = "bucket int, chunk int, n long, hashes binary"
 _CODEC = "zstd"
@@ -49,6 +49,7 @@ def _windows(texts: pa.Array, window: int) -> np.ndarray:
 
 def _send(window: int, buckets: int, text_col: str):
     def send(chunk: pa.Table) -> pa.Table:
+        give_back()  # what the groups before this one have freed
         number = chunk["chunk"][0].as_py()
         seen = np.unique(_windows(chunk[text_col].combine_chunks(), window))
         edges = np.searchsorted(seen, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64))
@@ -119,6 +120,7 @@ def _remove(window: int, id_col: str, text_col: str, reflow: bool, out: pa.Schem
     def remove(docs: pa.Table, sent: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return out.empty_table()
+        give_back()
         docs = docs.sort_by([(id_col, "ascending"), (text_col, "ascending")])
         nulls = pa.compute.is_null(docs[id_col])
         if pa.compute.any(nulls).as_py():

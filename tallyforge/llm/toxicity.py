@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import LOWER_ALNUM, cut, segments, words
+from tallyforge.llm.common import LOWER_ALNUM, cut, give_back, segments, words
 
 #: Labelled rows in the sample, about (each row is in it with the same chance, by a hash of its id).
 SAMPLE = 20_000
@@ -212,6 +212,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 grade = (edges[:, :-1] - edges[:, 1:]).argmax(1)
                 new = [pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(grade.astype(np.int32)), pa.array(above[:, 0] >= model.least)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *new], [*names, *made.names])
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *made.fields]))
 
