@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import segments
+from tallyforge.llm.common import give_back, segments
 
 #: Remembered words of a task; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 _NONE = np.iinfo(np.int64).max
 _BITS = 20  # of a symbol's number in a pair key
 _SPACE = regex.compile("[" + "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
@@ -83,8 +83,8 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & same, self.ranks[at], _NONE), at
 
-    def merge(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Symbols of each word, after all merges."""
+    def merge(self, words: list[str]) -> list[bytes]:
+        """Symbols of each word after all merges, as 32-bit numbers."""
         raw = [w.encode() for w in words]
         size = np.array([len(b) for b in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -118,12 +118,12 @@ class Vocabulary:
             after = np.minimum(near + 1, len(symbols) - 1)
             rank[near], at[near] = self._ranks(symbols[near] << _BITS | symbols[after], (word[near] == word[after]) & (near != after))
         if not done_word:
-            return [() for _ in words]
+            return [b"" for _ in words]
         word, symbols = np.concatenate(done_word), np.concatenate(done_symbols)
         order = np.argsort(word, kind="stable")
-        flat = symbols[order].tolist()
-        edges = np.searchsorted(word[order], np.arange(len(raw) + 1)).tolist()
-        return [tuple(flat[i:j]) for i, j in zip(edges, edges[1:])]  # tuples of numbers leave the garbage collector's lists
+        flat = symbols[order].astype(np.int32).tobytes()
+        edges = (4 * np.searchsorted(word[order], np.arange(len(raw) + 1))).tolist()
+        return [flat[i:j] for i, j in zip(edges, edges[1:])]
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
@@ -134,14 +134,14 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED) -> None:
         self.vocabulary, self.remembered = vocabulary, remembered
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.ids: dict[str, bytes] = {}  # 32-bit numbers, which take an eighth of the memory of Python's
+        self.words: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.ids.clear()
         self.words.clear()
-        self.words |= {x: (i,) for x, i in self.vocabulary.added.items()}
+        self.words |= {x: np.int32(i).tobytes() for x, i in self.vocabulary.added.items()}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -162,9 +162,12 @@ class Encoder:
         unknown = list({w for words in plan for w in words if w not in known})
         known.update(zip(unknown, self.vocabulary.merge(unknown), strict=True))
         for piece, words in zip(new, plan, strict=True):
-            self.ids[piece] = known[words[0]] if len(words) == 1 else tuple([i for w in words for i in known[w]])
+            self.ids[piece] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
         return new
 
+    def encode(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.ids.__getitem__, pieces))
+
     def texts(self, texts: list[str | None]) -> list[list[str]]:
         """The pieces of each text, all of them known afterwards."""
         if len(self.ids) > self.remembered:
@@ -206,11 +209,13 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
         for batch in batches:
             texts = batch.column("_text")
             for i, j in segments(texts, 4 << 20):
-                ids = [[i for x in pieces for i in encoder.ids[x]] for pieces in encoder.texts(texts[i:j].to_pylist())]
-                n = np.array([len(x) for x in ids], np.int64)
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(n.sum()))
+                ids = [encoder.encode(pieces) for pieces in encoder.texts(texts[i:j].to_pylist())]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                flat = np.frombuffer(b"".join(ids), np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in names), pa.array(n), lists], [*names, "n_tokens", "ids"])
+        del encoder
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -253,7 +258,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                     shown.clear()
                     decoded.clear()
                 for piece in encoder.learned:
-                    ids = encoder.ids[piece]
+                    ids = memoryview(encoder.ids[piece]).cast("i")
                     shown[piece], decoded[piece] = " ".join(map(v.decimals.__getitem__, ids)), v.decode(ids)
                 for pieces in split:
                     ids = " ".join(map(shown.__getitem__, pieces))
@@ -261,6 +266,8 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(" ".join(map(decoded.__getitem__, pieces)).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        del encoder, shown, decoded
+        give_back()
 
     schema = T.StructType([docs.schema[id_col], *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
     return docs.select(id_col, text_col).mapInArrow(run, schema)

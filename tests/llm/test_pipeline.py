@@ -32,4 +32,4 @@ def test_stages_do_what_their_operators_say(spark):
 def test_registered():
     import __spark_entry__
 
-    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
