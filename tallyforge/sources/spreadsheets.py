@@ -14,7 +14,6 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyforge.sources.statements import HEADERS, read_cells
 
