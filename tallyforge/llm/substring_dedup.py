@@ -16,15 +16,13 @@ mistake (0.0006 for 150 million windows, about one for 6 billion).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyforge.llm.common import SPACED, Words, buffers, give_back, range_chunks, segments, words
+from tallyforge.llm.common import Words, buffers, give_back, range_chunks, segments, words
 
 _SENT = "bucket int, chunk int, n long, hashes binary"
 _CODEC = "zstd"
@@ -184,7 +182,5 @@ def remove_repeated(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     sent = chunked.groupBy("chunk").applyInArrow(_send(window, buckets, text_col), _SENT)
     back = sent.groupBy("bucket").applyInArrow(_count, _SENT)
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_words long, n_removed long, removed array<struct<first:long,past:long>>, kept_text string").fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     remove = _remove(window, id_col, text_col, reflow, to_arrow_schema(schema))
     return chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(remove, schema)
