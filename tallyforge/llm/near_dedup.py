@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
             continue
         tried, links = tried.unionByName(new), links.unionByName(found)
         known, last = _labels(links), False
-    member = whole.select("doc", "set_a", "set_b").join(classes.select("set_a", "set_b", F.col("doc").alias("first")), ["set_a", "set_b"])
+    member = _members(whole.select("doc", "set_a", "set_b"))
     member = member.join(known, F.col("first") == F.col("node"), "left").select("doc", F.coalesce("component", "first").alias("component"))
     label = member.groupBy("doc").agg(F.min("component").alias("component"))
     return signed.select("doc", "n_shingles").join(label, "doc", "left").select(
@@ -213,6 +213,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     )
 
 
+def _members(whole: DataFrame, parts: int = 1000) -> DataFrame:
+    """``doc`` and ``first``, the smallest document of the same set.
+
+    Sets that more than one in ``parts`` of all documents have are fewer than ``parts``, so they are broadcast and
+    their documents are not shuffled; the others are joined by their sets.
+    """
+    same = ["set_a", "set_b"]
+    firsts = cut(whole.groupBy(*same).agg(F.min("doc").alias("first"), F.count("*").alias("copies")), "sets")
+    hot = F.col("copies") * parts > (firsts.agg(F.sum("copies")).first()[0] or 0)
+    placed = whole.join(F.broadcast(firsts.where(hot & (F.col("copies") > 1)).select(*same, "first")), same, "left")
+    few = placed.where("first IS NULL").drop("first").join(firsts.select(*same, "first"), same)
+    return placed.where("first IS NOT NULL").select("doc", "first").unionByName(few.select("doc", "first"))
+
+
 def _mixed(keys: DataFrame, known: DataFrame) -> DataFrame:
     """The rows of ``keys``, with their ``component``, whose key documents of different components share."""
     placed = keys.join(known, F.col("doc") == F.col("node"), "left").select(*keys.columns, F.coalesce("component", "doc").alias("component"))
