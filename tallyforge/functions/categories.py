@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.signals import signal
-from tallyforge.functions.text import contains_any
+from tallyforge.functions.signals import SIGNALS
+from tallyforge.functions.text import contains_any, once
 
 # The categories.
 CATEGORIES = "RENT TRANSPORT SUPERMARKET RESTAURANT SHOPPING HEALTH INSURANCE ENTERTAINMENT SUBSCRIPTIONS INVESTMENT TRAVEL SALARY REFUND TRANSFER EDUCATION TAXES OTHER".split()
@@ -43,11 +43,14 @@ def cascade(text: Column, amount: Column, override: Column | None = None, mercha
     ``override``, ``merchant`` and ``keyword`` are categories that joins have found, null where they found none.
     Below the gate the category is OTHER and the rule's own is a suggestion.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda low: _cascade(low, amount, override, merchant, keyword))
+
+
+def _cascade(low: Column, amount: Column, override: Column | None, merchant: Column | None, keyword: Column | None) -> Column:
     rules = [] if override is None else [(override.isNotNull(), _result(override, 1.0, "USER_OVERRIDE"))]
     rules += [(contains_any(low, parts), _result(c, TEXT_CONFIDENCE, "SIGNAL_RULE")) for c, parts in STRONG_TEXT]
     for kind, category, confidence, sign in STRONG_SIGNALS:
-        fits = signal(kind, text)
+        fits = contains_any(low, SIGNALS[kind])
         rules.append((fits if not sign else fits & ((amount > 0) if sign > 0 else (amount < 0)), _result(category, confidence, "SIGNAL_RULE")))
     if merchant is not None:
         rules.append((merchant.isNotNull(), _result(merchant, MERCHANT_CONFIDENCE, "MERCHANT")))
