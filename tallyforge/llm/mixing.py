@@ -11,6 +11,7 @@ look up their cell; the rounds work on the table of cells alone.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,8 @@ DIMENSIONS = ("source", "lang", "topic")
 TOPICS = (("legal", ("license", "copyright")), ("web", ("http://", "https://", "www.")), ("contact", ("@",)), ("code", ("{", "};", "=")))
 #: Largest tables of factors and of cells (a row is below 200 bytes) that are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 50_000
-ROUNDS, SETTLED = 15, 1e-9
+#: Rounds go on until no factor moves a cell by more than ``SETTLED``.  ``ROUNDS`` is a safety limit far above what tables need.
+ROUNDS, SETTLED = 1000, 1e-9
 
 
 def topic(text: Column, topics: Sequence[tuple[str, Sequence[str]]] = TOPICS) -> Column:
@@ -56,9 +58,11 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
     """``cells`` (the dimensions and ``tokens``) with ``share``, their raked share of all tokens.
 
+
     A value without a target gets the share 0, as does a cell without tokens; targets of values that no cell has
     are left out, and the rest is scaled to 1.  Where cells are missing, so that the
-    targets can't all be met, the last rounds stay as near as the order of the dimensions gives.
+    targets can't all be met, the last rounds stay as near as the order of the dimensions gives.  If ``rounds``
+    don't suffice to settle, a warning gives the largest error that a marginal is left with, as a share of its target.
     """
     names = list(targets)
     state, values = cells.where("tokens > 0"), {}
@@ -76,6 +80,9 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
         moved = state.agg(F.max(F.abs(F.col("step") - 1))).first()[0]
         if moved is None or moved < settled:
             break
+    else:
+        left = [state.groupBy(d).agg(F.abs(F.sum("weight") / F.max(f"goal_{d}") - 1).alias("error")).agg(F.max("error")).first()[0] or 0.0 for d in names]
+        warnings.warn(f"raking has not settled in {rounds} rounds: a marginal is left with an error of {max(left, default=0.0):.2g} of its target", RuntimeWarning, stacklevel=2)
     total = state.agg(F.sum("weight")).first()[0] or 1.0
     out = cells.select(*names, "tokens").join(state.select(*names, "weight"), names, "left")
     return out.select(*names, "tokens", F.coalesce(F.col("weight") / total, F.lit(0.0)).alias("share"))

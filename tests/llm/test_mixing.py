@@ -41,6 +41,17 @@ def test_raking_equals_numpy(spark, monkeypatch, limit):
     assert got == pytest.approx({k: v for k, v in np.ndenumerate(want)}, abs=1e-6)
 
 
+def test_raking_goes_on_until_it_settles(spark):
+    tokens = np.array([[1000.0, 1.0], [1.0, 10.0]])  # strongly tied, so slow
+    goals = [np.array([0.3, 0.7]), np.array([0.5, 0.5])]
+    by = {"source": target(spark, goals[0]), "lang": target(spark, goals[1])}
+    got = {(int(r.source), int(r.lang)): r.share for r in mixing.rake(cells(spark, tokens), by).collect()}
+    assert got == pytest.approx({k: v for k, v in np.ndenumerate(fitted(tokens, goals, 5000))}, abs=1e-7)
+    assert got[0, 0] + got[0, 1] == pytest.approx(0.3, abs=1e-7)
+    with pytest.warns(RuntimeWarning, match="not settled in 2 rounds"):
+        mixing.rake(cells(spark, tokens), by, rounds=2)
+
+
 def test_values_without_a_target_get_nothing(spark):
     raked = mixing.rake(cells(spark, np.ones((2, 2))), {"source": spark.createDataFrame([("0", 1.0), ("9", 5.0)], "value string, target double"), "lang": target(spark, [1, 1])})
     assert {(r.source, r.lang): r.share for r in raked.collect()} == pytest.approx({("0", "0"): 0.5, ("0", "1"): 0.5, ("1", "0"): 0, ("1", "1"): 0})
