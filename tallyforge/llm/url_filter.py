@@ -3,13 +3,13 @@
 Two smoothed variable-order Markov models are counted, of URLs that the rules allow and of
 those that they block.  A model predicts each character from the longest context it has
 kept: p(c | h) = (n(hc) + m p(c | h')) / (n(h) + m), where h' is h without its first
-character.  A context is kept while its runs of characters are frequent enough, so that
-the model has ``MOST_GRAMS`` of them at most.  A URL's score is the mean over its
+character.  All runs of characters are kept, so the models grow with the URLs.  A URL's score is the mean over its
 characters of log p_allowed - log p_blocked, turned into a probability by the means and the
 spread that held-out rule-labelled URLs show.
 
-All of it is DataFrame expressions.  A URL's positions are looked up in the broadcast model
-(bounded by ``MOST_GRAMS``) and summed before any shuffle.
+All of it is DataFrame expressions.  A position's value depends on its longest run alone, so
+the models are asked once for each different run.  Tables are broadcast only up to
+``BROADCAST_ROWS``, and joined by shuffle beyond.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 ORDER = 4
 SMOOTHING = 4.0
 CHARACTERS = 256  # of the uniform distribution that the shortest context falls back on
-#: Runs of characters in the models, below 200 bytes each.
+#: Largest tables of runs (a row is below 200 bytes) that are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 100_000
+#: The SQL twin's limit of runs; the models here have none.
 MOST_GRAMS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,24 +60,39 @@ def _positions(urls: DataFrame, order: int) -> DataFrame:
     return each.withColumns(runs).drop("marked", "at")
 
 
-def train(urls: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING, most: int = MOST_GRAMS) -> tuple[DataFrame, DataFrame, float] | None:
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _sizes(grams: DataFrame) -> dict[int, int]:
+    """How many runs of each length there are."""
+    return {r["n"]: r["count"] for r in grams.groupBy(F.length("gram").alias("n")).count().collect()}  # a row for each length
+
+
+def _least(counted: DataFrame, most: int) -> int:
+    """The smallest power of two such that at most ``most`` runs are as frequent."""
+    sizes = counted.groupBy(F.floor(F.log2(F.col("a") + F.col("b"))).alias("power")).agg(F.count("*").alias("n")).collect()  # at most 63 rows
+    kept = 0
+    for power, n in sorted(map(tuple, sizes), reverse=True):
+        kept += n
+        if kept > most:
+            return 2 ** (power + 1)
+    return 1
+
+
+def train(urls: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING, most: int | None = None) -> tuple[DataFrame, DataFrame, float] | None:
     """The models of ``urls`` (``url`` and boolean ``accepted``), as differences of logarithms.
 
     Returns the runs with ``ratio`` (of a character after its context), the contexts with ``fall``
     (of the factors by which an unseen character falls back), and the ratio of a character that no
-    run has.  None if either kind of URL is missing.
+    run has.  None if either kind of URL is missing.  ``most`` leaves out rare runs until so many are left; by default all are kept.
     """
     runs = _positions(urls, order).select("accepted", F.explode(F.array(*(f"g{k}" for k in range(order + 1)))).alias("gram")).where("gram is not null")
     count = lambda kind: F.count_if(F.col("accepted") == kind).cast("double")
-    counted = cut(runs.groupBy("gram").agg(count(True).alias("a"), count(False).alias("b")), "runs")
-    sizes = counted.groupBy(F.floor(F.log2(F.col("a") + F.col("b"))).alias("power")).agg(F.count("*").alias("n")).collect()  # at most 63 rows
-    kept, least = 0, 1
-    for power, n in sorted(map(tuple, sizes), reverse=True):
-        kept += n
-        if kept > most:
-            least = 2 ** (power + 1)
-            break
-    grams = cut(counted.where(F.col("a") + F.col("b") >= least), "grams")
+    grams = cut(runs.groupBy("gram").agg(count(True).alias("a"), count(False).alias("b")), "runs")
+    if most is not None:
+        grams = cut(grams.where(F.col("a") + F.col("b") >= _least(grams, most)), "grams")
+    sizes = _sizes(grams)
     total = grams.where(F.length("gram") == 1).agg(F.sum("a"), F.sum("b")).first()
     if not total[0] or not total[1]:
         return None
@@ -88,8 +105,8 @@ def train(urls: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING, mos
             below = level.select("gram", p[0].alias("pa"), p[1].alias("pb"))
             known = below
             continue
-        shorter = F.broadcast(below.select(F.col("gram").alias("suffix"), F.col("pa").alias("sa"), F.col("pb").alias("sb")))
-        before = F.broadcast(contexts.where(F.length("context") == k))
+        shorter = _small(below.select(F.col("gram").alias("suffix"), F.col("pa").alias("sa"), F.col("pb").alias("sb")), sizes.get(k, 0))
+        before = _small(contexts.where(F.length("context") == k), sizes.get(k + 1, 0))
         level = level.withColumns({"suffix": F.expr("substring(gram, 2)"), "context": F.expr("left(gram, length(gram) - 1)")}).join(shorter, "suffix").join(before, "context")
         p = [(F.col(x) + smoothing * F.col(f"s{x}")) / (F.col(f"in_{x}") + smoothing) for x in "ab"]
         below = cut(level.select("gram", p[0].alias("pa"), p[1].alias("pb")), "level")
@@ -104,16 +121,21 @@ def score(urls: DataFrame, model: tuple[DataFrame, DataFrame, float], order: int
     ratios, falls, unseen = model
     kept = [c for c in urls.columns if c != "url"]
     each = _positions(urls.withColumn("row", F.monotonically_increasing_id()), order)
+    each = each.select("row", *kept, F.coalesce(*(f"g{k}" for k in reversed(range(order + 1)))).alias("run"))
+    sizes = _sizes(ratios)
+    runs = each.select("run").distinct()
     value = F.lit(unseen)
     for k in range(order + 1):
+        runs = runs.withColumn(f"g{k}", F.when(F.length("run") > k, F.expr(f"right(run, {k + 1})")))
         if k:
-            context = F.broadcast(falls.where(F.length("context") == k).select(F.col("context").alias(f"c{k}"), F.col("fall").alias(f"fall{k}")))
-            each = each.withColumn(f"c{k}", F.expr(f"left(g{k}, {k})")).join(context, f"c{k}", "left")
+            context = _small(falls.where(F.length("context") == k).select(F.col("context").alias(f"c{k}"), F.col("fall").alias(f"fall{k}")), sizes.get(k + 1, 0))
+            runs = runs.withColumn(f"c{k}", F.expr(f"left(g{k}, {k})")).join(context, f"c{k}", "left")
             value = value + F.coalesce(f"fall{k}", F.lit(0.0))
-        level = F.broadcast(ratios.where(F.length("gram") == k + 1).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"ratio{k}")))
-        each = each.join(level, f"g{k}", "left")
+        level = _small(ratios.where(F.length("gram") == k + 1).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"ratio{k}")), sizes.get(k + 1, 0))
+        runs = runs.join(level, f"g{k}", "left")
         value = F.coalesce(f"ratio{k}", value)
-    return each.groupBy("row", *kept).agg(F.avg(value).alias("score")).drop("row")
+    values = cut(runs.select("run", value.alias("value")), "values")
+    return each.join(_small(values, values.count()), "run").groupBy("row", *kept).agg(F.avg("value").alias("score")).drop("row")
 
 
 def fold(id_col: str) -> Column:

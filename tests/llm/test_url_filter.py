@@ -41,6 +41,21 @@ def test_score_equals_the_definition(spark):
     assert {r.id: r.score for r in got} == pytest.approx({i: a(u) - b(u) for i, u in enumerate(asked)}, abs=1e-9)
 
 
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_all_runs_are_kept_however_many(spark, monkeypatch, limit):
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", limit)
+    letters = np.random.default_rng(2).integers(33, 127, (1500, 50))
+    urls = ["http://" + "".join(map(chr, x)) for x in letters]
+    learn = spark.createDataFrame([(u, i % 2 == 0) for i, u in enumerate(urls)], "url string, accepted boolean")
+    model = url_filter.train(learn)
+    marked = ["\x02" + u + "\x03" for u in urls]
+    grams = {s[i - k : i + 1] for s in marked for i in range(1, len(s)) for k in range(min(4, i) + 1)}
+    assert model[0].count() == len(grams) > 100_000
+    got = url_filter.score(spark.createDataFrame(list(enumerate(urls[:20])), "id int, url string"), model).collect()
+    a, b = plain_model(urls[::2], 4, 4.0), plain_model(urls[1::2], 4, 4.0)
+    assert {r.id: r.score for r in got} == pytest.approx({i: a(u) - b(u) for i, u in enumerate(urls[:20])}, abs=1e-9)
+
+
 def test_a_bounded_model_keeps_the_frequent_runs(spark):
     learn = spark.createDataFrame([(u, True) for u in GOOD] + [(u, False) for u in POOR], "url string, accepted boolean")
     assert url_filter.train(learn, most=30)[0].count() <= 30
