@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 SEGMENT_BYTES = 1 << 20
 
 _U = np.uint64
-_WORD_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_RUN_BASE = 0xD6E8FEB86659FD93
-_BYTE_VALUES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
+#: Modulus and base of the hashes of runs of words.
+_PRIME, _BASE = (1 << 61) - 1, 0x16E8FEB86659FD93
+_BLOCK = 1 << 18  # bytes or words that are hashed at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,33 +60,57 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def range_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, name: str = "chunk", grid: int = 4096) -> tuple[DataFrame, list[float]]:
+def range_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, name: str = "chunk", cells: int = 8) -> tuple[DataFrame, list[float]]:
     """Number ``docs`` by ranges of ``id_col``: a smaller chunk holds smaller ids, and equal ids share a chunk.
 
-    The ranges come from approximate quantiles over all ids and hold about
-    ``chunk_bytes`` of text each.  One pass gives the size of all texts and ``grid``
-    quantiles; only where more chunks are needed, a second one over the ids alone gives
-    as many as that.  The driver holds one number a chunk.  Null ids go to the first
-    chunk.  Returns the frame and the inner bounds.
+    A chunk holds about ``chunk_bytes`` of text, or sqrt(650 * all bytes) where that is more (from 100 GB on at 8 MB),
+    so that a pair of chunks has a hundred windows of words on average however large the corpus is.  Approximate
+    quantiles over all ids cut them into cells, ``cells`` for each chunk that is to be; the bytes of each cell are
+    summed, and neighbouring cells join to chunks.  So long texts of neighbouring ids make more chunks, and only one
+    cell can be larger than a chunk.  The driver holds one number a cell.  Null ids go to the first chunk.  A column
+    ``name`` is replaced, others stay.  Returns the frame and the inner bounds.
     """
-    number = F.col(id_col).cast("double")
-
-    def quantiles(n: int):
-        return F.percentile_approx(number, [i / n for i in range(1, n)], min(8 * n, 1 << 30))
-
-    found = docs.agg(F.sum(F.octet_length(text_col)).alias("size"), quantiles(grid).alias("at")).first()
-    n = math.ceil((found["size"] or 0) / chunk_bytes) or 1
-    at = found["at"] or []
-    if n > grid:
-        at, grid = docs.agg(quantiles(n)).first()[0], n
-    bounds = sorted({at[grid * i // n - 1] for i in range(1, n)}) if at else []
-    splits = [-math.inf, *bounds, math.inf]
-    if len(splits) == 2:
+    docs = docs.drop(name)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    chunk_bytes = max(chunk_bytes, math.isqrt(650 * size))
+    if size <= chunk_bytes:
         return docs.withColumn(name, F.lit(0)), []
-    key = f"{name}_of"
-    cutter = Bucketizer(splits=splits, inputCol=key, outputCol=name, handleInvalid="keep")
-    keyed = docs.withColumn(key, F.coalesce(number, F.lit(-math.inf)))
-    return cutter.transform(keyed).withColumn(name, F.col(name).cast("int")).drop(key), bounds
+    n = cells * math.ceil(size / chunk_bytes)
+    number = F.col(id_col).cast("double")
+    found = docs.agg(F.percentile_approx(number, [i / n for i in range(1, n)], min(8 * n, 1 << 30))).first()[0] or []
+    fine = sorted(set(found))
+    each = _numbered(docs.select(number.alias("number"), F.octet_length(text_col).alias("bytes")), "number", fine, "cell")
+    sums = {r["cell"]: r["bytes"] or 0 for r in each.groupBy("cell").agg(F.sum("bytes").alias("bytes")).collect()}
+    bounds, held = [], 0
+    for cell, bound in enumerate(fine):  # the cell of this number ends before the bound
+        held += sums.get(cell, 0)
+        if held and held + sums.get(cell + 1, 0) > chunk_bytes:
+            bounds.append(bound)
+            held = 0
+    key = f"{name}_{uuid.uuid4().hex}"
+    return _numbered(docs.withColumn(key, number), key, bounds, name).drop(key), bounds
+
+
+def _numbered(df: DataFrame, key: str, bounds: list[float], name: str) -> DataFrame:
+    """``df`` with how many of the ascending ``bounds`` its ``key`` reaches; a null key reaches none."""
+    if not bounds:
+        return df.withColumn(name, F.lit(0))
+    df = df.withColumn(key, F.coalesce(key, F.lit(-math.inf)))
+    return Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=key, outputCol=name, handleInvalid="keep").transform(df).withColumn(name, F.col(name).cast("int"))
+
+
+def spread_join(rows: DataFrame, other: DataFrame, key: str, by: str, parts: int = 1000, salts: int = 64) -> DataFrame:
+    """``rows.join(other, key)`` where no task has all rows of a key that many share.
+
+    Keys of more than one in ``parts`` of ``rows`` are fewer than ``parts``, so they are broadcast.  Their rows are
+    dealt by a hash of ``by`` as well, to ``salts`` tasks that each have the other side's rows of the key.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.count()
+    hot = cut(counts.where(F.col("n") * parts > total).select(key, F.lit(True).alias("hot")), "hot")
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(0).cast("int")).drop("hot")
+    right = other.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    return left.join(right, [key, "salt"]).drop("salt")
 
 
 def give_back() -> None:
@@ -106,24 +130,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse, modulo 2**64, made as far as they are needed."""
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _U(_PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(_PRIME), x - _U(_PRIME), x)
 
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                p = np.full(size, b, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-        return self.up[:n], self.down[:n]
+def times(x: np.ndarray, factor: int) -> np.ndarray:
+    """Products modulo 2**61 - 1, from those of halves of 32 bits."""
+    fh, fl = _U(factor >> 32), _U(factor & 0xFFFFFFFF)
+    xh, xl = x >> _U(32), x & _U(0xFFFFFFFF)
+    mid, low = xh * fl + xl * fh, xl * fl
+    return _reduced(xh * (fh * _U(8)) + (mid >> _U(29)) + ((mid & _U((1 << 29) - 1)) << _U(32)) + (low >> _U(61)) + (low & _U(_PRIME)))
 
 
-_OF_BYTES, _OF_RUNS = _Powers(_WORD_BASE), _Powers(_RUN_BASE)
+def polynomials(values: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial hashes modulo 2**61 - 1 of all runs of ``n`` values: those of a run's halves make that of the run."""
+    one = _reduced(values >> _U(3))
+    out, size = one, 1
+    for bit in bin(n)[3:]:
+        out = _reduced(times(out[:-size], pow(_BASE, size, _PRIME)) + out[size:])
+        size *= 2
+        if bit == "1":
+            out = _reduced(times(out[:-1], _BASE) + one[size : size + len(out) - 1])
+            size += 1
+    return out
+
+
+#: What stands for a byte at one of the first places of a word.
+_VALUES = mix(np.arange(1, (128 << 8) + 1, dtype=np.uint64))
 
 
 def byte_set(spec: bytes) -> np.ndarray:
@@ -158,14 +192,27 @@ class Words:
         w = len(self.hash)
         if w < n:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        up, down = _OF_RUNS.upto(w)
-        total = np.zeros(w + 1, np.uint64)
-        np.cumsum(self.hash * up, out=total[1:])
-        rolled = (total[n:] - total[:-n]) * down[: w - n + 1]
+        rolled = np.empty(w - n + 1, np.uint64)
+        for i in range(0, len(rolled), _BLOCK):
+            rolled[i : i + _BLOCK] = polynomials(self.hash[i : i + _BLOCK + n - 1], n)
         last = np.repeat(self.bounds[1:], self.counts())[: w - n + 1]
         first = np.flatnonzero(np.arange(n, w + 1) <= last)
         return mix(rolled[first] + _U(n)), first
 
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words with one space after each, and where each begins and ends (before its space)."""
+        size = self.end - self.start
+        end = np.cumsum(size + 1) - 1
+        start = end - size
+        out = np.full(int(end[-1]) + 1 if len(end) else 0, 32, np.uint8)
+        inside = np.ones(len(out), bool)
+        inside[end] = False
+        step = np.zeros(len(self.data) + 1, np.int8)
+        step[self.start] += 1
+        step[self.end] -= 1
+        out[inside] = self.data[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]
+        return out.tobytes(), start, end
+
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string array, and offsets into them; a null has no bytes."""
@@ -210,11 +257,29 @@ def words(texts: pa.Array, is_word: np.ndarray = SPACED, lower: bool = False) ->
     ends = at[1:][at[1:] > 0] - 1
     after[ends] = False
     end = np.flatnonzero(inside & ~after) + 1
-    up, down = _OF_BYTES.upto(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * up, out=total[1:])
-    h = (total[end] - total[start]) * down[start] if len(start) else np.zeros(0, np.uint64)
-    return Words(data, start, end, mix(h + (end - start).astype(np.uint64)), np.searchsorted(start, at))
+    return Words(data, start, end, _word_hashes(data, start, end), np.searchsorted(start, at))
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of values that stand for a byte at its place in the word, by blocks of bytes."""
+    before, after = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+    total, begun = _U(0), 0
+    for x in range(0, len(data), _BLOCK):
+        y = min(x + _BLOCK, len(data))
+        s0, s1 = np.searchsorted(start, (x, y))
+        e0, e1 = np.searchsorted(end, (x + 1, y + 1))
+        place = np.zeros(y - x, np.int64)
+        place[0] = begun
+        place[start[s0:s1] - x] = start[s0:s1]
+        place = np.maximum.accumulate(place)
+        begun = int(place[-1])
+        at = (np.arange(x, y) - place) << 8 | data[x:y]
+        value = _VALUES[at] if int(at.max()) < len(_VALUES) else mix(at.astype(np.uint64) + _U(1))
+        upto = np.cumsum(value, dtype=np.uint64) + total
+        before[s0:s1] = upto[start[s0:s1] - x] - value[start[s0:s1] - x]
+        after[e0:e1] = upto[end[e0:e1] - 1 - x]
+        total = upto[-1]
+    return mix(after - before + (end - start).astype(np.uint64))
 
 
 def word_hash(word: str) -> int:

@@ -1,21 +1,23 @@
 """Remove passages of words that stand earlier in the corpus.
 
-Rabin-Karp hashes of every window of ``window`` words are counted in Spark, and
-the repeated windows of a document merge into maximal removal intervals.
+Rabin-Karp hashes (modulo 2**61 - 1) of every window of ``window`` words are counted in
+Spark, and the repeated windows of a document merge into maximal removal intervals.
 
 The documents are cut into chunks by ranges of their ids, so that "earlier"
 between two chunks is the order of the chunks.  A chunk sends the sorted set of
 its window hashes, each hash once, to the task that counts this range of hashes;
-that task sends each chunk the hashes that an earlier chunk has as well.  What
-repeats within a chunk is found there.  So a passage that stands in a third of
-all documents costs one entry a chunk, and no task gathers its documents.
-
-Hashes have 64 bits: among n windows about n*n/2**65 are taken for repeated by
-mistake (0.0006 for 150 million windows, about one for 6 billion).
+that task tells each chunk which of them another chunk has as well.  Hashes only
+propose: the chunk sends the BLAKE2 digests of the words of these windows, and gets back
+those that an earlier chunk has sent too.  What repeats within a chunk is found there, by
+hash and digest as well.  So a passage that stands in a third of all documents costs
+one entry a chunk, and no task gathers its documents; two windows count as equal
+if 61 bits of their hashes and 64 bits of their digests are.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tallyforge.llm.common import Words, buffers, give_back, range_chunks, segments, words
 
 _SENT = "bucket int, chunk int, n long, hashes binary"
+_CHECKED = _SENT + ", digests binary"
 _CODEC = "zstd"
 
 
@@ -45,49 +48,125 @@ def _windows(texts: pa.Array, window: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+def _digests(texts: pa.Array, window: int, asked: np.ndarray) -> np.ndarray:
+    """Digests of the words of the ``asked`` windows (one flag for each window), a space between them."""
+    out, w = [np.zeros(0, np.uint64)], 0
+    for i, j in segments(texts):
+        found = words(texts[i:j])
+        first = found.runs(window)[1]
+        first = first[asked[w : w + (n := len(first))]]
+        w += n
+        data, start, end = found.joined()
+        for k in range(0, len(first), 50_000):
+            part = first[k : k + 50_000]
+            raw = [hashlib.blake2b(data[x:y], digest_size=8).digest() for x, y in zip(start[part].tolist(), end[part + window - 1].tolist(), strict=True)]
+            out.append(np.frombuffer(b"".join(raw), np.uint64))
+    return np.concatenate(out)
+
+
+def _repeated(hashes: np.ndarray) -> np.ndarray:
+    """Which hashes occur more than once."""
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    out = np.zeros(len(hashes), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def _among(hashes: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    if not len(sorted_set):
+        return np.zeros(len(hashes), bool)
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, hashes), len(sorted_set) - 1)] == hashes
+
+
+def _sets(sent: pa.Table) -> list[np.ndarray]:
+    return [unpack(b, n) for b, n in zip(sent["hashes"].to_pylist(), sent["n"].to_pylist(), strict=True)]
+
+
+def _ordered(docs: pa.Table, id_col: str, text_col: str) -> pa.Table:
+    """The documents of a chunk in order: by id, null ids first, then by text."""
+    docs = docs.sort_by([(id_col, "ascending"), (text_col, "ascending")])
+    nulls = pa.compute.is_null(docs[id_col])
+    return pa.concat_tables([docs.filter(nulls), docs.filter(pa.compute.invert(nulls))]) if pa.compute.any(nulls).as_py() else docs
+
+
+def _rows(parts: list[tuple[int, int, np.ndarray]], digests: list[np.ndarray] | None = None) -> pa.Table:
+    columns = {
+        "bucket": pa.array([b for b, _, _ in parts], pa.int32()),
+        "chunk": pa.array([c for _, c, _ in parts], pa.int32()),
+        "n": pa.array([len(h) for _, _, h in parts], pa.int64()),
+        "hashes": pa.array([pack(h) for _, _, h in parts], pa.binary()),
+    }
+    return pa.table(columns if digests is None else columns | {"digests": pa.array([d.tobytes() for d in digests], pa.binary())})
+
+
+def _by_bucket(hashes: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    edges = np.searchsorted(hashes, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)).tolist()
+    return [(b, slice(i, j)) for b, (i, j) in enumerate(zip(edges, [*edges[1:], len(hashes)], strict=True)) if j > i]
+
+
 def _send(window: int, buckets: int, text_col: str):
     def send(chunk: pa.Table) -> pa.Table:
         give_back()  # what the groups before this one have freed
         number = chunk["chunk"][0].as_py()
         seen = np.unique(_windows(chunk[text_col].combine_chunks(), window))
-        edges = np.searchsorted(seen, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64))
-        rows = [(b, i, j) for b, (i, j) in enumerate(zip(edges, [*edges[1:], len(seen)], strict=True)) if j > i]
-        return pa.table(
-            {
-                "bucket": pa.array([b for b, _, _ in rows], pa.int32()),
-                "chunk": pa.array([number] * len(rows), pa.int32()),
-                "n": pa.array([int(j - i) for _, i, j in rows], pa.int64()),
-                "hashes": pa.array([pack(seen[i:j]) for _, i, j in rows], pa.binary()),
-            }
-        )
+        return _rows([(b, number, seen[part]) for b, part in _by_bucket(seen, buckets)])
 
     return send
 
 
-def _count(bucket: pa.Table) -> pa.Table:
-    """Which chunks have a hash that an earlier chunk has too."""
-    bucket = bucket.sort_by("chunk")
-    sets = [unpack(b, n) for b, n in zip(bucket["hashes"].to_pylist(), bucket["n"].to_pylist(), strict=True)]
-    chunks = bucket["chunk"].to_numpy()
+def _share(bucket: pa.Table) -> pa.Table:
+    """Tells each chunk which of its hashes another chunk has too."""
+    sets = _sets(bucket)
     hashes = np.concatenate(sets)
-    of = np.repeat(chunks, [len(s) for s in sets])
-    order = np.argsort(hashes, kind="stable")  # equal hashes stay in the order of their chunks
-    hashes = hashes[order]
-    later = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
-    hashes, of = hashes[later], of[order][later]
+    order = np.argsort(hashes, kind="stable")
+    hashes, of = hashes[order], np.repeat(bucket["chunk"].to_numpy(), [len(s) for s in sets])[order]
+    same = hashes[1:] == hashes[:-1]
+    shared = np.append(False, same) | np.append(same, False)
+    return _told(bucket["bucket"][0].as_py(), of[shared], hashes[shared])
+
+
+def _told(bucket: int, of: np.ndarray, hashes: np.ndarray, digests: np.ndarray | None = None) -> pa.Table:
+    """A row for each chunk, with its hashes in order."""
     order = np.argsort(of, kind="stable")
-    hashes, of = hashes[order], of[order]
+    of, hashes = of[order], hashes[order]
     to, first = np.unique(of, return_index=True)
-    parts = np.split(hashes, first[1:]) if len(to) else []
-    number = bucket["bucket"][0].as_py()
-    return pa.table(
-        {
-            "bucket": pa.array([number] * len(to), pa.int32()),
-            "chunk": pa.array(to.astype(np.int32), pa.int32()),
-            "n": pa.array([len(p) for p in parts], pa.int64()),
-            "hashes": pa.array([pack(p) for p in parts], pa.binary()),
-        }
-    )
+    split = lambda x: np.split(x, first[1:]) if len(to) else []
+    return _rows([(bucket, c, h) for c, h in zip(to.tolist(), split(hashes), strict=True)], None if digests is None else split(digests[order]))
+
+
+def _propose(window: int, buckets: int, id_col: str, text_col: str):
+    """The windows of a chunk that other chunks have by their hashes, with their digests."""
+
+    def propose(docs: pa.Table, told: pa.Table) -> pa.Table:
+        give_back()
+        if not docs.num_rows or not told.num_rows:
+            return _rows([], [])
+        texts = docs[text_col].combine_chunks()
+        hashes = _windows(texts, window)
+        asked = _among(hashes, np.sort(np.concatenate(_sets(told))))
+        hashes = hashes[asked]
+        digests = _digests(texts, window, asked)
+        order = np.lexsort((digests, hashes))
+        hashes, digests = hashes[order], digests[order]
+        new = np.append(True, (hashes[1:] != hashes[:-1]) | (digests[1:] != digests[:-1]))[: len(hashes)]
+        hashes, digests = hashes[new], digests[new]
+        number, parts = docs["chunk"][0].as_py(), _by_bucket(hashes, buckets)
+        return _rows([(b, number, hashes[p]) for b, p in parts], [digests[p] for _, p in parts])
+
+    return propose
+
+
+def _confirm(bucket: pa.Table) -> pa.Table:
+    """Tells each chunk which of its windows an earlier chunk has too, by hash and digest."""
+    bucket = bucket.sort_by("chunk")
+    sets = _sets(bucket)
+    hashes, digests = np.concatenate(sets), np.frombuffer(b"".join(bucket["digests"].to_pylist()), np.uint64)
+    order = np.lexsort((digests, hashes))  # stable: equal windows stay in the order of their chunks
+    hashes, digests, of = hashes[order], digests[order], np.repeat(bucket["chunk"].to_numpy(), [len(s) for s in sets])[order]
+    later = np.append(False, (hashes[1:] == hashes[:-1]) & (digests[1:] == digests[:-1]))
+    return _told(bucket["bucket"][0].as_py(), of[later], hashes[later], digests[later])
 
 
 def _covered(found: Words, hashes: np.ndarray, first: np.ndarray, repeated: np.ndarray, window: int) -> np.ndarray:
@@ -119,19 +198,18 @@ def _remove(window: int, id_col: str, text_col: str, reflow: bool, out: pa.Schem
         if not docs.num_rows:
             return out.empty_table()
         give_back()
-        docs = docs.sort_by([(id_col, "ascending"), (text_col, "ascending")])
-        nulls = pa.compute.is_null(docs[id_col])
-        if pa.compute.any(nulls).as_py():
-            docs = pa.concat_tables([docs.filter(nulls), docs.filter(pa.compute.invert(nulls))])
+        docs = _ordered(docs, id_col, text_col)
         texts = docs[text_col].combine_chunks()
-        elsewhere = [unpack(b, n) for b, n in zip(sent["hashes"].to_pylist(), sent["n"].to_pylist(), strict=True)]
-        elsewhere = np.sort(np.concatenate(elsewhere)) if elsewhere else np.zeros(0, np.uint64)
         hashes = _windows(texts, window)
-        fresh = np.zeros(len(hashes), bool)
-        fresh[np.unique(hashes, return_index=True)[1]] = True
-        if len(elsewhere):
-            near = np.minimum(np.searchsorted(elsewhere, hashes), len(elsewhere) - 1)
-            fresh &= elsewhere[near] != hashes
+        elsewhere = np.concatenate([np.zeros(0, np.uint64), *_sets(sent)])
+        asked = _repeated(hashes) | _among(hashes, np.sort(elsewhere))
+        own, digests = hashes[asked], _digests(texts, window, asked)
+        # those of earlier chunks stand first, so that of equal windows only a first one of this chunk is fresh
+        every = np.concatenate([elsewhere, own]), np.concatenate([np.frombuffer(b"".join(sent["digests"].to_pylist()), np.uint64), digests])
+        order = np.lexsort(every[::-1])
+        first = np.append(True, (np.diff(every[0][order]) != 0) | (np.diff(every[1][order]) != 0))[: len(order)]
+        fresh = np.ones(len(hashes), bool)
+        fresh[np.flatnonzero(asked)] = np.isin(np.arange(len(elsewhere), len(order)), order[first], assume_unique=True)
         n_words, n_removed, spans, kept, w = [], [], [], [], 0
         for i, j in segments(texts):
             found = words(texts[i:j])
@@ -179,8 +257,10 @@ def remove_repeated(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     docs = docs.drop(*made, "chunk")
     chunked, bounds = range_chunks(docs, id_col, text_col, chunk_bytes)
     buckets = len(bounds) + 1
-    sent = chunked.groupBy("chunk").applyInArrow(_send(window, buckets, text_col), _SENT)
-    back = sent.groupBy("bucket").applyInArrow(_count, _SENT)
+    by_chunk = chunked.groupBy("chunk")
+    told = by_chunk.applyInArrow(_send(window, buckets, text_col), _SENT).groupBy("bucket").applyInArrow(_share, _SENT)
+    proposed = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_propose(window, buckets, id_col, text_col), _CHECKED)
+    back = proposed.groupBy("bucket").applyInArrow(_confirm, _CHECKED)
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_words long, n_removed long, removed array<struct<first:long,past:long>>, kept_text string").fields])
     remove = _remove(window, id_col, text_col, reflow, to_arrow_schema(schema))
-    return chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(remove, schema)
+    return by_chunk.cogroup(back.groupBy("chunk")).applyInArrow(remove, schema)

@@ -42,6 +42,41 @@ def test_equals_brute_force(spark, chunk_bytes, window):
     assert all(sum(x["past"] - x["first"] for x in r.removed) == r.n_removed for r in found)
 
 
+def thue_morse(n, a, b):
+    x = [0]
+    while len(x) < n:
+        x += [1 - i for i in x]
+    return "".join(b if i else a for i in x)
+
+
+@pytest.mark.parametrize("chunk_bytes", [100, 1 << 20])
+def test_words_that_polynomials_modulo_a_power_of_two_confuse(spark, chunk_bytes):
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{thue_morse(1024, 'a', 'b')} {rest}"), (2, f"{thue_morse(1024, 'b', 'a')} {rest}")]
+    got = remove_repeated(spark.createDataFrame(rows, "doc_id long, text string"), 20, chunk_bytes=chunk_bytes)
+    assert [r.n_removed for r in got.orderBy("doc_id").collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("chunk_bytes", [100, 1 << 20])
+def test_equal_hashes_of_unequal_words_change_nothing(spark, chunk_bytes, monkeypatch):
+    from tallyforge.llm import substring_dedup
+
+    plain = substring_dedup._windows
+    monkeypatch.setattr(substring_dedup, "_windows", lambda texts, window: plain(texts, window) % np.uint64(7) << np.uint64(60))
+    chunk = {"doc_id": [1, 2], "text": ["a b c d e", "x b c d y"], "chunk": [0, 0]}
+    import pyarrow as pa
+
+    out = pa.schema([("doc_id", "int64"), ("n_removed", "int64"), ("removed", pa.list_(pa.struct([("first", "int64"), ("past", "int64")])))])
+    got = substring_dedup._remove(3, "doc_id", "text", True, out)(pa.table(chunk), substring_dedup._rows([], []))
+    assert got["n_removed"].to_pylist() == [0, 3]
+
+
+def test_columns_with_names_of_the_operator(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5), (2, "z a b c", 6)], "doc_id long, text string, chunk_of int")
+    got = remove_repeated(docs, 3, chunk_bytes=3).orderBy("doc_id").collect()
+    assert [(r.chunk_of, r.n_removed) for r in got] == [(5, 0), (6, 3)]
+
+
 def test_white_space_stays_without_reflow(spark):
     docs = spark.createDataFrame([(1, "a b\nc  d e"), (2, "x\n\ty  a b\nc z")], "doc_id long, text string")
     got = {r.doc_id: r.kept_text for r in remove_repeated(docs, 3, reflow=False).collect()}
