@@ -5,7 +5,7 @@ in round j a shingle offers j plus a random fraction to its j-th place.  A
 document whose places all hold less than j + 1 needs no further round, so a long
 document stops after about two.
 
-Documents of equal shingle sets form a class and go on as one.  Documents that
+Documents of the same words in the same order form a class and go on as one.  Documents that
 agree on a band of signature rows share a bucket.  Each is compared with the
 bucket's smallest document.  Once these links have been joined to components, only
 documents of different components that share a bucket remain.  Of these, two that
@@ -13,11 +13,16 @@ are linked share one of their rarest shingles (prefix filtering, exact), which a
 passage that many documents quote is not among.  By these shingles they are
 compared with the smallest document of each other component while that joins
 anything, and at last with all others.  So a bucket of n copies costs n
-comparisons, and no link is left out for the size of a bucket.
+comparisons, and no link is left out for the size of a bucket.  Keys that many documents
+have are dealt to several tasks.
+
+Hashes only propose: classes are told apart by 128-bit BLAKE2 digests of the words, and
+a link that the hashes of two sets show is confirmed on the shingles themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACED, buffers, cut, give_back, mix, segments, words
+from tallyforge.llm.common import SPACED, Words, buffers, cut, give_back, mix, segments, spread_join, words
 from tallyforge.llm.components import components
 
 _U = np.uint64
@@ -36,8 +41,12 @@ _LOW = _U((1 << 54) - 1)
 
 def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of runs of ``size`` words, and their documents; a document of fewer words is one shingle."""
-    found = words(texts, SPACED, lower=True)
-    counts, doc = found.counts(), np.repeat(np.arange(len(texts)), found.counts())
+    return _runs(words(texts, SPACED, lower=True), size)
+
+
+def _runs(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    counts = found.counts()
+    doc = np.repeat(np.arange(len(counts)), counts)
     hashes, first = found.runs(size)
     of = [doc[first]]
     hashes = [hashes]
@@ -50,6 +59,12 @@ def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(of)
 
 
+def shingles(text: str | None, size: int) -> set[tuple[bytes, ...]]:
+    """The set of a text itself.  bytes.lower() and bytes.split() know A-Z and ASCII white space only."""
+    own = (text or "").encode().lower().split()
+    return set(zip(*(own[i:] for i in range(size)))) if len(own) >= size else {tuple(own)} - {()}
+
+
 def superminhash(items: np.ndarray, doc: np.ndarray, docs: int, places: int) -> np.ndarray:
     """A row of ``places`` values for each document, from its distinct items.  No items: the largest value everywhere."""
     sig = np.full(docs * places, np.iinfo(np.uint64).max, np.uint64)
@@ -83,7 +98,7 @@ def superminhash(items: np.ndarray, doc: np.ndarray, docs: int, places: int) ->
     return sig.reshape(docs, places)
 
 
-def band_plan(percent: int, rows: int = 5, missed: float = 1e-6) -> int:
+def band_plan(percent: int, rows: int = 5, missed: float = 1e-9) -> int:
     """Bands of ``rows`` rows such that a pair just at the threshold shares none with a chance of ``missed`` at most."""
     return max(1, math.ceil(math.log(missed) / math.log(1 - min(0.999999, percent / 100) ** rows)))
 
@@ -93,29 +108,38 @@ def _sign(size: int, bands: int, rows: int):
         for batch in batches:
             texts = batch.column(1)
             for i, j in segments(texts):
-                hashes, doc = shingle_hashes(texts[i:j], size)
+                found = words(texts[i:j], SPACED, lower=True)
+                hashes, doc = _runs(found, size)
                 items = np.unique((doc.astype(np.uint64) << _DOC_BITS) | (hashes >> _U(10)))
                 doc = (items >> _DOC_BITS).astype(np.int64)
                 items = mix(items & _LOW)
                 n = np.bincount(doc, minlength=j - i)
-                total = [np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)]
-                for t, salt in zip(total, (1, 2), strict=True):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(items + _U(salt)), dtype=np.uint64)])
-                    edges = np.concatenate([[0], np.cumsum(n)])
-                    t[:] = sums[edges[1:]] - sums[edges[:-1]]
+                line, start, end = found.joined()
+                start, end = np.append(start, len(line)), np.append(0, end)
+                own = zip(start[found.bounds[:-1]].tolist(), end[found.bounds[1:]].tolist(), strict=True)
+                class_of = np.frombuffer(b"".join(hashlib.blake2b(line[x:y], digest_size=16).digest() for x, y in own), np.int64).reshape(-1, 2)
                 sig = superminhash(items, doc, j - i, bands * rows).reshape(j - i, bands, rows)
                 key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (j - i, bands)).copy()
                 for r in range(rows):
                     key = mix(key * _U(0x9E3779B97F4A7C15) + sig[:, :, r])
                 have = np.repeat(n > 0, bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]), pa.int32()), pa.array(key.ravel()[have].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(t.view(np.int64)) for t in total), lists], ["doc", "n_shingles", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(class_of[:, k]) for k in (0, 1)), lists], ["doc", "n_shingles", "class_a", "class_b", "bands"])
         give_back()
 
     return sign
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate([a, b])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
 def _verify(size: int, percent: int):
+    def close(n: int, m: int, shared: int) -> bool:
+        return n > 0 and m > 0 and 100 * shared >= percent * (n + m - shared)
+
     def sets(texts: pa.Array) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         for i, j in segments(texts):
@@ -128,22 +152,20 @@ def _verify(size: int, percent: int):
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, at = buffers(batch.column(2))
             for i, j in segments(batch.column(2)):
                 part = batch.slice(i, j - i)
-                ids_b, texts_b = part.column(1).to_pylist(), part.column(3)
-                order: dict[int, int] = {}
-                for k, b in enumerate(ids_b):  # a bucket's smallest document comes again and again
-                    order.setdefault(b, k)
-                pos = {b: n for n, b in enumerate(order)}
-                right = sets(texts_b.take(pa.array(list(order.values()), pa.int32())))
-                linked = []
-                for left, b in zip(sets(part.column(2)), ids_b, strict=True):
-                    other = right[pos[b]]
-                    both = np.concatenate([left, other])
-                    both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
-                    linked.append(len(both) > 0 and 100 * shared >= percent * (len(both) - shared))
+                texts, others = (part.column(k).fill_null("") for k in (2, 3))
+                coded = others.dictionary_encode()  # a bucket's smallest document comes again and again
+                right, at = sets(coded.dictionary), coded.indices.to_pylist()
+                linked, held, other = [], None, set()
+                for k, left in enumerate(sets(texts)):
+                    fits = close(len(left), len(right[at[k]]), _shared(left, right[at[k]]))
+                    if fits:
+                        if held != at[k]:
+                            held, other = at[k], shingles(others[k].as_py(), size)
+                        own = shingles(texts[k].as_py(), size)
+                        fits = close(len(own), len(other), len(own & other))
+                    linked.append(fits)
                 yield part.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
         give_back()
 
@@ -166,13 +188,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     bands = band_plan(percent, rows)
-    signed = cut(docs.mapInArrow(_sign(shingle, bands, rows), "doc long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
+    signed = cut(docs.mapInArrow(_sign(shingle, bands, rows), "doc long, n_shingles long, class_a long, class_b long, bands array<long>"), "signatures")
     whole = signed.where("n_shingles > 0 and doc is not null")
-    classes = whole.groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "bands")).alias("first")).select("set_a", "set_b", F.col("first.doc").alias("doc"), F.col("first.bands").alias("bands"))
-    spread = classes.select("doc", F.explode("bands").alias("band"))
-    heads = spread.groupBy("band").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = cut(spread.join(heads, "band").select("band", "doc", "head"), "buckets")
+    classes = whole.groupBy("class_a", "class_b").agg(F.min(F.struct("doc", "bands")).alias("first"))
+    spread = cut(classes.select(F.col("first.doc").alias("doc"), F.col("first.bands").alias("bands")), "classes").select("doc", F.explode("bands").alias("band"))
+    heads = spread.groupBy("band").agg(F.min("doc").alias("head"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    heads = cut(heads.where("head < last").drop("last"), "heads")
+    shared = cut(spread_join(spread, heads.drop("n"), "band", "doc", heads.select("band", "n")).select("band", "doc", "head"), "buckets")
     texts = cut(docs.join(shared.select("doc").distinct(), "doc", "left_semi"), "candidates")
+    member = cut(_members(whole.select("doc", "class_a", "class_b")), "members")
 
     def compare(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
@@ -184,7 +208,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         return frame.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
 
     tried = cut(pairs_of(shared, "doc", "head"), "pairs")
-    links = cut(compare(tried), "links")
+    # a document of several texts links their classes
+    several = member.groupBy("doc").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("doc")
+    links = cut(compare(tried).unionByName(member.join(several, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("first").alias("b"))), "links")
     known = _labels(links)
     rest = _mixed(shared.select(F.col("band").alias("key"), "doc"), known)
     keys = cut(_rare_keys(texts, rest.groupBy("doc").agg(F.first("component").alias("component")), shingle, percent), "keys")
@@ -195,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         others = others.select("key", *(F.col(c).alias(f"other_{c}") for c in ("component", "doc", "n", "rank")))
         # linked sets still have enough in common after the first shingle that they share
         after = F.lit(1) + F.least(F.col("n") - F.col("rank"), F.col("other_n") - F.col("other_rank"))
-        met = rest.join(others, "key").where("component <> other_component").where(after * (100 + percent) >= percent * (F.col("n") + F.col("other_n")))
+        met = spread_join(rest, others, "key", "doc").where("component <> other_component").where(after * (100 + percent) >= percent * (F.col("n") + F.col("other_n")))
         new = cut(pairs_of(met, "doc", "other_doc").join(tried, ["a", "b"], "left_anti"), "pairs")
         found = cut(compare(new), "links") if not new.isEmpty() else None
         if found is None or found.isEmpty():
@@ -205,7 +231,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
             continue
         tried, links = tried.unionByName(new), links.unionByName(found)
         known, last = _labels(links), False
-    member = _members(whole.select("doc", "set_a", "set_b"))
     member = member.join(known, F.col("first") == F.col("node"), "left").select("doc", F.coalesce("component", "first").alias("component"))
     label = member.groupBy("doc").agg(F.min("component").alias("component"))
     return signed.select("doc", "n_shingles").join(label, "doc", "left").select(
@@ -214,13 +239,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
 
 
 def _members(whole: DataFrame, parts: int = 1000) -> DataFrame:
-    """``doc`` and ``first``, the smallest document of the same set.
+    """``doc`` and ``first``, the smallest document of the same class.
 
-    Sets that more than one in ``parts`` of all documents have are fewer than ``parts``, so they are broadcast and
-    their documents are not shuffled; the others are joined by their sets.
+    Classes that more than one in ``parts`` of all documents have are fewer than ``parts``, so they are broadcast and
+    their documents are not shuffled; the others are joined by their class.
     """
-    same = ["set_a", "set_b"]
-    firsts = cut(whole.groupBy(*same).agg(F.min("doc").alias("first"), F.count("*").alias("copies")), "sets")
+    same = ["class_a", "class_b"]
+    firsts = cut(whole.groupBy(*same).agg(F.min("doc").alias("first"), F.count("*").alias("copies")), "classes")
     hot = F.col("copies") * parts > (firsts.agg(F.sum("copies")).first()[0] or 0)
     placed = whole.join(F.broadcast(firsts.where(hot & (F.col("copies") > 1)).select(*same, "first")), same, "left")
     few = placed.where("first IS NULL").drop("first").join(firsts.select(*same, "first"), same)
@@ -229,9 +254,10 @@ def _members(whole: DataFrame, parts: int = 1000) -> DataFrame:
 
 def _mixed(keys: DataFrame, known: DataFrame) -> DataFrame:
     """The rows of ``keys``, with their ``component``, whose key documents of different components share."""
-    placed = keys.join(known, F.col("doc") == F.col("node"), "left").select(*keys.columns, F.coalesce("component", "doc").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return placed.join(mixed, "key")
+    placed = cut(keys.join(known, F.col("doc") == F.col("node"), "left").select(*keys.columns, F.coalesce("component", "doc").alias("component")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+    mixed = cut(mixed.where("lo < hi").select("key", "n"), "mixed")
+    return spread_join(placed, mixed.select("key"), "key", "doc", mixed)
 
 
 def _rare_keys(texts: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:

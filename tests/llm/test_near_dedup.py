@@ -15,6 +15,7 @@ def shingles(text, n):
 
 
 def expected(rows, n, percent):
+    """By id, so that rows of one id are one document of several texts."""
     sets = [(i, shingles(t, n)) for i, t in rows]
     root = {i: i for i, _ in sets if i is not None}
 
@@ -56,6 +57,30 @@ def test_equals_brute_force(spark, n, percent):
     assert sorted(map(tuple, got.collect()), key=str) == expected(rows, n, percent)
 
 
+def test_an_id_of_several_texts_links_them(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a + " x"), (2, a), (5, a), (5, b), (9, b + " x"), (5, None), (11, "c d e f"), (11, "g h i j"), (12, "g h i j")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert sorted(map(tuple, got.collect()), key=str) == expected(rows, 3, 85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 5: 1, 9: 1, 11: 11, 12: 11}
+
+
+def test_words_that_polynomials_modulo_a_power_of_two_confuse(spark):
+    x = [0]
+    while len(x) < 1024:
+        x += [1 - i for i in x]
+    rows = [(k, "".join("ab"[i ^ k] for i in x)) for k in (0, 1)]
+    assert [r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_links_that_only_hashes_show_are_not_taken(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dedup, "shingle_hashes", lambda texts, size: (np.ones(len(texts), np.uint64), np.arange(len(texts))))
+    batch = pa.RecordBatch.from_pydict({"a": [2, 3], "b": [1, 1], "text_a": ["a b c", "x y z"], "text_b": ["A  b c", "A  b c"]})
+    assert [b.to_pylist() for b in near_dedup._verify(3, 85)(iter([batch]))] == [[{"a": 2, "b": 1}]]
+
+
 def test_signatures_estimate_the_similarity():
     rng = np.random.default_rng(0)
     places, errors = 128, []
@@ -83,4 +108,4 @@ def test_components(spark):
 def test_empty_table_and_plan(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     bands = near_dedup.band_plan(85)
-    assert (1 - 0.85**5) ** bands <= 1e-6
+    assert (1 - 0.85**5) ** bands <= 1e-9
