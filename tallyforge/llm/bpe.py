@@ -4,7 +4,7 @@ The symbols of many words stand in one flat array.  A round looks up all
 neighbouring pairs by binary search over the sorted keys of the known pairs, finds
 the lowest rank of each word, and merges every place of that pair.  Words without
 a known pair leave the array.  Only words that a task has not met are merged; how
-they are encoded is remembered, up to a bound.
+they are encoded is remembered, up to a bound of bytes.
 
 The vocabulary is a file of the tokenizers library: a BPE model with the suffix of
 word ends, a splitting pattern, byte-level symbols, and lower-casing after NFC.  It
@@ -13,6 +13,7 @@ is read on the driver and broadcast (its size is that of the file, two megabytes
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import unicodedata
@@ -27,13 +28,61 @@ from pyspark.sql import types as T
 
 from tallyforge.llm.common import give_back, segments
 
-#: Remembered words of a task; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: About so many bytes of remembered pieces a task; beyond it the memory starts anew.
+REMEMBERED = 40 << 20
+_SEGMENT = 1 << 20  # bytes of text that are split at once
 _NONE = np.iinfo(np.int64).max
 _BITS = 20  # of a symbol's number in a pair key
 _SPACE = regex.compile("[" + "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
 #: str.split() takes these for white space, the vocabulary's pattern does not.
 _SEPARATORS = regex.compile("[" + "".join(map(chr, range(0x1C, 0x20))) + "]")
+# How the tokenizers library's tables differ from Unicode 15.1, which Python 3.13 has (first and last code points).
+# Letters and numbers that its pattern knows besides:
+MORE_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+MORE_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+# Letters that it lower-cases besides:
+MORE_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+# Characters that its normal form neither moves nor composes, as they are younger than its tables:
+UNMOVED = [
+    (0x898, 0x898), (0x89C, 0x89F), (0x8CA, 0x8CE), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1AC1, 0x1AC2), (0x1AC5, 0x1AC9), (0x1ACB, 0x1ACE),
+    (0x1DF6, 0x1DF8), (0x1DFA, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10F48, 0x10F4A), (0x10F4C, 0x10F4C), (0x10F82, 0x10F82), (0x10F84, 0x10F84),
+    (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47),
+    (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE),
+    (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4ED), (0x1E4EF, 0x1E4EF),
+]
+
+
+def _class(ranges: Iterable[tuple[int, int]]) -> str:
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+_UNMOVED = regex.compile(f"([{_class(UNMOVED)}])")
+_MORE_LOWER = regex.compile(f"[{_class((c, c) for c in MORE_LOWER)}]")
+
+
+@functools.cache
+def _kind(letter: str, more: tuple[tuple[int, int], ...]) -> str:
+    """A class of the regex module (its version 1): its own category, less what this Python does not have in it, and ``more``."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    young = [ord(c) for c in regex.findall(rf"\p{{{letter}}}", every) if unicodedata.category(c)[0] != letter]
+    runs = np.split(np.array(young), np.flatnonzero(np.diff(young) != 1) + 1)
+    gone = _class((int(r[0]), int(r[-1])) for r in runs if len(r))
+    return rf"[\p{{{letter}}}--[{gone}]]||[{_class(more)}]" if gone else rf"\p{{{letter}}}||[{_class(more)}]"
+
+
+def _known(pattern: str) -> str:
+    """The vocabulary's pattern, with letters and numbers as the library knows them."""
+    letters, numbers = _kind("L", tuple(MORE_LETTERS)), _kind("N", tuple(MORE_NUMBERS))
+    for plain, own in ((r"[^\s\p{L}\p{N}]", rf"[^\s||{letters}||{numbers}]"), (r"[\p{L}]", f"[{letters}]"), (r"[\p{N}]", f"[{numbers}]")):
+        pattern = pattern.replace(plain, own)
+    return pattern
 
 
 def byte_symbols() -> list[str]:
@@ -64,13 +113,15 @@ class Vocabulary:
         keys = pairs[:, 0] << _BITS | pairs[:, 1]
         order = np.argsort(keys)
         self.keys, self.ranks, self.merged = keys[order], order.astype(np.int64), pairs[order, 2]
-        self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
+        self.pattern = regex.compile(_known(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")), regex.V1)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def words_of(self, piece: str) -> list[str]:
         """The words of a piece of text without added tokens, as the pattern finds them."""
         if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # lower() alone minds a sigma's place
+            piece = "".join(unicodedata.normalize("NFC", x) for x in _UNMOVED.split(piece)).replace("Σ", "σ")  # lower() alone minds a sigma's place
+            if _MORE_LOWER.search(piece):
+                piece = piece.translate(MORE_LOWER)
         piece = piece.lower()
         if piece.isalpha():
             return [piece]
@@ -136,11 +187,13 @@ class Encoder:
         self.vocabulary, self.remembered = vocabulary, remembered
         self.ids: dict[str, bytes] = {}  # 32-bit numbers, which take an eighth of the memory of Python's
         self.words: dict[str, bytes] = {}
+        self.held = 0
         self._forget()
 
     def _forget(self) -> None:
         self.ids.clear()
         self.words.clear()
+        self.held = 0
         self.words |= {x: np.int32(i).tobytes() for x, i in self.vocabulary.added.items()}
 
     @staticmethod
@@ -163,6 +216,7 @@ class Encoder:
         known.update(zip(unknown, self.vocabulary.merge(unknown), strict=True))
         for piece, words in zip(new, plan, strict=True):
             self.ids[piece] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+        self.held += 300 * len(new) + 4 * sum(map(len, new))
         return new
 
     def encode(self, pieces: list[str]) -> bytes:
@@ -170,7 +224,7 @@ class Encoder:
 
     def texts(self, texts: list[str | None]) -> list[list[str]]:
         """The pieces of each text, all of them known afterwards."""
-        if len(self.ids) > self.remembered:
+        if self.held > self.remembered:
             self._forget()
         split = [self.pieces(x) if x else [] for x in texts]
         self.learned = self.learn(split)
@@ -199,25 +253,23 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
     in a text become those tokens.  Rows are encoded on their own, so repeated rows stay.
     """
     file = docs.sparkSession.sparkContext.broadcast(_content(vocabulary))
-    docs = docs.drop("n_tokens", "ids").withColumn("_text", F.col(text_col)).drop(text_col)
-    rest = [f for f in docs.schema.fields if f.name != "_text"]
+    rest = [f for f in docs.schema.fields if f.name not in (text_col, "n_tokens", "ids")]
     schema = T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(load(file.value))
         for batch in batches:
-            texts = batch.column("_text")
-            for i, j in segments(texts, 4 << 20):
+            *others, texts = batch.columns
+            for i, j in segments(texts, _SEGMENT):
                 ids = [encoder.encode(pieces) for pieces in encoder.texts(texts[i:j].to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 flat = np.frombuffer(b"".join(ids), np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in names), pa.array(n), lists], [*names, "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*(c[i:j] for c in others), pa.array(n), lists], schema.names)
         del encoder
         give_back()
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*(f.name for f in rest), text_col).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
@@ -251,7 +303,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         decoded: dict[str, str] = {}
         for batch in batches:
             texts = batch.column(1)
-            for i, j in segments(texts, 4 << 20):
+            for i, j in segments(texts, _SEGMENT):
                 n, ids_sha, text_sha = [], [], []
                 split = encoder.texts(texts[i:j].to_pylist())
                 if len(shown) + len(encoder.learned) != len(encoder.ids):  # it has begun anew

@@ -34,12 +34,25 @@ def test_equals_the_library(text):
     assert VOCABULARY.decode(ids) == decoded
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(st.characters(max_codepoint=0x2FFF, exclude_categories=["Cn", "Cs"]), max_size=40))
+YOUNG = [c for a, b in [*bpe.UNMOVED, *bpe.MORE_NUMBERS, *bpe.MORE_LETTERS] for c in (a, b)] + [*bpe.MORE_LOWER, 0x11935, 0x11938]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from([*map(chr, YOUNG), "a", "e", "\u0301", "\u0323", "\u0308", "!", "7", "Σ"])), max_size=40))
 def test_equals_the_library_on_any_text(text):
     assert encoded(text) == expected(text)[0]
 
 
+def test_equals_the_library_on_every_code_point():
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for shown in ("a{0}b", "{0}{0}", "!{0}7"):
+        encoder = bpe.Encoder(VOCABULARY)
+        for i in range(0, len(points), 1 << 14):
+            text = " ".join(shown.format(chr(c)) for c in points[i : i + (1 << 14)])
+            got = encoder.encode(encoder.texts([text])[0])
+            assert memoryview(got).cast("i").tolist() == REAL.encode(text, add_special_tokens=False).ids, hex(points[i])
+
+
 def test_merging_all_places_of_a_pair_at_once_is_safe():
     """No merge ranks below one that makes a part of it, so the order of places in a word does not matter."""
     made = dict(zip(VOCABULARY.merged.tolist(), VOCABULARY.ranks.tolist()))
@@ -66,5 +79,10 @@ def test_a_small_memory_changes_nothing(spark):
         assert memoryview(encoder.encode(encoder.texts([text])[0])).cast("i").tolist() == expected(text)[0]
 
 
+def test_columns_with_names_of_the_operator_stay(spark):
+    docs = spark.createDataFrame([("a b", 1, "own", 9)], "text string, doc_id long, _text string, n_tokens int")
+    assert bpe.encode(docs, PATH).drop("ids").collect() == [(1, "own", 2)]
+
+
 def test_empty_table(spark):
     assert bpe.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
