@@ -24,8 +24,8 @@ from tallyforge.llm.common import LOWER_ALNUM, cut, give_back, segments, words
 
 #: Labelled rows in the sample, about (each row is in it with the same chance, by a hash of its id).
 SAMPLE = 20_000
-#: Features of a model at most; those with the largest likelihood-ratio statistic.
-FEATURES = 8_192
+#: The grade that a row of labels gives, as SQL: 0 is not toxic, 1 toxic, 2 toxic in a text that is also bad otherwise.
+GRADE = "CASE WHEN toxic = 0 THEN 0 WHEN toxic > 0 AND quality = 0 THEN 2 WHEN toxic > 0 THEN 1 END"
 #: Least likelihood-ratio statistic of a feature with the label (3.8 standard errors).
 _TELLING = 3.8**2
 PREFIXES = (4, 5, 6)
@@ -122,6 +122,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(np.append(first, len(keys)))
             bad = np.add.reduceat(toxic[doc], first) if len(first) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(bad.astype(np.int64))], ["key", "n", "bad"])
+    give_back()
 
 
 def _sparse(keys: np.ndarray):
@@ -132,25 +133,25 @@ def _sparse(keys: np.ndarray):
                 doc, at, n = model.counts(batch.column(0)[i:j])
                 edges = pa.array(np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in (at, n)]
-                yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], *lists], ["toxic", "at", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], *lists], ["grade", "at", "n"])
+        give_back()
 
     return sparse
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = FEATURES, severe: tuple[int, ...] = (4, 8), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from ``docs`` and 0/1 ``labels`` of about ``sample`` of them.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grade: str = GRADE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from ``docs`` and the grades (0, 1, ...) that ``labels`` give to about ``sample`` of them.
 
-    Grade 0 is a document that is not toxic.  A toxic one has grade 1, and one more for each
-    number of ``severe`` that its occurrences of strong features reach (strong: a log odds ratio
-    of 3 or more).  A document is toxic if any of its labels says so; labels without an id or a
-    value are left out.  Without labelled rows of both kinds the model calls nothing toxic.
+    The grades come from the labels alone.  Of several labels of a document the largest grade holds; labels without an
+    id or a grade are left out, and grades that none has leave no gap.  Every feature that tells enough of toxicity in
+    the sample is in the model.  Without labelled rows of both kinds the model calls nothing toxic.
     """
-    given = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("long")).alias("toxic"))
+    given = labels.select(F.col(id_col).alias("id"), F.expr(grade).cast("long").alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL").groupBy("id").agg(F.max("grade").alias("grade"))
     n = given.count()
     if n > sample:
         given = given.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
     # about `sample` rows of two numbers: a bound of 16 bytes a row
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(given), "id").select("text", "toxic")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(given), "id").select("text", (F.col("grade") > 0).cast("long").alias("toxic"), "grade")
     rows = cut(rows, "labelled")
     count, bad = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < bad < count:
@@ -158,29 +159,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features:
     good = count - bad
     part = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
     n, b = F.col("n"), F.col("bad")
-    odds = F.log((b + 0.5) / (bad - b + 0.5)) - F.log((n - b + 0.5) / (good - n + b + 0.5))
     ratio = part(b, n * bad / count) + part(n - b, n * good / count) + part(bad - b, (count - n) * bad / count) + part(good - n + b, (count - n) * good / count)
     seen = rows.mapInArrow(_tally, "key long, n long, bad long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where("n >= 4")
-    seen = seen.withColumn("odds", odds).withColumn("g", 2 * ratio).where(F.col("g") >= _TELLING).orderBy(F.desc("g"), "key").limit(most_features)
-    chosen = seen.select("key", "odds").toPandas()
-    keys = chosen["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    keys, strong = keys[order], chosen["odds"].to_numpy(float)[order] >= 3
+    seen = seen.withColumn("g", 2 * ratio).where(F.col("g") >= _TELLING)
+    keys = np.sort(seen.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))  # of the words of the sample
     if not len(keys):
         return Model()
-    table = rows.mapInArrow(_sparse(keys), "toxic long, at array<int>, n array<int>").toArrow()
-    toxic = table["toxic"].to_numpy()
+    table = rows.select("text", "grade").mapInArrow(_sparse(keys), "grade long, at array<int>, n array<int>").toArrow()
+    grade = np.unique(table["grade"].to_numpy(), return_inverse=True)[1]
     flat = [table[c].combine_chunks() for c in ("at", "n")]
-    doc = np.repeat(np.arange(len(toxic)), np.diff(flat[0].offsets.to_numpy()))
+    doc = np.repeat(np.arange(len(grade)), np.diff(flat[0].offsets.to_numpy()))
     at, times = (x.flatten().to_numpy().astype(np.int64) for x in flat)
-    kind = (keys >> _U(56)).astype(np.int64)  # a word counts once, though its prefixes are features too
-    hits = np.max([np.bincount(doc, times * (strong & (kind == k))[at], len(toxic)) for k in (0, *PREFIXES)], 0)
-    grade = np.where(toxic > 0, 1 + sum((hits >= k).astype(np.int64) for k in severe), 0)
-    if grade.max() < 1 + len(severe):  # no such severe document: grades without a gap
-        grade = np.unique(grade, return_inverse=True)[1]
     weights, thresholds = fit_ordinal(doc, at, np.log1p(times), grade, len(keys))
     model = Model(keys, weights, thresholds)
-    model.least = best_cut(_logistic(np.bincount(doc, weights[at] * np.log1p(times), len(toxic)) - thresholds[0]), toxic > 0)
+    model.least = best_cut(_logistic(np.bincount(doc, weights[at] * np.log1p(times), len(grade)) - thresholds[0]), grade > 0)
     return model
 
 
@@ -194,9 +186,10 @@ def best_cut(p: np.ndarray, truth: np.ndarray) -> float:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``severity`` (expected grade), ``p_toxic``, ``grade`` (the likeliest) and ``toxic``.
+    """``docs`` with ``severity`` (expected grade), ``p_toxic``, ``grade`` and ``toxic``.
 
-    A document is toxic if P(grade > 0) is the model's ``least`` or more, the best cut on its sample.  Each row is judged on its own
+    A document is toxic if P(grade > 0) is the model's ``least`` or more, the best cut on its sample.  Its grade is then the
+    median, 1 at least; that of others is 0.  Each row is judged on its own
     whole text; a null or empty text has no features.  Columns of these four names are replaced.
     """
     made = T.StructType.fromDDL("severity double, p_toxic double, grade int, toxic boolean")
@@ -208,9 +201,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             texts = batch.column(names.index(text_col))
             for i, j in segments(texts):
                 above = model.above(texts[i:j])
-                edges = np.concatenate([np.ones((j - i, 1)), above, np.zeros((j - i, 1))], 1)
-                grade = (edges[:, :-1] - edges[:, 1:]).argmax(1)
-                new = [pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(grade.astype(np.int32)), pa.array(above[:, 0] >= model.least)]
+                toxic = above[:, 0] >= model.least
+                grade = np.where(toxic, np.maximum((above >= 0.5).sum(1), 1), 0)
+                new = [pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(grade.astype(np.int32)), pa.array(toxic)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *new], [*names, *made.names])
         give_back()
 

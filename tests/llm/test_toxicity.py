@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 
 from tallyforge.llm import toxicity
+from tallyforge.llm.common import word_hash
 from tallyforge.llm.toxicity import Model, fit, fit_ordinal, score
 
 BAD = ["moron", "idiot", "scum", "veju"]
@@ -15,14 +16,65 @@ def corpus(n=1200, seed=0):
     for i in range(n):
         text = list(rng.choice(plain, rng.integers(3, 60)))
         toxic = int(rng.random() < 0.15)
-        for _ in range(rng.integers(1, 10) if toxic else 0):
+        times = rng.integers(1, 10) if toxic else 0
+        for _ in range(times):
             bad = rng.choice(BAD)
             text.insert(rng.integers(len(text)), bad + "".join(rng.choice(list("abcdefgh"), 3)) if bad == "veju" else bad.capitalize() + ",")
         rows.append((i, " ".join(text)))
-        labels.append((i, 1, toxic))
+        labels.append((i, int(times < 5), toxic))  # the graver half is of bad quality too
     return rows, labels
 
 
+def plain(model, text):
+    """P(grade > k) of one text, word by word."""
+    import re
+
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    counts = {}
+    for word in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower()):
+        own = [word_hash(word.decode("utf-8", "surrogateescape")) >> 8] if word.isascii() else []
+        own += [int.from_bytes(word[:k], "little") | k << 56 for k in toxicity.PREFIXES if len(word) > k]
+        for key in own:
+            counts[key] = counts.get(key, 0) + 1
+    x = sum(weight[k] * np.log1p(n) for k, n in counts.items() if k in weight)
+    return [1 / (1 + np.exp(t - x)) for t in model.thresholds]
+
+
+def test_scores_equal_a_plain_version(spark):
+    rows, labels = corpus(400, seed=4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    for r in score(docs, model).collect():
+        want = plain(model, r.text)
+        assert r.p_toxic == pytest.approx(want[0], abs=1e-9) and r.severity == pytest.approx(sum(want), abs=1e-9)
+        assert r.toxic == (r.p_toxic >= model.least) and r.grade == (max(1, sum(p >= 0.5 for p in want)) if r.toxic else 0)
+
+
+def test_no_feature_is_left_out(spark):
+    stems = ["".join(np.random.default_rng(i).choice(list("bcdfgh"), 9)) for i in range(3000)]
+    rows = [(i, " ".join(stems[10 * (i // 6) : 10 * (i // 6) + 10]) if i % 6 < 5 and i < 1800 else "fine words here") for i in range(18000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(t != "fine words here")) for i, t in rows], "doc_id long, quality int, toxic int")
+    assert len(fit(docs, labels).keys) > 8192
+
+
+def test_the_gradient_is_that_of_the_likelihood():
+    """At the fitted point no small step makes the penalised likelihood better."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 3, (600, 3))
+    grade = np.digitize(x @ [1.0, -0.5, 0.3] + rng.logistic(size=600), [0.0, 1.5])
+    doc, at = np.nonzero(x)
+    w, t = fit_ordinal(doc, at, x[doc, at].astype(float), grade, 3, penalty=1e-3, steps=3000, rate=0.02)
+
+    def loss(p):
+        edges = np.concatenate([np.zeros((600, 1)), 1 / (1 + np.exp(-(p[None, 3:] - (x @ p[:3])[:, None]))), np.ones((600, 1))], 1)
+        rows = np.arange(600)
+        return -np.log(edges[rows, grade + 1] - edges[rows, grade]).mean() + 0.5e-3 * (p[:3] ** 2).sum()
+
+    p = np.concatenate([w, t])
+    assert all(loss(p) <= loss(p + step) + 1e-7 for k in range(5) for step in (0.02 * np.eye(5)[k], -0.02 * np.eye(5)[k]))
+
+
 def test_held_out_accuracy(spark):
     rows, labels = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
