@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tallyforge.llm.common import mix, range_chunks
+from tallyforge.llm.common import give_back, mix, range_chunks, segments
 
-#: Texts that share 128 characters in a row share a fingerprint; of random text one hash in 49 is chosen.
-GRAM, WINDOW = 32, 97
+#: Texts that share 31 characters in a row share a fingerprint; of random text two hashes in 17 are chosen.
+GRAM, WINDOW = 16, 16
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _SEGMENT = 1 << 20  # hashes that are winnowed at once; positions in a segment take 20 bits
@@ -36,18 +36,16 @@ def code_points(text: str) -> np.ndarray:
 
 
 def gram_hashes(points: np.ndarray, gram: int) -> np.ndarray:
-    """Hashes of all runs of ``gram`` code points, by prefix sums of a polynomial modulo 2**64."""
-    n = len(points)
-    base = _U(_BASE)
-    up = np.full(n + 1, base, np.uint64)
-    up[0] = 1
-    up = np.multiply.accumulate(up)
-    down = np.full(n + 1, _U(pow(_BASE, -1, 1 << 64)), np.uint64)
-    down[0] = 1
-    down = np.multiply.accumulate(down)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(points.astype(np.uint64) + _U(1)) * up[:n], out=total[1:])
-    return mix((total[gram:] - total[:-gram]) * down[: n - gram + 1])
+    """Polynomial hashes modulo 2**64 of all runs of ``gram`` code points; those of a run's halves make that of the run."""
+    one = mix(points.astype(np.uint64) + _U(1))
+    out, size = one, 1
+    for bit in bin(gram)[3:]:
+        out = out[:-size] * _U(pow(_BASE, size, 1 << 64)) + out[size:]
+        size *= 2
+        if bit == "1":
+            out = out[:-1] * _U(_BASE) + one[size : size + len(out) - 1]
+            size += 1
+    return mix(out)
 
 
 def window_minima(keys: np.ndarray, window: int) -> np.ndarray:
@@ -71,11 +69,12 @@ def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarra
     if not text:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     points = code_points(text)
-    hashes = gram_hashes(points, min(gram, len(points)))
-    window = min(window, len(hashes))
+    gram = min(gram, len(points))
+    n = len(points) - gram + 1
+    window = min(window, n)
     values, positions = [], []
-    for i in range(0, len(hashes) - window + 1, _SEGMENT - window + 1):
-        part = hashes[i : i + _SEGMENT]
+    for i in range(0, n - window + 1, _SEGMENT - window + 1):
+        part = gram_hashes(points[i : i + _SEGMENT + gram - 1], gram)
         last = _U(_SEGMENT - 1) - np.arange(len(part), dtype=np.uint64)  # of equal hashes the rightmost is smallest
         least = window_minima(part & _HIGH | last, window)
         least = least[np.append(True, least[1:] != least[:-1])]
@@ -118,14 +117,17 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [winnow(x or "", gram, window) for x in batch.column(names.index(text_col)).to_pylist()]
-            lists = [pa.array([f[k].astype(np.int64) for f in found], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*names, "hashes", "positions"])
+            texts = batch.column(names.index(text_col))
+            for i, j in segments(texts):
+                found = [winnow(x.as_py() or "", gram, window) for x in texts[i:j]]
+                lists = [pa.array([f[k].astype(np.int64) for f in found], pa.list_(pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *lists], [*names, "hashes", "positions"])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
 
-_COMPARED = pa.schema([("id", "int64"), ("n_chars", "int64"), *((c, "string") for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), *((c, "float64") for c in ("near_edited", "near_next"))])
+_COMPARED = pa.schema([("id", "int64"), ("n_chars", "int64"), *((c, "string") for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), *((c, "float64") for c in ("near_edited", "near_next")), ("positions", pa.list_(pa.int32()))])
 
 
 def _compare(gram: int, window: int):
@@ -137,25 +139,26 @@ def _compare(gram: int, window: int):
             chunk = chunk.take(pa.array(rows))
         ids, texts, guest = chunk["id"], chunk["text"], chunk["guest"].to_pylist()
         rows = []
+        give_back()  # what the groups before this one have freed
         text = texts[0].as_py() or ""
-        found = winnow(text, gram, window)[0]
+        found, at = winnow(text, gram, window)
         for i in range(len(guest)):
             if guest[i]:
                 break
             other = texts[i + 1].as_py() or ""
-            after = winnow(other, gram, window)[0]
+            after, next_at = winnow(other, gram, window)
             changed = edited(text, other)
             new = winnow(changed, gram, window)[0]
             sha = hashlib.sha256(changed.encode()).hexdigest()
-            rows.append((ids[i].as_py(), len(text), sha, shown(found), shown(new), likeness(found, new), likeness(found, after)))
-            text, found = other, after
+            rows.append((ids[i].as_py(), len(text), sha, shown(found), shown(new), likeness(found, new), likeness(found, after), at.astype(np.int32)))
+            text, found, at = other, after, next_at
         return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_COMPARED)], schema=_COMPARED)
 
     return compare
 
 
 def compare_with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
-    """Fingerprints of each document and of its text edited with the next one's, and how alike they are.
+    """Fingerprints of each document and of its text edited with the next one's, how alike they are, and ``positions`` of the first.
 
     The next document is the one of the next larger id, after the last the first.  Null ids
     come before all others; rows of one id follow each other in the order of their texts, null
@@ -164,7 +167,7 @@ def compare_with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, i
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chunked, _ = range_chunks(docs, "id", "text", chunk_bytes)
-    # one row of numbers a chunk: its smallest id, null if it holds one, and the chunk before it
+    # one row of numbers a chunk (with more text chunks grow, so that 100 TB have 400,000): its smallest id, null if it holds one, and the chunk before it
     around = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = chunked.groupBy("chunk").agg(F.min("id").alias("head"), F.count_if(F.col("id").isNull()).alias("nulls"))
     heads = heads.select(F.when(F.col("nulls") == 0, F.col("head")).alias("head"), F.coalesce(F.lag("chunk").over(Window.orderBy("chunk")), F.max("chunk").over(around)).alias("chunk"))

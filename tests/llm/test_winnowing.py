@@ -5,7 +5,24 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyforge.llm import winnowing
-from tallyforge.llm.winnowing import code_points, gram_hashes, winnow
+from tallyforge.llm.winnowing import winnow
+
+
+M = (1 << 64) - 1
+
+
+def mixed(h):
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ h >> 33) * factor & M
+    return h ^ h >> 33
+
+
+def rolling(text):
+    """The polynomial of a run of characters, one character after the other."""
+    h = 0
+    for c in text:
+        h = (h * winnowing._BASE + mixed(ord(c) + 1)) & M
+    return mixed(h)
 
 
 def plain(text, gram, window):
@@ -13,7 +30,7 @@ def plain(text, gram, window):
     if not text:
         return []
     gram = min(gram, len(text))
-    hashes = [int(gram_hashes(code_points(text[i : i + gram]), gram)[0]) >> 20 for i in range(len(text) - gram + 1)]
+    hashes = [rolling(text[i : i + gram]) >> 20 for i in range(len(text) - gram + 1)]
     window = min(window, len(hashes))
     out = []
     for i in range(len(hashes) - window + 1):
@@ -56,6 +73,12 @@ def test_a_long_match_is_always_found(before, after, shared):
     assert set(a.tolist()) & set(b.tolist())
 
 
+def test_half_of_a_short_text_is_seen():
+    text, other = "a text of some forty characters, not more", "quite another text, which shares nothing"
+    new = winnowing.edited(text * 2, other * 2)
+    assert winnowing.likeness(winnow(text * 2)[0], winnow(new)[0]) > 0.1
+
+
 def expected(rows, gram, window):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is None, r[1] or ""))
     out = []
@@ -79,9 +102,11 @@ def test_compare_with_next(spark):
     docs = spark.createDataFrame([(*r, 1, "x") for r in ROWS], "doc_id long, text string, chunk int, guest string").repartition(3)
     for chunk_bytes in (1 << 20, 40):
         got = winnowing.compare_with_next(docs, 5, 8, chunk_bytes=chunk_bytes)
-        assert got.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        assert got.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions"]
         rows = [(r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got.collect()]
         assert sorted(rows, key=str) == expected(ROWS, 5, 8)
+        places = {(i, tuple(p for _, p in plain(t or "", 5, 8))) for i, t in ROWS}
+        assert {(r.doc_id, tuple(r.positions)) for r in got.collect()} == places
 
 
 def test_fingerprints_keep_positions(spark):
