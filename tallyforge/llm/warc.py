@@ -31,7 +31,6 @@ from tallyforge.llm.common import cut, shared_folder
 #: Size from which a task begins a new archive.
 ARCHIVE_BYTES = 64 << 20
 _CHUNK = 1 << 16
-_MOST_HEADER = 1 << 20
 _END = b"\r\n\r\n"
 _WRITTEN = pa.schema([("archive", "string"), ("records", "int64"), ("bytes", "int64")])
 _READ = pa.schema(
@@ -146,10 +145,11 @@ class Reader:
             yield found
 
     def _fill(self, found: Record, member) -> None:
-        data = bytearray()
-        while (end := data.find(_END)) < 0:
+        data, seen = bytearray(), 0
+        while (end := data.find(_END, max(0, seen - len(_END) + 1))) < 0:
+            seen = len(data)
             more = self._more(member)
-            if not more or len(data) > _MOST_HEADER:
+            if not more:
                 found.error = "no end of the record's header"
                 break
             data += more
@@ -220,17 +220,25 @@ def read_archives(archives: DataFrame, payloads: bool = True, batch_bytes: int =
     return spread.mapInArrow(run, from_arrow_schema(_READ))
 
 
-def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
+def with_revisits(pages: DataFrame, least: int = 0, parts: int = 1000) -> DataFrame:
     """``page_id``, ``url``, ``payload`` and ``refers_to``: of pages with equal payloads, the largest id stands for all.
 
     Payloads below ``least`` bytes refer to none.  A null html is an empty payload.  Rows that
     repeat the largest id stand for themselves; a null id refers to the largest if there is one.
+
+    Payloads that more than one in ``parts`` of all pages have are fewer than ``parts``: their largest ids are
+    broadcast and their pages not shuffled.  The others meet by digest.
     """
     made = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     made = made.withColumn("digest", F.sha1("payload"))
-    heads = made.where(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("digest", "head")
+    heads = made.where(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = cut(heads, "heads")
+    hot = heads.where(F.col("n") * parts > pages.count()).select("digest", F.col("head").alias("hot_head"), F.lit(True).alias("hot"))
+    placed = made.join(F.broadcast(hot), "digest", "left")
+    few = placed.where("hot IS NULL").join(heads.select("digest", "head"), "digest", "left")
+    both = placed.where("hot").withColumnRenamed("hot_head", "head").select("page_id", "url", "payload", "head").unionByName(few.select("page_id", "url", "payload", "head"))
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head"))
-    return made.join(heads, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    return both.select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
 def archive_pages(pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:

@@ -39,6 +39,18 @@ def test_payloads_come_back(spark, tmp_path):
     assert {r.error for r in rows} == {None} and {r.target_uri for r in rows} >= {"http://b/%20x%0Ay"}
 
 
+def test_headers_of_any_length(spark):
+    pages = [(1, "http://a/" + "x" * 1_300_000, "body"), (2, "http://b/", "body")]
+    got = warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert sorted(map(tuple, got.collect()), key=str) == expected(pages)
+
+
+def test_payloads_of_many_pages(spark):
+    pages = [(i, "u", "hot" if i % 3 else f"own {i // 6}") for i in range(1500)]
+    got = warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert sorted(map(tuple, got.collect()), key=str) == expected(pages)
+
+
 def test_empty_table(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
