@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import cut
+from tallyforge.llm.common import cut, give_back
 
 _LINKS = "a long, b long"
 
@@ -57,6 +57,8 @@ def _contract(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterato
             yield stars()
             sets = UnionFind()
     yield stars()
+    del sets
+    give_back()
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:

@@ -281,6 +281,7 @@ def _rare_keys(texts: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
                 for k in range(0, len(doc), 100_000):
                     part = slice(k, k + 100_000)
                     yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(doc[part])), pa.array(n[part]), pa.array(hashes[part].view(np.int64))], ["doc", "n", "key"])
+        give_back()
 
     each = texts.join(docs.select("doc"), "doc", "left_semi").mapInArrow(shingles, "doc long, n long, key long")
     often = each.groupBy("key").agg(F.count("*").alias("docs")).where("docs > 1")
