@@ -1,7 +1,7 @@
 """License scans by templates with optional and replaceable regions.
 
 A template is text with markup: ``<<beginOptional>> ... <<endOptional>>`` encloses words that
-may be missing, ``<<var;max=N>>`` stands for up to N arbitrary words.  It is compiled to an
+may be missing, ``<<var;max=N>>`` stands for up to N arbitrary words and ``<<var>>`` for any number.  It is compiled to an
 automaton over word hashes.  A text has the template where the automaton accepts a run of its
 words, that is where all mandatory words stand exactly and in order.  The places at which a
 template can begin are those of its first mandatory run of words, which is found for a whole
@@ -27,22 +27,62 @@ from tallyforge.llm.common import LOWER_ALNUM, Words, segments, words
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed values: (label, phrase).
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-#: Fixed values: (label, template).
+_MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in
+the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>>
+shall be included in all copies or substantial portions of the Software."""
+_MIT_DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+<<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+<<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution."""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<var>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC_DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS" AND <<var;max=10>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+EVENT SHALL <<var;max=10>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_GNU = """under the <<beginOptional>>terms of the<<endOptional>> GNU {0}General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>>
+<<beginOptional>>, either<<endOptional>> version {1} <<beginOptional>>of the License<<endOptional>> <<beginOptional>>, or (at your option) any later version<<endOptional>>"""
+#: Fixed values: (label, template).  Whole licences first, then the notices by which a text refers to one.
 TEMPLATES = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software <<beginOptional>>and associated documentation files<<endOptional>> <<beginOptional>>(the \"Software\")<<endOptional>> to deal in the Software without restriction"),
+    ("mit", f"{_MIT_GRANT} {_MIT_DISCLAIMER}"),
+    ("bsd-2-clause", f"{_BSD_CONDITIONS} {_BSD_DISCLAIMER}"),
+    ("bsd-3-clause", f"{_BSD_CONDITIONS} <<beginOptional>>3.<<endOptional>> Neither the name of <<var>> nor the names of <<var>> may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_DISCLAIMER}"),
+    ("isc", f"Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_DISCLAIMER}"),
+    ("0bsd", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. {_ISC_DISCLAIMER}"),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+<<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+product documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+<<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
+form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all
+copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an
+overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""),
+    ("bsl-1", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use,
+reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in
+whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."""),
     ("mit", "<<beginOptional>>is<<endOptional>> released under the <<beginOptional>>terms of the<<endOptional>> MIT license"),
-    ("apache-2", "Licensed under the Apache License <<beginOptional>>Version<<endOptional>> 2 <<beginOptional>>0<<endOptional>> <<beginOptional>>(the \"License\"); you may not use this file except in compliance with the License<<endOptional>>"),
+    ("apache-2", """Licensed under the Apache License <<beginOptional>>Version<<endOptional>> 2 <<beginOptional>>0<<endOptional>> <<beginOptional>>(the "License"); you may not use this file except in compliance with the License
+<<beginOptional>>. You may obtain a copy of the License at <<var;max=8>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License<<endOptional>><<endOptional>>"""),
     ("cc-by-nc", "Licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>Creative Commons<<endOptional>> CC BY-NC <<var;max=2>> <<beginOptional>>license<<endOptional>>"),
     ("cc-by-nc", "Licensed under <<beginOptional>>a<<endOptional>> Creative Commons Attribution NonCommercial <<var;max=3>> license"),
-    ("gpl-3", "under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License <<beginOptional>>as published by the Free Software Foundation either<<endOptional>> version 3 <<beginOptional>>of the License<<endOptional>>"),
-    ("gpl-2", "under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License <<beginOptional>>as published by the Free Software Foundation either<<endOptional>> version 2 <<beginOptional>>of the License<<endOptional>>"),
-    ("bsd-3-clause", "Neither the name of <<var;max=10>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("isc", "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"),
+    ("cc0-1", "To the extent possible under law, <<var;max=20>> waived all copyright and related or neighboring rights to <<var;max=20>> This work is published from"),
+    ("gpl-2", _GNU.format("", "2")),
+    ("gpl-3", _GNU.format("", "3")),
+    ("lgpl-2.1", _GNU.format("<<beginOptional>>Library<<endOptional>> <<beginOptional>>Lesser<<endOptional>> ", "2 1")),
+    ("lgpl-3", _GNU.format("Lesser ", "3")),
+    ("agpl-3", _GNU.format("Affero ", "3")),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License <<beginOptional>>v<<endOptional>> 2 0"),
 )
 
 MARK = re.compile(r"<<\s*(beginOptional|endOptional|var(?:;[^<>]*)?)\s*>>")
-_UNLIMITED_VAR = 50  # words of a replaceable region that names no maximum
 
 
 def _hashes(text: str) -> list[int]:
@@ -70,9 +110,12 @@ class Automaton:
         self.by_word[at].setdefault(value, set()).add(new := self._state())
         return new
 
-    def anything(self, at: int, most: int) -> int:
+    def anything(self, at: int, most: int | None) -> int:
         end = self._state()
         self.free[at].add(end)
+        if most is None:
+            self.by_any[end].add(end)
+            return end
         for _ in range(most):
             self.by_any[at].add(new := self._state())
             self.free[new].add(end)
@@ -124,7 +167,7 @@ def compile_template(label: str, markup: str) -> Automaton:
             at = end
         elif i % 2:
             most = re.search(r"max=([0-9]+)", part)
-            at = out.anything(at, int(most[1]) if most else _UNLIMITED_VAR)
+            at = out.anything(at, int(most[1]) if most else None)
         else:
             own = _hashes(part)
             if own and not opened and not begun:  # the anchor; optional words before it can't make a text that lacks it fit
@@ -148,11 +191,13 @@ def places(found: Words, doc: np.ndarray, phrase: Sequence[int]) -> np.ndarray:
     m = len(phrase)
     if len(found.hash) < m:
         return np.zeros(0, np.int64)
-    n = len(found.hash) - m + 1
-    hit = doc[:n] == doc[m - 1 :]
+    hit = np.flatnonzero(found.hash[: len(found.hash) - m + 1] == np.uint64(phrase[0]))
+    hit = hit[doc[hit] == doc[hit + m - 1]]
     for k, value in enumerate(phrase):
-        hit &= found.hash[k : k + n] == np.uint64(value)
-    return np.flatnonzero(hit)
+        if not len(hit):
+            break
+        hit = hit[found.hash[hit + k] == np.uint64(value)]
+    return hit
 
 
 def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

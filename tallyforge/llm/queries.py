@@ -197,7 +197,7 @@ def _template_sql(markup: str) -> tuple[list[str], str]:
             depth -= 1
             out += ")?" if lead else ""
         elif i % 2:
-            out += "(?:[^ ]+ ){0,%s}" % part.partition("max=")[2]
+            out += "(?:[^ ]+ ){0,%s}" % part.partition("max=")[2] if "max=" in part else "(?:[^ ]+ )*"
         elif lead or not depth:
             own = [w.lower() for w in re.findall(_LICENSE_WORD, part.lower())]
             lead = lead or own

@@ -10,8 +10,8 @@ TEXTS = [
     None, "", "...", "Released under the MIT License.", "under the mit license under the mit license", "CC BY-NC 4.0, and cc by nc by nc",
     "é " * 50_000 + "Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. More.",
     "This work is licensed under the GNU General Public License, version 3.", "under the mit", "license under the mit license", "UNDER THE MIT LICENSÉ",
-    "Neither the name of the Copyright Holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "Neither the name of its contributors may be used",
+    "Copyright 2020 A. Nobody. " + licenses._MIT_GRANT.replace("<<beginOptional>>(including the next paragraph)<<endOptional>>", "") + "\n" + licenses._MIT_DISCLAIMER.replace("<<var>>", "the authors or copyright holders " * 30),
+    licenses._MIT_GRANT + " but never on a Sunday. " + licenses._MIT_DISCLAIMER.replace("<<var>>", "the authors"),
 ]
 
 
@@ -40,9 +40,9 @@ def test_base_equals_brute_force(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base(text)
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     labels = {r.doc_id: r.labels for r in rows}
-    assert labels[8] == "gpl-3" and labels[7] == "apache-2" and labels[12] == "bsd-3-clause" and labels[13] == "" and labels[9] == ""
+    assert labels[8] == "gpl-3" and labels[7] == "apache-2" and labels[12] == "mit" and labels[13] == "" and labels[9] == ""
     score = {r.doc_id: r.score for r in rows}
-    assert score[3] == 1.0 and score[0] == 0.0 and score[12] == 1.0
+    assert score[3] == 1.0 and score[0] == 0.0 and 0.98 < score[12] < 1
 
 
 def as_regex(markup):
@@ -53,13 +53,13 @@ def as_regex(markup):
         elif i % 2 and part == "endOptional":
             out.append(")?")
         elif i % 2:
-            out.append("(?: [^ ]+){0,%s}" % re.search("max=([0-9]+)", part)[1])
+            out.append("(?: [^ ]+){0,%s}" % re.search("max=([0-9]+)", part)[1] if "max=" in part else "(?: [^ ]+)*")
         else:
             out.append("".join(f" {w}" for w in WORD.findall(lower(part))))
     return re.compile("".join(out))
 
 
-@pytest.mark.parametrize("markup", ["a b <<beginOptional>>c <<beginOptional>>d<<endOptional>><<endOptional>> e <<var;max=2>> f", "a b <<var;max=3>> a", "a b c"])
+@pytest.mark.parametrize("markup", ["a b <<beginOptional>>c <<beginOptional>>d<<endOptional>><<endOptional>> e <<var;max=2>> f", "a b <<var;max=3>> a", "a b <<var>> c <<beginOptional>>d<<endOptional>>", "a b c"])
 def test_automaton_accepts_what_a_pattern_does(markup):
     import itertools
 
