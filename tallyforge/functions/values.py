@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,3 +61,49 @@ def period(first: Column, last: Column) -> Column:
     """A statement's period, as JAN 2024 - MAR 2024."""
     name = lambda d: F.upper(F.date_format(d, "MMM yyyy"))
     return F.concat(name(first), F.lit(" - "), name(last))
+
+
+# Banks by what file names, header lines and texts contain, in order.
+BANKS_BY_FILE = [("revolut", "Revolut"), ("ing", "ING"), ("dkb", "DKB"), ("sparkasse", "Sparkasse"), ("deutsche", "Deutsche Bank"), ("commerzbank", "Commerzbank"), ("n26", "N26")]
+BANKS_BY_TEXT = [
+    ("ing-diba", "ING DiBa"), ("ing diba", "ING DiBa"), ("deutsche bank", "Deutsche Bank"), ("sparkasse", "Sparkasse"), ("commerzbank", "Commerzbank"), ("dkb", "DKB"), ("n26", "N26"), ("revolut", "Revolut"),
+]
+# How statements write their period, by the language of the bank.
+PERIODS = {
+    "german": [
+        r"(?i)Kontoauszug\s+(?:Nr\.?\s*\d+\s+)?(?:vom\s+)?(\d{2}\.\d{2}\.\d{4})(?:\s*[-–bis]+\s*(\d{2}\.\d{2}\.\d{4}))?",
+        r"(?i)Auszug\s+(\w+\s+\d{4})", r"(?i)Zeitraum[:\s]+(\d{2}\.\d{2}\.\d{4})\s*[-–bis]+\s*(\d{2}\.\d{2}\.\d{4})", r"(?i)(\w+)\s+(\d{4})\s*Kontoauszug",
+    ],
+    "international": [
+        r"(?i)(?:Statement Period|Period|Período|Période)[:\s]*(\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4})\s*(?:to|-|–)\s*(\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4})",
+        r"(?i)(?:From|Desde|Du)[:\s]*(\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4})\s*(?:To|Hasta|Au)[:\s]*(\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4})", r"(?i)(\w+\s+\d{4})",
+    ],
+    "revolut": [r"(?i)von\s+(\d{1,2}\.?\s+\w+\s+\d{4})\s+bis\s+(\d{1,2}\.?\s+\w+\s+\d{4})", r"(?i)(\d{1,2}\.?\s+\w+\s+\d{4})\s*[-–to]+\s*(\d{1,2}\.?\s+\w+\s+\d{4})"],
+}
+
+
+def _first_bank(low: Column, banks: list[tuple[str, str]]) -> Column:
+    return F.coalesce(*(F.when(low.contains(part), name) for part, name in banks), F.lit("Unknown Bank"))
+
+
+def bank_of_file(name: Column) -> Column:
+    return _first_bank(F.lower(name), BANKS_BY_FILE)
+
+
+def bank_of_header(header: Column) -> Column:
+    """By the header line of a delimited file; null if it tells none."""
+    low = F.lower(header)
+    return F.when(low.contains("revolut") | (low.contains("product") & low.contains("started date")), "Revolut").when(low.contains("ing"), "ING")
+
+
+def bank_of_text(text: Column) -> Column:
+    return _first_bank(F.lower(text), BANKS_BY_TEXT)
+
+
+def period_in_text(text: Column, style: str) -> Column:
+    """A statement's period as its text has it, the parts joined by a dash; null without one."""
+    found = []
+    for pattern in PERIODS[style]:
+        parts = [F.nullif(F.regexp_extract(text, pattern, i), F.lit("")) for i in range(1, len(re.findall(r"\((?!\?)", pattern)) + 1)]
+        found.append(F.nullif(F.concat_ws(" - ", *parts), F.lit("")))
+    return F.coalesce(*found)

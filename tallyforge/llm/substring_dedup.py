@@ -6,9 +6,9 @@ Spark, and the repeated windows of a document merge into maximal removal interva
 The documents are cut into chunks by ranges of their ids, so that "earlier"
 between two chunks is the order of the chunks.  A chunk sends the sorted set of
 its window hashes, each hash once, to the task that counts this range of hashes;
-that task tells each chunk which of them another chunk has as well.  Hashes only
+that task tells each chunk which of them another chunk has as well, a bit for each.  Hashes only
 propose: the chunk sends the BLAKE2 digests of the words of these windows, and gets back
-those that an earlier chunk has sent too.  What repeats within a chunk is found there, by
+the hashes of those that an earlier chunk has sent too.  What repeats within a chunk is found there, by
 hash and digest as well.  So a passage that stands in a third of all documents costs
 one entry a chunk, and no task gathers its documents; two windows count as equal
 if 61 bits of their hashes and 64 bits of their digests are.
@@ -117,23 +117,12 @@ def _send(window: int, buckets: int, text_col: str):
 
 
 def _share(bucket: pa.Table) -> pa.Table:
-    """Tells each chunk which of its hashes another chunk has too."""
+    """Tells each chunk which of its hashes another chunk has too, as bits in their order."""
     sets = _sets(bucket)
     hashes = np.concatenate(sets)
-    order = np.argsort(hashes, kind="stable")
-    hashes, of = hashes[order], np.repeat(bucket["chunk"].to_numpy(), [len(s) for s in sets])[order]
-    same = hashes[1:] == hashes[:-1]
-    shared = np.append(False, same) | np.append(same, False)
-    return _told(bucket["bucket"][0].as_py(), of[shared], hashes[shared])
-
-
-def _told(bucket: int, of: np.ndarray, hashes: np.ndarray, digests: np.ndarray | None = None) -> pa.Table:
-    """A row for each chunk, with its hashes in order."""
-    order = np.argsort(of, kind="stable")
-    of, hashes = of[order], hashes[order]
-    to, first = np.unique(of, return_index=True)
-    split = lambda x: np.split(x, first[1:]) if len(to) else []
-    return _rows([(bucket, c, h) for c, h in zip(to.tolist(), split(hashes), strict=True)], None if digests is None else split(digests[order]))
+    shared = np.split(_repeated(hashes), np.cumsum([len(s) for s in sets])[:-1])
+    some = [i for i, bits in enumerate(shared) if bits.any()]
+    return bucket.take(pa.array(some, pa.int64())).select(["bucket", "chunk", "n"]).append_column("hashes", pa.array([np.packbits(shared[i]).tobytes() for i in some], pa.binary()))
 
 
 def _propose(window: int, buckets: int, id_col: str, text_col: str):
@@ -145,7 +134,10 @@ def _propose(window: int, buckets: int, id_col: str, text_col: str):
             return _rows([], [])
         texts = docs[text_col].combine_chunks()
         hashes = _windows(texts, window)
-        asked = _among(hashes, np.sort(np.concatenate(_sets(told))))
+        seen = np.unique(hashes)
+        of = dict(_by_bucket(seen, buckets))
+        bits = {b: np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for b, n, x in zip(*(told[c].to_pylist() for c in ("bucket", "n", "hashes")), strict=True)}
+        asked = _among(hashes, np.concatenate([seen[of[b]][bits[b]] for b in sorted(bits)]))
         hashes = hashes[asked]
         digests = _digests(texts, window, asked)
         order = np.lexsort((digests, hashes))
@@ -159,14 +151,26 @@ def _propose(window: int, buckets: int, id_col: str, text_col: str):
 
 
 def _confirm(bucket: pa.Table) -> pa.Table:
-    """Tells each chunk which of its windows an earlier chunk has too, by hash and digest."""
+    """Tells each chunk the hashes of its windows that an earlier chunk has too, by hash and digest.
+
+    Of a hash that several windows of the chunk share, only the pairs of hash and digest tell which; they go to ``digests``.
+    """
     bucket = bucket.sort_by("chunk")
     sets = _sets(bucket)
     hashes, digests = np.concatenate(sets), np.frombuffer(b"".join(bucket["digests"].to_pylist()), np.uint64)
+    several = np.concatenate([_repeated(s) for s in sets])
     order = np.lexsort((digests, hashes))  # stable: equal windows stay in the order of their chunks
-    hashes, digests, of = hashes[order], digests[order], np.repeat(bucket["chunk"].to_numpy(), [len(s) for s in sets])[order]
-    later = np.append(False, (hashes[1:] == hashes[:-1]) & (digests[1:] == digests[:-1]))
-    return _told(bucket["bucket"][0].as_py(), of[later], hashes[later], digests[later])
+    again = (np.diff(hashes[order]) == 0) & (np.diff(digests[order]) == 0)
+    later = np.zeros(len(hashes), bool)
+    later[order[1:][again]] = True
+    rows, pairs, number, at = [], [], bucket["bucket"][0].as_py(), 0
+    for chunk, own in zip(bucket["chunk"].to_pylist(), sets, strict=True):
+        part = slice(at, at := at + len(own))
+        plain, mixed = later[part] & ~several[part], later[part] & several[part]
+        if plain.any() or mixed.any():
+            rows.append((number, chunk, own[plain]))
+            pairs.append(np.stack([own[mixed], digests[part][mixed]], 1))
+    return _rows(rows, pairs)
 
 
 def _covered(found: Words, hashes: np.ndarray, first: np.ndarray, repeated: np.ndarray, window: int) -> np.ndarray:
@@ -201,15 +205,15 @@ def _remove(window: int, id_col: str, text_col: str, reflow: bool, out: pa.Schem
         docs = _ordered(docs, id_col, text_col)
         texts = docs[text_col].combine_chunks()
         hashes = _windows(texts, window)
-        elsewhere = np.concatenate([np.zeros(0, np.uint64), *_sets(sent)])
-        asked = _repeated(hashes) | _among(hashes, np.sort(elsewhere))
-        own, digests = hashes[asked], _digests(texts, window, asked)
-        # those of earlier chunks stand first, so that of equal windows only a first one of this chunk is fresh
-        every = np.concatenate([elsewhere, own]), np.concatenate([np.frombuffer(b"".join(sent["digests"].to_pylist()), np.uint64), digests])
+        elsewhere = _among(hashes, np.sort(np.concatenate([np.zeros(0, np.uint64), *_sets(sent)])))
+        pairs = np.frombuffer(b"".join(sent["digests"].to_pylist()), np.uint64).reshape(-1, 2)
+        asked = (_repeated(hashes) & ~elsewhere) | _among(hashes, np.unique(pairs[:, 0]))
+        # what earlier chunks have stands first, so that of equal windows only a first one of this chunk is fresh
+        every = np.append(pairs[:, 0], hashes[asked]), np.append(pairs[:, 1], _digests(texts, window, asked))
         order = np.lexsort(every[::-1])
         first = np.append(True, (np.diff(every[0][order]) != 0) | (np.diff(every[1][order]) != 0))[: len(order)]
-        fresh = np.ones(len(hashes), bool)
-        fresh[np.flatnonzero(asked)] = np.isin(np.arange(len(elsewhere), len(order)), order[first], assume_unique=True)
+        fresh = ~elsewhere
+        fresh[np.flatnonzero(asked)] = np.isin(np.arange(len(pairs), len(order)), order[first], assume_unique=True)
         n_words, n_removed, spans, kept, w = [], [], [], [], 0
         for i, j in segments(texts):
             found = words(texts[i:j])

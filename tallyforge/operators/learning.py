@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import NOISE, contains_any, repaired
+from tallyforge.functions.references import VISA, found
+from tallyforge.functions.text import TORN, collapse, contains_any, repaired
 from tallyforge.plans import views
 from tallyforge.plans.catalog import query
 
@@ -29,58 +30,174 @@ HINTS = [
 # Upper bounds of amounts in units, and their words.
 BANDS = [(5, "amount_micro"), (15, "amount_small"), (35, "amount_meal_range"), (100, "amount_medium"), (500, "amount_large")]
 TERM = r"[\p{L}\p{N}_]{2,}"
-LEGAL = ["gmbh", "ag", "kg", "ohg", "co", "gbr", "ug", "se", "inc", "ltd", "llc"]
+# Words that say nothing of a category, and legal forms.
+BANK_NOISE = [
+    "lastschrift", "basislastschrift", "einzug", "ueberweisung", "überweisung", "sepa", "svwz", "mref", "eref", "kref", "mandat", "referenz", "iban", "bic", "konto", "girokonto", "kontoauszug",
+    "buchungstag", "valuta", "wertstellung", "betrag", "saldo", "neuer", "alter", "kunden", "information", "seite", "nummer", "nr", "xxxx", "arn", "visa", "mastercard", "girocard", "debitk", "kaufumsatz",
+    "zahlung", "bezahlung", "rechnung", "abbuchung", "gutschrift", "entgelt", "gebühr", "gebuehr", "kundennummer", "kartenzahlung", "sagt", "danke", "paypal", "europe", "cie", "pp", "uhr", "kurs", "de",
+    "nrxxxx", "januar", "februar", "maerz", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember",
+]
+LEGAL = ["gmbh", "ag", "kg", "ohg", "ug", "se", "inc", "ltd", "llc", "bv", "ab", "as", "sarl", "sca", "co", "et"]
+# Torn words that the model's texts are mended of besides.
+MORE_TORN = [(r"(?i)movietainm\s+ent", "movietainment"), (r"(?i)icketing", "ticketing"), (r"(?i)krankenversich\s+erung", "krankenversicherung")]
+# Names of labels.
+LABELS = {
+    "rent & utilities": "RENT", "rent": "RENT", "housing": "RENT", "transport": "TRANSPORT", "supermarket": "SUPERMARKET", "groceries": "SUPERMARKET", "restaurant": "RESTAURANT", "shopping": "SHOPPING",
+    "health": "HEALTH", "insurance": "INSURANCE", "entertainment": "ENTERTAINMENT", "subscriptions": "SUBSCRIPTIONS", "subscription": "SUBSCRIPTIONS", "investment": "INVESTMENT", "travel": "TRAVEL",
+    "salary": "SALARY", "refund": "REFUND", "transfer": "TRANSFER", "education": "EDUCATION", "taxes": "TAXES", "tax": "TAXES", "other": "OTHER",
+}
+# Words in a text, bounds of an amount, and the word that both together give.
+PLAUSIBLE = [
+    (["restaurant", "gastro", "food", "coffee", "cafe", "bistro", "backerei", "baeckerei", "bakery"], 5, 80, "amount_restaurant_plausible"),
+    (["restaurant", "gastro", "food", "coffee", "cafe", "bistro", "backerei", "baeckerei", "bakery"], 100.000001, None, "amount_restaurant_high"),
+    (["hotel", "booking", "airbnb", "flight", "flug", "lufthansa", "easyjet", "ryanair"], 80, None, "amount_travel_plausible"),
+    (["aldi", "lidl", "rewe", "edeka", "kaufland", "netto", "penny", "flaschenpost", "reformhaus", "go asia"], 1, 250, "amount_grocery_plausible"),
+    (["strom", "telekom", "miete", "gehag", "enstroga", "rundfunk", "hausverwaltung"], 20, None, "amount_rent_utilities_plausible"),
+]
+# Names of merchants in texts of a payment service and of cards.
+PAYPAL_NAMES = [
+    r"(?i)i\s*hr\s+einkauf\s+b\s*ei\s+(.+?)(?:\s+mandat:|\s+referenz:|/abbuchung|\s+awv-meldepflicht|\s+mref\+|\s+eref\+|$)",
+    r"(?i)/\.?\s*([^/]+?),\s*i\s*hr\s+einkauf",
+    r"(?i)svwz\+.*?\.\s*([^,]+?),\s*i\s*hr\s+einkauf",
+]
+CARD_NAME = r"(?i)(?:debitkartenzahlung|kartenzahlung|lastschrift\s+aus\s+kartenzahlung)?\s*([A-ZÄÖÜ0-9 .&'\-]+?)//[A-ZÄÖÜa-zäöüß .\-]+/DE"
+UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
+SCRAPS = (r"(?i)arn\w+", r"\b\w*gkka\w*\b", r"\b\d{1,2}\.\d{1,2}(?:\.\d{2,4})?\b", r"\b\d+[,.]\d+\b", r"\b\d{3,}\b", r"[^a-z0-9 ]+")
 
 
 def clean(c: Column) -> Column:
     """Lower case with umlauts spelled out, without references, dates, long numbers, noise and single letters."""
-    x = F.lower(repaired(F.coalesce(c, F.lit(""))))
-    for letter, spelled in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
+    x = F.lower(repaired(F.coalesce(c, F.lit("")), [*TORN, *MORE_TORN]))
+    for letter, spelled in UMLAUTS:
         x = F.replace(x, F.lit(letter), F.lit(spelled))
-    for pattern in (r"arn\w+", r"\b\w*gkka\w*\b", r"\b\d{1,2}\.\d{1,2}(?:\.\d{2,4})?\b", r"\b\d+[,.]\d+\b", r"\b\d{3,}\b", r"[^a-z0-9 ]+"):
+    for pattern in SCRAPS:
         x = F.regexp_replace(x, pattern, " ")
-    stop = F.array(*map(F.lit, sorted({*NOISE, *LEGAL})))
+    stop = F.array(*map(F.lit, sorted({*BANK_NOISE, *LEGAL})))
     return F.array_join(F.filter(F.split(x, r"\s+"), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)), " ")
 
 
-def amount_words(amount: Column) -> Column:
+def merchant_name(text: Column) -> Column:
+    """The merchant that a text of a payment service or of a card names, as it stands there; else null."""
+    service = F.lower(text).contains("paypal")
+    return F.coalesce(*(F.when(service, found(text, p)) for p in PAYPAL_NAMES), found(text, VISA), found(text, CARD_NAME))
+
+
+def amount_words(amount: Column, text: Column | None = None) -> Column:
+    """The sign and the size of an amount, and what makes it plausible for the words of ``text``."""
     size = F.abs(amount)
     band = F.lit("amount_very_large")
     for most, word in reversed(BANDS):
         band = F.when(size < most, word).otherwise(band)
-    return F.concat_ws(" ", F.when(amount > 0, "amount_income").when(amount < 0, "amount_expense").otherwise("amount_zero"), band)
+    plausible = [] if text is None else [F.when(contains_any(text, parts) & (size >= lo) & (F.lit(True) if hi is None else size <= hi), word) for parts, lo, hi, word in PLAUSIBLE]
+    return F.concat_ws(" ", F.when(amount > 0, "amount_income").when(amount < 0, "amount_expense").otherwise("amount_zero"), band, *plausible)
+
+
+def with_feature_text(rows: DataFrame, description: str = "description", counterparty: str = "counterparty_name", amount: str = "amount") -> DataFrame:
+    """``rows`` with ``feature_text``: the merchant twice, hints, words of the amount, and the clean text.
+
+    The parts are columns of their own on the way, so that each is made once.
+    """
+    made = rows.withColumn("f_text", F.concat_ws(" ", F.coalesce(description, F.lit("")), F.coalesce(counterparty, F.lit(""))))
+    made = made.withColumn("f_merchant", F.nullif(clean(merchant_name(F.col("f_text"))), F.lit(""))).withColumn("f_clean", clean(F.col("f_text")))
+    made = made.withColumn("f_source", F.concat_ws(" ", "f_merchant", "f_clean"))
+    hints = F.concat_ws(" ", *(F.when(contains_any("f_source", parts), hint) for hint, parts in HINTS))
+    words = amount_words(F.coalesce(F.col(amount), F.lit(0.0)), F.col("f_source"))
+    whole = F.concat_ws(" ", "f_merchant", "f_merchant", F.nullif(hints, F.lit("")), words, F.nullif(F.col("f_clean"), F.lit("")))
+    return made.withColumn("feature_text", whole).select(*rows.columns, "feature_text")
+
+
+def label_of(name: Column) -> Column:
+    """The category that a label's name stands for, else the name in capitals."""
+    known = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
+    return F.coalesce(F.try_element_at(known, F.lower(F.trim(name))), F.replace(F.upper(F.trim(name)), F.lit(" "), F.lit("_")))
+
+
+def load_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of delimited files with a header, which has to name ExpectedCategory and Description; with ``label`` and ``feature_text``."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    for needed in ("ExpectedCategory", "Description"):
+        if needed not in rows.columns:
+            raise ValueError(f"the file has no column {needed}; its columns are {rows.columns}")
+    for c in ("Counterparty", "Amount"):
+        rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
+    return labelled(rows)
+
 
+def labelled(rows: DataFrame) -> DataFrame:
+    """Rows (``Description``, ``Counterparty``, ``Amount``, ``ExpectedCategory``) with ``label`` and ``feature_text``; blank ones are left out."""
+    rows = rows.withColumns({"amount": F.coalesce(F.col("Amount").try_cast("double"), F.lit(0.0)), "label": label_of(F.col("ExpectedCategory"))})
+    return with_feature_text(rows, "Description", "Counterparty", "amount").where("label <> '' AND feature_text <> ''")
 
-def feature_text(description: Column, counterparty: Column, amount: Column) -> Column:
-    """Hints, words of the amount, and the clean text."""
-    words = clean(F.concat_ws(" ", description, counterparty))
-    hints = F.concat_ws(" ", *(F.when(contains_any(words, parts), hint) for hint, parts in HINTS))
-    return F.concat_ws(" ", F.nullif(hints, F.lit("")), amount_words(amount), F.nullif(words, F.lit("")))
 
+def _sql_clean(x: str) -> str:
+    x = f"coalesce({x}, '')"
+    for pattern, word in [*TORN, *MORE_TORN]:
+        x = f"regexp_replace({x}, '{pattern}', '{word}', 'g')"
+    x = f"lower({x})"
+    for letter, spelled in UMLAUTS:
+        x = f"replace({x}, '{letter}', '{spelled}')"
+    for pattern in SCRAPS:
+        x = f"regexp_replace({x}, '{pattern}', ' ', 'g')"
+    stop = "[" + ", ".join(f"'{w}'" for w in sorted({*BANK_NOISE, *LEGAL})) + "]"
+    return f"array_to_string(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: length(w) > 1 AND NOT list_contains({stop}, w)), ' ')"
 
-@query(""", t AS (SELECT DISTINCT amount_cents / 100.0 AS amount FROM live WHERE statement_id < 1000)
-SELECT CAST(amount AS DOUBLE) AS amount, CASE WHEN amount > 0 THEN 'amount_income' WHEN amount < 0 THEN 'amount_expense' ELSE 'amount_zero' END || ' ' ||
-CASE WHEN abs(amount) < 5 THEN 'amount_micro' WHEN abs(amount) < 15 THEN 'amount_small' WHEN abs(amount) < 35 THEN 'amount_meal_range' WHEN abs(amount) < 100 THEN 'amount_medium' WHEN abs(amount) < 500 THEN 'amount_large' ELSE 'amount_very_large' END AS words FROM t""")
+
+def _any(x: str, parts: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{p}')" for p in parts) + ")"
+
+
+_NAMED = ", ".join([*(f"CASE WHEN contains(lower(f_text), 'paypal') THEN nullif(trim(regexp_extract(f_text, '{p}', 1)), '') END" for p in PAYPAL_NAMES), *("nullif(trim(regexp_extract(f_text, '{}', 1)), '')".format(p.replace("'", "''")) for p in (VISA, CARD_NAME))])
+_BAND = " ".join(f"WHEN abs(amount) < {most} THEN '{word}'" for most, word in BANDS)
+_AMOUNT = f"CASE WHEN amount > 0 THEN 'amount_income' WHEN amount < 0 THEN 'amount_expense' ELSE 'amount_zero' END, CASE {_BAND} ELSE 'amount_very_large' END"
+_PLAUSIBLE = ", ".join(f"CASE WHEN {_any('f_source', parts)} AND abs(amount) >= {lo}{'' if hi is None else f' AND abs(amount) <= {hi}'} THEN '{word}' END" for parts, lo, hi, word in PLAUSIBLE)
+_HINTED = ", ".join(f"CASE WHEN {_any('f_source', parts)} THEN '{hint}' END" for hint, parts in HINTS)
+
+
+@query(f""", r AS (SELECT id, concat_ws(' ', description, coalesce(counterparty, '')) AS f_text, (CAST(split_part(id, '#', 2) AS BIGINT) - 5) * 17.5 AS amount FROM bank_texts),
+m AS (SELECT *, {_sql_clean(f"coalesce({_NAMED})")} AS f_merchant, {_sql_clean('f_text')} AS f_clean FROM r), s AS (SELECT *, concat_ws(' ', nullif(f_merchant, ''), f_clean) AS f_source FROM m)
+SELECT id, concat_ws(' ', nullif(f_merchant, ''), nullif(f_merchant, ''), nullif(concat_ws(' ', {_HINTED}), ''), {_AMOUNT}, {_PLAUSIBLE}, nullif(f_clean, '')) AS feature_text FROM s""")
+def feature_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the model reads of each text."""
+    rows = views.bank_texts(spark, sf_dir).withColumn("amount", (F.element_at(F.split("id", "#"), -1).cast("long") - 5) * 17.5)
+    return with_feature_text(rows, "description", "counterparty").select("id", "feature_text")
+
+
+@query(f""", t AS (SELECT DISTINCT CAST(amount_cents AS DOUBLE) / 100 AS amount FROM live) SELECT amount, concat_ws(' ', {_AMOUNT}) AS words FROM t""")
 def amount_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.transactions(spark, sf_dir, "amount_cents", "statement_id").where("statement_id < 1000").select((F.col("amount_cents") / 100).alias("amount")).distinct()
+    rows = views.transactions(spark, sf_dir, "amount_cents").distinct().select((F.col("amount_cents") / 100).alias("amount"))
     return rows.select("amount", amount_words(F.col("amount")).alias("words"))
 
 
-def tfidf(rows: DataFrame, key: str, words: str) -> DataFrame:
+@query("SELECT DISTINCT p_type AS name, CASE p_type WHEN 'ECONOMY' THEN 'ECONOMY' ELSE upper(p_type) END AS label, 'RENT' AS rent FROM part")
+def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = views.read(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct()
+    return names.select("name", label_of(F.col("name")).alias("label"), label_of(F.lit(" Rent & Utilities")).alias("rent"))
+
+
+def ngrams(words: Column, most: int) -> Column:
+    """All runs of one to ``most`` words of an array, joined by a space."""
+    n = F.size(words)
+    runs = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i, k=k: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>")) for k in range(1, most + 1)]
+    return F.flatten(F.array(*runs))
+
+
+def tfidf(rows: DataFrame, key: str, words: str, most: int = 3) -> DataFrame:
     """``key``, ``term``, ``weight``: sublinear counts times smoothed idf, of length 1 for each key.
 
-    A term is a run of two letters, digits or underscores at least.
+    Terms are runs of one to ``most`` words; a word has two letters, digits or underscores at least.
     """
-    tokens = rows.select(key, F.explode(F.regexp_extract_all(F.lower(words), F.lit(TERM), F.lit(0))).alias("term"))
+    tokens = rows.select(key, F.regexp_extract_all(F.lower(words), F.lit(TERM), F.lit(0)).alias("words")).select(key, F.explode(ngrams(F.col("words"), most)).alias("term"))
     counts = tokens.groupBy(key, "term").agg(F.count("*").alias("tf"))
     often = counts.groupBy("term").agg(F.count("*").alias("df"))
-    n = rows.count()
-    weighed = counts.join(often, "term").withColumn("raw", (1 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1))
+    n = rows.agg(F.count("*").alias("n")).select("n", F.lit(1).alias("one"))  # one row
+    idf = often.withColumn("one", F.lit(1)).join(F.broadcast(n), "one").select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
+    weighed = counts.join(idf, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return weighed.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
-@query(r""", t AS (SELECT conv_id * 1000 + turn AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM conversations),
+@query(r""", s AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM conversations),
+t AS (SELECT id, unnest(w) AS term FROM s UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM s UNION ALL SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM s),
 c AS (SELECT id, term, count(*) AS tf FROM t GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
 w AS (SELECT id, c.term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM conversations)) / (1.0 + df)) + 1) AS raw FROM c JOIN d USING (term))
 SELECT id, count(*) AS terms, round(max(raw / s), 6) AS heaviest FROM (SELECT *, sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS s FROM w) GROUP BY 1""")
@@ -104,14 +221,16 @@ def softmax_scores(weights: DataFrame, key: str, coefficients: DataFrame, interc
 
 
 def train(rows: DataFrame, vocabulary: int = 1 << 16, regularization: float = 0.5) -> PipelineModel:
-    """TF-IDF and multinomial logistic regression on ``feature_text`` and ``label``, classes weighted to equal shares."""
+    """TF-IDF of runs of one to three words and multinomial logistic regression on ``feature_text`` and ``label``, classes weighted to equal shares."""
     shares = rows.groupBy("label").agg(F.count("*").alias("n"))
     total, kinds = rows.count(), shares.count()
-    weighed = rows.join(F.broadcast(shares), "label").withColumn("class_weight", F.lit(total / kinds) / F.col("n")) if kinds <= 10_000 else rows.withColumn("class_weight", F.lit(1.0))
+    weighed = rows.join(F.broadcast(shares) if kinds <= 10_000 else shares, "label").withColumn("class_weight", F.lit(total / max(kinds, 1)) / F.col("n"))
     return Pipeline(
         stages=[
             StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc"),
-            RegexTokenizer(inputCol="feature_text", outputCol="tokens", pattern=TERM, gaps=False),
+            RegexTokenizer(inputCol="feature_text", outputCol="words", pattern=TERM, gaps=False),
+            *(NGram(n=k, inputCol="words", outputCol=f"runs_{k}") for k in (1, 2, 3)),
+            SQLTransformer(statement="SELECT *, concat(runs_1, runs_2, runs_3) AS tokens FROM __THIS__"),
             CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocabulary),
             IDF(inputCol="tf", outputCol="tfidf"),
             Normalizer(inputCol="tfidf", outputCol="features"),
@@ -167,3 +286,96 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SCORED + " SELECT label, count(*) AS n FROM s GROUP BY 1")
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+
+
+MODEL_SCHEMA = "model_version string, labels array<string>, ngram_min int, ngram_max int, sublinear_tf boolean, vocabulary map<string,int>, idf array<double>, intercepts array<double>, coefs array<array<double>>"
+
+
+def model_row(labels: list[str], terms: DataFrame, coefficients: DataFrame, intercepts: DataFrame, version: str = "1") -> DataFrame:
+    """A model as one row of ``MODEL_SCHEMA``, from ``term`` and ``idf``, from ``term``, ``label``, ``value``, and from ``label``, ``value``.
+
+    The row has a number for each term and label, so it is for models of the size that a reader loads whole.
+    """
+    if len(labels) < 3:
+        raise ValueError(f"a model of several classes needs three labels at least, not {len(labels)}")
+    placed = terms.withColumn("place", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
+    names = F.array(*map(F.lit, labels))
+    wide = coefficients.groupBy("term").agg(*(F.coalesce(F.sum(F.when(F.col("label") == x, F.col("value"))), F.lit(0.0)).alias(f"c{i}") for i, x in enumerate(labels)))
+    rows = placed.join(wide, "term", "left").agg(F.array_sort(F.collect_list(F.struct("place", "term", "idf", *(F.coalesce(f"c{i}", F.lit(0.0)).alias(f"c{i}") for i in range(len(labels)))))).alias("x"))
+    base = intercepts.agg(F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("b")).select("b", F.lit(1).alias("one"))
+    return rows.withColumn("one", F.lit(1)).join(F.broadcast(base), "one").select(
+        F.lit(version).alias("model_version"), names.alias("labels"), F.lit(1).alias("ngram_min"), F.lit(3).alias("ngram_max"), F.lit(True).alias("sublinear_tf"),
+        F.map_from_arrays(F.col("x.term"), F.col("x.place")).alias("vocabulary"), F.col("x.idf").alias("idf"), F.transform(names, lambda n: F.coalesce(F.try_element_at(F.col("b"), n), F.lit(0.0))).alias("intercepts"),
+        F.array(*(F.col(f"x.c{i}") for i in range(len(labels)))).alias("coefs"),
+    )
+
+
+def model_json(model: DataFrame) -> DataFrame:
+    return model.select(F.to_json(F.struct(*model.columns)).alias("value"))
+
+
+def load_model(lines: DataFrame) -> DataFrame:
+    """The models of JSON ``value`` lines; blank and broken ones give no row, and classify nothing."""
+    return lines.select(F.from_json("value", MODEL_SCHEMA, {"mode": "PERMISSIVE"}).alias("m")).where("m.labels IS NOT NULL AND size(m.labels) > 0 AND m.vocabulary IS NOT NULL").select("m.*")
+
+
+def classify(rows: DataFrame, key: str, words: str, model: DataFrame) -> DataFrame:
+    """``key``, ``label`` and ``probability`` by a model of one row: the likeliest label, of equal ones the first.
+
+    Texts without a term of the model and labels that are no category, or OTHER, have no row.  The model is broadcast:
+    it is one row that its reader holds whole.
+    """
+    from tallyforge.functions.categories import CATEGORIES
+
+    m = model.limit(1)
+    terms = m.select(F.explode("vocabulary").alias("term", "place"), "idf", "coefs").select("term", F.get("idf", F.col("place")).alias("idf"), F.transform("coefs", lambda row: F.get(row, F.col("place"))).alias("by_label"))
+    tokens = rows.select(key, F.explode(ngrams(F.regexp_extract_all(F.lower(words), F.lit(TERM), F.lit(0)), 3)).alias("term"))
+    counts = tokens.join(F.broadcast(terms.select("term")), "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    weighed = counts.join(F.broadcast(terms), "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+    n_labels = m.select(F.size("labels")).first()
+    if n_labels is None:
+        return rows.select(key, F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("probability")).limit(0)
+    sums = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), *(F.sum(F.col("raw") * F.get("by_label", F.lit(i))).alias(f"z{i}") for i in range(n_labels[0])))
+    heads = m.select("labels", "intercepts", F.lit(1).alias("one"))
+    z = F.array(*(F.col(f"z{i}") / F.col("norm") + F.get("intercepts", F.lit(i)) for i in range(n_labels[0])))
+    scored = sums.withColumn("one", F.lit(1)).join(F.broadcast(heads), "one").withColumn("z", z).withColumn("top", F.array_max("z"))
+    total = F.aggregate(F.transform("z", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
+    label = F.get("labels", (F.array_position("z", F.col("top")) - 1).cast("int"))
+    return scored.select(key, label.alias("label"), (1 / total).alias("probability")).where(F.col("label").isin([c for c in CATEGORIES if c != "OTHER"]))
+
+
+def errors(scored: DataFrame) -> DataFrame:
+    """Rows whose prediction is wrong, the surest first: what an error file holds."""
+    return scored.where("label <> predicted").orderBy(F.desc("confidence"))
+
+
+# A small model, as terms with idf and a value for each label.
+_LABELS = ["SHOPPING", "TRAVEL", "OTHER"]
+_MODEL = [("ring", 1.5, 2.0, 0.0, -1.0), ("hot", 1.0, 0.0, 1.0, 0.5), ("hot ring", 2.0, -3.0, 4.0, 0.0), ("cold", 1.2, 0.1, 0.2, 0.9), ("gear", 1.1, 0.4, 0.4, 0.4)]
+_BASE = [0.1, 0.2, 0.0]
+
+
+def _small_model(spark: SparkSession) -> DataFrame:
+    terms = spark.createDataFrame([(t, i) for t, i, *_ in _MODEL], "term string, idf double")
+    values = spark.createDataFrame([(t, n, float(v)) for t, _, *vs in _MODEL for n, v in zip(_LABELS, vs, strict=True)], "term string, label string, value double")
+    return model_row(_LABELS, terms, values, spark.createDataFrame(list(zip(_LABELS, _BASE, strict=True)), "label string, value double"))
+
+
+_Z = ", ".join(f"sum(raw * v{i}) / sqrt(sum(raw * raw)) + {b} AS z{i}" for i, b in enumerate(_BASE))
+
+
+@query(f""", m(term, idf, v0, v1, v2) AS (VALUES {', '.join(map(str, _MODEL))}), s AS (SELECT DISTINCT p_name AS name, string_split(p_name, ' ') AS w FROM part),
+t AS (SELECT name, unnest(w) AS term FROM s UNION ALL SELECT name, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM s),
+c AS (SELECT name, term, count(*) AS tf FROM t GROUP BY 1, 2), r AS (SELECT name, (1 + ln(tf)) * idf AS raw, v0, v1, v2 FROM c JOIN m USING (term)), z AS (SELECT name, {_Z} FROM r GROUP BY 1),
+b AS (SELECT *, greatest(z0, z1, z2) AS top FROM z), l AS (SELECT name, CASE top WHEN z0 THEN 'SHOPPING' WHEN z1 THEN 'TRAVEL' ELSE 'OTHER' END AS label, round(1 / (exp(z0 - top) + exp(z1 - top) + exp(z2 - top)), 9) AS probability FROM b)
+SELECT * FROM l WHERE label <> 'OTHER'""")
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model, written as JSON and read again, on the names of parts."""
+    model = load_model(model_json(_small_model(spark)))
+    names = views.read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    return classify(names, "name", "name", model).select("name", "label", F.round("probability", 9).alias("probability"))
+
+
+@query(_SCORED + " SELECT label, predicted, round(confidence, 9) AS confidence FROM s WHERE label <> predicted")
+def prediction_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors(_scored(spark, sf_dir)).select("label", "predicted", F.round("confidence", 9).alias("confidence"))

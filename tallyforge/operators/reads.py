@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.plans import views
@@ -269,3 +269,30 @@ def filter_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.transactions(spark, sf_dir, "id", "booking_date", "amount_cents")
     parts = [calendar(rows, datetime.date(1999, 3, 15), p).select(F.lit(p).alias("period"), "*") for p in ("week", "month", "year")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+#: Orders of statements by name, as SQL; ties have the larger id first.
+STATEMENT_ORDERS = {"newest": "import_date DESC", "oldest": "import_date", "period": "coalesce(statement_period, '') DESC", "name": "lower(file_name)"}
+
+
+def statement_order(name: str) -> list[Column]:
+    by, _, falling = STATEMENT_ORDERS[name].partition(" DESC") if STATEMENT_ORDERS[name].endswith(" DESC") else (STATEMENT_ORDERS[name], "", None)
+    return [F.expr(by).desc() if falling is not None else F.expr(by).asc(), F.desc("id")]
+
+
+def sorted_statements(statements: DataFrame, order: str) -> DataFrame:
+    return statements.orderBy(*statement_order(order))
+
+
+_STATEMENTS = "(SELECT *, CASE WHEN id % 3 > 0 THEN strftime(import_date, '%Y-%m') END AS statement_period FROM statements)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS sorting, * FROM (SELECT id, row_number() OVER (ORDER BY {by}, id DESC) AS place FROM {_STATEMENTS}) WHERE place <= {PAGE}" for name, by in STATEMENT_ORDERS.items()))
+def statements_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of each order."""
+    rows = views.statements(spark, sf_dir).withColumn("statement_period", F.when(F.col("id") % 3 > 0, F.date_format("import_date", "yyyy-MM")))
+    parts = [sorted_statements(rows, name).limit(PAGE).select(F.lit(name).alias("sorting"), "id", F.row_number().over(Window.orderBy(*statement_order(name))).alias("place")) for name in STATEMENT_ORDERS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

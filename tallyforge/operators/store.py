@@ -108,10 +108,11 @@ def account_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(""", r AS (SELECT description AS pattern, CASE WHEN id % 2 = 0 THEN auto_category ELSE 'custom:' || category_id END AS category_name, id * 100000000 + amount_cents AS seq FROM live)
-SELECT pattern, max(seq) AS seq FROM r GROUP BY 1""")
+SELECT pattern, max(seq) AS seq, arg_max(category_name, seq) FILTER (true) AS category_name FROM (SELECT pattern, seq, max(coalesce(category_name, '')) AS category_name FROM r GROUP BY 1, 2) GROUP BY 1""")
 def override_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.transactions(spark, sf_dir).selectExpr("description AS pattern", "CASE WHEN id % 2 = 0 THEN auto_category ELSE concat('custom:', category_id) END AS category_name", "id * 100000000 + amount_cents AS seq")
-    return upsert(rows.where("seq % 2 = 0"), rows.where("seq % 2 <> 0"), "pattern", "seq").select("pattern", "seq")
+    rows = rows.groupBy("pattern", "seq").agg(F.max(F.coalesce("category_name", F.lit(""))).alias("category_name"))
+    return upsert(rows.where("seq % 2 = 0"), rows.where("seq % 2 <> 0"), "pattern", "seq").select("pattern", "seq", "category_name")
 
 
 @query("""SELECT 'accounts' AS name, count(*) AS n FROM accounts WHERE id <> 7 UNION ALL SELECT 'statements', count(*) FROM statements WHERE account_id <> 7
@@ -132,3 +133,40 @@ def category_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def update_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.accounts(spark, sf_dir).select("id", "name", "is_active")
     return update_by_key(rows, rows.where("id % 5 = 0").select("id", F.concat(F.lit("renamed "), F.col("id").cast("string")).alias("name")), "id")
+
+
+@query("""SELECT id, name, is_active FROM accounts WHERE id % 4 <> 0 AND id % 5 <> 1 UNION ALL SELECT id, 'new ' || name, NULL FROM accounts WHERE id % 4 = 0""")
+def accounts_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows inserted, some with less columns, and others deleted."""
+    rows = views.accounts(spark, sf_dir).select("id", "name", "is_active")
+    kept = delete(rows.where("id % 4 <> 0"), rows.where("id % 5 = 1").select("id"), "id")
+    return insert(kept, rows.where("id % 4 = 0").select("id", F.concat(F.lit("new "), "name").alias("name")))
+
+
+@query("SELECT 'statements' AS name, 0 AS n UNION ALL SELECT 'accounts', count(*) FILTER (NOT is_active) FROM accounts")
+def tables_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table cleared, and accounts that are set inactive."""
+    cleared = truncate(views.statements(spark, sf_dir)).agg(F.lit("statements").alias("name"), F.count("*").alias("n"))
+    off = update(views.accounts(spark, sf_dir), F.col("is_active"), {"is_active": F.col("is_active")}).where("NOT is_active")
+    return cleared.unionByName(off.agg(F.lit("accounts").alias("name"), F.count("*").alias("n")))
+
+
+def rules_of(description: Column, counterparty: Column, category: Column) -> Column:
+    """The override rules that a user's correction writes: one for the counterparty, or the whole text without one, and one for the merchant's token."""
+    from tallyforge.functions import text
+
+    primary, full = F.nullif(text.normalize_light(counterparty), F.lit("")), F.nullif(text.normalize_light(F.concat_ws(" ", description, counterparty)), F.lit(""))
+    token = text.merchant_token(F.coalesce(counterparty, description))
+    patterns = F.array_distinct(F.array_compact(F.array(F.coalesce(primary, full), F.when(F.length(token) >= 4, token))))
+    return F.transform(patterns, lambda p: F.struct(p.alias("pattern"), category.alias("category_name")))
+
+
+@query(""", n AS (SELECT DISTINCT counterparty_name AS name FROM live WHERE counterparty_name IS NOT NULL), r AS (SELECT name AS pattern, 'C' || length(name) AS category_name FROM n UNION ALL
+SELECT token, 'C' || length(name) FROM (SELECT name, list_filter(string_split(name, ' '), lambda w: length(w) > 1)[1] AS token FROM n) WHERE length(token) >= 4)
+SELECT pattern, max(category_name) AS category_name FROM r GROUP BY 1""")
+def overrides_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections of all merchants as rules; of several for one pattern the last counts."""
+    names = views.transactions(spark, sf_dir, "counterparty_name").where("counterparty_name IS NOT NULL").distinct()
+    category = F.concat(F.lit("C"), F.length("counterparty_name").cast("string"))
+    rules = names.select(F.explode(rules_of(F.lit(None).cast("string"), F.col("counterparty_name"), category)).alias("x")).select("x.*")
+    return upsert(rules.limit(0), rules, "pattern", "category_name")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyforge.plans.views import TEXTS
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +31,15 @@ merchants AS (SELECT s_suppkey AS id, s_name AS name, n_name AS country_code FRO
 """
 
 
+def _text(t: str | None) -> str:
+    return "NULL" if t is None else "replace(replace('{0}', '{{n}}', name), '{{N}}', upper(name))".format(t.replace("'", "''"))
+
+
+PRELUDE += ",\nbank_texts AS (SELECT name || '#' || i AS id, name, CASE i {} END AS description, CASE i {} END AS counterparty, CASE i {} END AS remittance FROM (SELECT DISTINCT p_name AS name FROM part), range({}) AS r(i))\n".format(
+    *(" ".join(f"WHEN {i} THEN {_text(t[k])}" for i, t in enumerate(TEXTS)) for k in range(3)), len(TEXTS)
+)
+
+
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its name; ``sql`` continues the views' WITH clause."""
 

@@ -19,6 +19,24 @@ _LINE = {
 }
 _ORDER = {"account_id": "o_custkey"}
 _PART = {"counterparty_name": "CASE WHEN p_size > 2 THEN p_name END", "description": "concat(p_brand, ' ', p_name)", "auto_category": "CASE WHEN p_size < 50 THEN p_type END"}
+# Texts of transactions: description, counterparty, remittance; {n} is a name, {N} in capitals.
+TEXTS = [
+    ("PayPal Europe S.a.r.l. et Cie {n} GmbH, I hr Einkauf b ei {n} GmbH Mandat: AB12", "PayPal Europe", None),
+    ("Ihr Einkauf bei {n}, Ihr Einkauf", "PAYPAL", "Referenz: Y2"),
+    ("VISA {N} NR XXXX 1234 KAUFUMSATZ 12.03 45,90", None, None),
+    ("{N}//BERLIN/DE Debitkartenzahlung", "", None),
+    ("{n} Mastercard • Bars & Restaurants", None, None),
+    ("Gehalt/Rente {n} AG", "{n} AG", None),
+    ("EREF+AB1234 MREF+M77 CRED+DE98ZZZ SVWZ+Rechnung {n} IBAN+DE12500105170648489890 BIC+INGDDEFFXXX", "{n} KG", None),
+    ("SEPA-Dauerauftrag {n}", "{n}", "Mandat: X1 Referenz: Y2 Bestellung vom Montag {n}, abgeholt am Dienstag in der Filiale am Markt"),
+    ("Kartenzahlung girocard {n} Filiale 12", None, None),
+    ("Bargeldausz. Geldautomat {n}", None, None),
+    ("Miete {n}\nMandat: X1 Miete fuer den Monat", None, None),
+    ("12345678901/abc, Shop {n}", "paypal", None),
+    ("Gutschrift Abbuchung vom PayPal-Konto /. {n} AG, Ihr Einkauf", None, None),
+    ("Lebensmittel {n} 1234567", "  ", "12345 67890 1"),
+    ("{n} Einzug", "{n} Filiale 12 Berlin", None),
+]
 COLUMNS = ["id", "account_id", "statement_id", "booking_date", "amount_cents", "counterparty_name", "description", "auto_category", "category_id", "is_duplicate"]
 
 
@@ -40,6 +58,15 @@ def transactions(spark: SparkSession, sf_dir: str, *columns: str, live: bool = T
     return out.select(*(F.expr(found[c]).alias(c) for c in columns))
 
 
+def bank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id``, ``name``, ``description``, ``counterparty`` and ``remittance``: texts as banks write them (``TEXTS``), about each part's name."""
+    names = read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    texts = F.array(*(F.struct(F.lit(i).alias("number"), *(F.lit(x).cast("string").alias(c) for x, c in zip(t, ("description", "counterparty", "remittance"), strict=True))) for i, t in enumerate(TEXTS)))
+    each = names.select("name", F.explode(texts).alias("t"))
+    about = lambda c: F.replace(F.replace(F.col(f"t.{c}"), F.lit("{n}"), F.col("name")), F.lit("{N}"), F.upper("name")).alias(c)
+    return each.select(F.concat_ws("#", "name", "t.number").alias("id"), "name", about("description"), about("counterparty"), about("remittance"))
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS id", "c_name AS name", "c_mktsegment AS bank_name", "concat('DE', lpad(CAST(c_custkey AS STRING), 20, '0')) AS iban", "c_acctbal >= 0 AS is_active"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.operators import categorize, learning, merchants, reads, spending, store, trends  # noqa: F401  they register their queries
+from tallyforge.operators import bank_texts, categorize, display, learning, merchants, reads, spending, store, trends  # noqa: F401  they register their queries
 from tallyforge.sources import exports, pdf_text  # noqa: F401
 from tallyforge.plans.catalog import ORACLE, QUERIES, Query
 from tallyforge.streaming import rollups  # noqa: F401

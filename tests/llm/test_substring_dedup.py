@@ -63,12 +63,21 @@ def test_equal_hashes_of_unequal_words_change_nothing(spark, chunk_bytes, monkey
 
     plain = substring_dedup._windows
     monkeypatch.setattr(substring_dedup, "_windows", lambda texts, window: plain(texts, window) % np.uint64(7) << np.uint64(60))
-    chunk = {"doc_id": [1, 2], "text": ["a b c d e", "x b c d y"], "chunk": [0, 0]}
     import pyarrow as pa
 
+    rows = [(1, "a b c d e"), (2, "x b c d y"), (3, "b c d p q r"), (4, "q r s t p q r"), (5, "a b c d e")]
+    tables = [pa.table({"doc_id": [i], "text": [t], "chunk": [i]}) for i, t in rows]
+    if chunk_bytes > 100:
+        tables = [pa.concat_tables(tables).set_column(2, "chunk", pa.array([0] * len(rows)))]
+    by = lambda t, name: [t.filter(pa.compute.equal(t[name], k)) for k in sorted(set(t[name].to_pylist()))]
+    join = lambda f, name, parts: [f(x) for x in by(pa.concat_tables(parts), name)]
+    own = lambda parts, k: t.filter(pa.compute.equal(t["chunk"], k)) if (t := pa.concat_tables(parts)).num_rows else t
+    told = join(substring_dedup._share, "bucket", [substring_dedup._send(3, 2, "text")(t) for t in tables])
+    proposed = [substring_dedup._propose(3, 2, "doc_id", "text")(t, own(told, t["chunk"][0].as_py())) for t in tables]
+    back = join(substring_dedup._confirm, "bucket", proposed) if any(p.num_rows for p in proposed) else proposed
     out = pa.schema([("doc_id", "int64"), ("n_removed", "int64"), ("removed", pa.list_(pa.struct([("first", "int64"), ("past", "int64")])))])
-    got = substring_dedup._remove(3, "doc_id", "text", True, out)(pa.table(chunk), substring_dedup._rows([], []))
-    assert got["n_removed"].to_pylist() == [0, 3]
+    got = pa.concat_tables([substring_dedup._remove(3, "doc_id", "text", True, out)(t, own(back, t["chunk"][0].as_py())) for t in tables])
+    assert list(zip(*(got[c].to_pylist() for c in ("doc_id", "n_removed")), strict=True)) == [(i, n) for i, _, n, _ in expected(rows, 3)]
 
 
 def test_columns_with_names_of_the_operator(spark):
