@@ -70,7 +70,7 @@ def with_trends(totals: DataFrame, sums: DataFrame, key: str, new: bool = False)
 
 @query(f""", {_MONTHS.format('auto_category')}, t AS (SELECT auto_category, CAST(sum(total) AS BIGINT) AS total FROM m GROUP BY 1),
 q AS (SELECT auto_category, coalesce(sum(total) FILTER (month = now), 0) AS c, coalesce(sum(total) FILTER (month = before), 0) AS p FROM m, two WHERE month IN (now, before) GROUP BY 1)
-SELECT t.*, CASE WHEN c = 0 AND p = 0 THEN NULL WHEN abs({_CHANGE}) < 5 THEN 'STABLE' WHEN c < p THEN 'UP' WHEN c IS NOT NULL THEN 'DOWN' END AS trend FROM t LEFT JOIN q USING (auto_category)""")
+SELECT t.*, CASE WHEN c IS NULL OR c = 0 AND p = 0 THEN NULL WHEN abs({_CHANGE}) < 5 THEN 'STABLE' WHEN c < p THEN 'UP' WHEN c IS NOT NULL THEN 'DOWN' END AS trend FROM t LEFT JOIN q USING (auto_category)""")
 def category_totals_with_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = spent(spark, sf_dir, "booking_date").groupBy(month(), "auto_category").agg(F.sum("amount_cents").alias("total"))
     return with_trends(sums.groupBy("auto_category").agg(F.sum("total").alias("total")), sums, "auto_category")
@@ -78,7 +78,7 @@ def category_totals_with_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f""", {_MONTHS.format('counterparty_name')}, t AS (SELECT counterparty_name, CAST(sum(total) AS BIGINT) AS total FROM m GROUP BY 1 ORDER BY 2, 1 LIMIT 10),
 q AS (SELECT counterparty_name, coalesce(sum(total) FILTER (month = now), 0) AS c, coalesce(sum(total) FILTER (month = before), 0) AS p FROM m, two WHERE month IN (now, before) GROUP BY 1)
-SELECT t.*, CASE WHEN c = 0 THEN NULL WHEN p = 0 THEN 'NEW' WHEN abs({_CHANGE}) < 5 THEN 'STABLE' WHEN c < p THEN 'UP' WHEN c IS NOT NULL THEN 'DOWN' END AS trend FROM t LEFT JOIN q USING (counterparty_name)""")
+SELECT t.*, CASE WHEN c IS NULL OR c = 0 THEN NULL WHEN p = 0 THEN 'NEW' WHEN abs({_CHANGE}) < 5 THEN 'STABLE' WHEN c < p THEN 'UP' WHEN c IS NOT NULL THEN 'DOWN' END AS trend FROM t LEFT JOIN q USING (counterparty_name)""")
 def merchant_history_with_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spent(spark, sf_dir, "booking_date", "counterparty_name").where("counterparty_name IS NOT NULL")
     sums = rows.groupBy(month(), "counterparty_name").agg(F.sum("amount_cents").alias("total"))

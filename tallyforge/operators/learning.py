@@ -177,8 +177,12 @@ def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngrams(words: Column, most: int) -> Column:
     """All runs of one to ``most`` words of an array, joined by a space."""
     n = F.size(words)
-    runs = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i, k=k: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>")) for k in range(1, most + 1)]
-    return F.flatten(F.array(*runs))
+
+    def runs(k: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " "))
+        return F.when(n >= k, each).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*(runs(k) for k in range(1, most + 1))))
 
 
 def tfidf(rows: DataFrame, key: str, words: str, most: int = 3) -> DataFrame:
@@ -221,17 +225,20 @@ def softmax_scores(weights: DataFrame, key: str, coefficients: DataFrame, interc
 
 
 def train(rows: DataFrame, vocabulary: int = 1 << 16, regularization: float = 0.5) -> PipelineModel:
-    """TF-IDF of runs of one to three words and multinomial logistic regression on ``feature_text`` and ``label``, classes weighted to equal shares."""
+    """TF-IDF of runs of one to three words and multinomial logistic regression on ``feature_text`` and ``label``, classes weighted to equal shares.
+
+    The model adds its columns on the way as ``model_...``.
+    """
     shares = rows.groupBy("label").agg(F.count("*").alias("n"))
     total, kinds = rows.count(), shares.count()
     weighed = rows.join(F.broadcast(shares) if kinds <= 10_000 else shares, "label").withColumn("class_weight", F.lit(total / max(kinds, 1)) / F.col("n"))
     return Pipeline(
         stages=[
             StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc"),
-            RegexTokenizer(inputCol="feature_text", outputCol="words", pattern=TERM, gaps=False),
-            *(NGram(n=k, inputCol="words", outputCol=f"runs_{k}") for k in (1, 2, 3)),
-            SQLTransformer(statement="SELECT *, concat(runs_1, runs_2, runs_3) AS tokens FROM __THIS__"),
-            CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocabulary),
+            RegexTokenizer(inputCol="feature_text", outputCol="model_words", pattern=TERM, gaps=False),
+            *(NGram(n=k, inputCol="model_words", outputCol=f"model_runs_{k}") for k in (1, 2, 3)),
+            SQLTransformer(statement="SELECT *, concat(model_runs_1, model_runs_2, model_runs_3) AS model_terms FROM __THIS__"),
+            CountVectorizer(inputCol="model_terms", outputCol="tf", vocabSize=vocabulary),
             IDF(inputCol="tf", outputCol="tfidf"),
             Normalizer(inputCol="tfidf", outputCol="features"),
             LogisticRegression(labelCol="label_index", featuresCol="features", weightCol="class_weight", family="multinomial", regParam=regularization / max(total, 1), maxIter=100),

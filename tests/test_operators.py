@@ -44,7 +44,7 @@ def test_best_match_takes_the_first_of_equals(spark):
 
 def test_statement_score(spark):
     full = "IBAN DE89 3704 0044 0532 0130 00 BIC X Kontostand 1.234,56 EUR am 01.02.2024 Buchung"
-    got = one(spark, *(signals.statement_score(F.lit(x).cast("string")) for x in (full, "", None, "nothing here")))
+    got = one(spark, *(signals.statement_score(F.lit(x).cast("string"), F.lower(F.lit(x).cast("string"))) for x in (full, "", None, "nothing here")))
     assert list(got) == [110, 0, 0, 0]
 
 
@@ -56,7 +56,7 @@ def test_statement_score(spark):
     ],
 )
 def test_cascade(spark, words, cents, category, suggested):
-    got = one(spark, categories.gated(categories.cascade(F.lit(words).cast("string"), F.lit(cents))).alias("x")).x
+    got = one(spark, categories.gated(categories.cascade(F.lower(F.lit(words).cast("string")), F.lit(cents))).alias("x")).x
     assert (got.category, got.suggested) == (category, suggested)
 
 
@@ -105,7 +105,8 @@ def test_upsert_and_update(spark):
 
 def test_training_and_scoring(spark):
     rows = [(i, f"rewe lidl food {i % 7}" if i % 2 else f"hotel flight booking {i % 5}", "SUPERMARKET" if i % 2 else "TRAVEL") for i in range(60)]
-    frame = spark.createDataFrame(rows, "id int, words string, label string").withColumn("feature_text", learning.feature_text(F.col("words"), F.lit(None).cast("string"), F.lit(-20.0)))
+    frame = spark.createDataFrame(rows, "id int, words string, label string").withColumns({"who": F.lit(None).cast("string"), "amount": F.lit(-20.0)})
+    frame = learning.with_feature_text(frame, "words", "who", "amount")
     model = learning.train(frame)
     scored = model.transform(frame)
     assert scored.where("prediction = label_index").count() == 60
@@ -121,6 +122,18 @@ def test_softmax_of_a_given_model(spark):
     assert got[1] == ("A", pytest.approx(1 / (1 + 2.718281828459045**-2.5), abs=1e-9)) and got[2][0] == "B"
 
 
-def test_feature_text(spark):
-    got = one(spark, learning.feature_text(F.lit("REWE Köln 12345 GmbH ARN123"), F.lit(None).cast("string"), F.lit(-12.0)))[0]
-    assert got == "hint_supermarket amount_expense amount_small rewe koeln"
+@pytest.mark.parametrize(
+    ("description", "cents", "found"),
+    [
+        ("REWE Köln 12345 GmbH ARN123", -1200, "hint_supermarket amount_expense amount_small amount_grocery_plausible rewe koeln"),
+        ("VISA Netflix Kaufumsatz 3", -2000, "netflix netflix hint_transport hint_subscription amount_expense amount_meal_range netflix"),
+        (None, 0, "amount_zero amount_micro"),
+    ],
+)
+def test_feature_text(spark, description, cents, found):
+    row = spark.createDataFrame([(description, None, cents / 100)], "description string, counterparty_name string, amount double")
+    assert learning.with_feature_text(row).first().feature_text == found
+
+
+def test_runs_of_words(spark):
+    assert [one(spark, learning.ngrams(F.lit(words).cast("array<string>"), 3))[0] for words in (["a", "b", "c"], ["a"], [])] == [["a", "b", "c", "a b", "b c", "a b c"], ["a"], []]

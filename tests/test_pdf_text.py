@@ -64,6 +64,11 @@ def test_display_names(spark, counterparty, description, name):
     assert value(spark, references.display_name(F.lit(counterparty).cast("string"), F.lit(description))) == name
 
 
-def test_effective_merchants(spark):
-    merchant = lambda c, d: value(spark, references.effective_merchant(F.lit(c), F.lit(d)))
-    assert merchant("Bank", "VISA Netflix Kaufumsatz 3") == "Netflix" and merchant("Bank", "EDEKA 123//Berlin/DE") == "EDEKA 123" and merchant("Shop", "x") == "Shop" and merchant("S", "x") is None
+@pytest.mark.parametrize(
+    ("counterparty", "description", "name"),
+    [("Bank", "VISA Netflix Kaufumsatz 3", "Netflix"), ("Bank", "Kartenzahlung EDEKA 123//Berlin/DE", "EDEKA 123"), ("Shop", "x", "Shop"), ("S", "x", None), (None, "x", None), ("Bank", "Rewe Mastercard • Lebensmittel", "Rewe")],
+)
+def test_effective_merchants(spark, counterparty, description, name):
+    texts = F.lit(description), F.lit(counterparty).cast("string")
+    whole = references.whole_text(*texts)
+    assert value(spark, references.effective_merchant(references.kind(F.lower(whole)), texts[1], whole)) == name
