@@ -67,6 +67,8 @@ def categorize(rows: DataFrame, overrides: DataFrame, keywords: DataFrame, merch
     texts = texts.withColumn("merchant", references.effective_merchant(F.col("kind"), counterparty, F.col("whole")))
     texts = texts.withColumns({"asked": F.coalesce("merchant", "whole"), "hint": references.category_hint(F.col("whole"))})
     texts = texts.withColumn("low", F.lower(F.concat_ws(" ", "merchant", "asked", "description", "counterparty_name")))
+    made = F.struct("merchant", "asked", "hint", "low")  # through explode, so that no filter on a join's key is put in terms of all these patterns
+    texts = texts.select("description", "counterparty_name", F.explode(F.array(made)).alias("t")).select("description", "counterparty_name", "t.*")
     found = with_overrides(texts, overrides)
     asked = texts.select("asked").distinct()
     by_word = keyword_matches(asked, "asked", "asked", keywords).select("asked", F.col("category").alias("keyword_category"))
@@ -82,7 +84,8 @@ def categorize(rows: DataFrame, overrides: DataFrame, keywords: DataFrame, merch
     )
     same = F.col("description").eqNullSafe(F.col("of_description")) & F.col("counterparty_name").eqNullSafe(F.col("of_counterparty"))
     first = categories.cascade(F.col("low"), F.col("amount_cents"), F.col("override"), F.col("merchant_category"), F.col("keyword_category"), F.col("hint"), F.col("merchant_keyword"))
-    out = rows.join(found, same).select(*rows.columns, categories.gated(first).alias("x"))
+    out = rows.join(found, same).select(*rows.columns, first.alias("first"))  # a column of its own: its rules are planned once
+    out = out.select(*rows.columns, categories.gated(F.col("first")).alias("x"))
     if model is not None:
         known = model.select(F.col("description").alias("of_description"), F.col("counterparty_name").alias("of_counterparty"), "label", "probability")
         out = out.join(known, same, "left").select(*rows.columns, categories.with_model(F.col("x"), F.col("label"), F.col("probability"), mode).alias("x"))
