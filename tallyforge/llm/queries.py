@@ -117,8 +117,7 @@ j AS (SELECT *, {_RULE} AS rule, {_BY_RULE} AS by_rule, md5(coalesce(CAST(page_i
 pos AS (SELECT id, by_rule, fold, s, unnest(range(2, length(s) + 1)) AS i FROM j),
 run AS (SELECT by_rule, unnest(list_transform(range(0, least(i, 5)), lambda k: s[i - k:i])) AS gram FROM pos WHERE by_rule IS NOT NULL AND fold),
 counted AS (SELECT gram, CAST(count(*) FILTER (by_rule = 'allow') AS DOUBLE) AS a, CAST(count(*) FILTER (by_rule = 'block') AS DOUBLE) AS b FROM run GROUP BY gram),
-powers AS (SELECT floor(log2(a + b)) AS power, sum(count(*)) OVER (ORDER BY floor(log2(a + b)) DESC) AS n FROM counted GROUP BY 1),
-gram AS (SELECT * FROM counted WHERE a + b >= (SELECT pow(2, coalesce(max(power) + 1, 0)) FROM powers WHERE n > {url_filter.MOST_GRAMS})),
+gram AS (SELECT * FROM counted),
 n AS (SELECT sum(a) AS na, sum(b) AS nb, ln(nb + {_M}) - ln(na + {_M}) AS unseen FROM gram WHERE length(gram) = 1),
 context AS (SELECT gram[:-2] AS gram, sum(a) AS a, sum(b) AS b, ln(sum(b) + {_M}) - ln(sum(a) + {_M}) AS fall FROM gram WHERE length(gram) > 1 GROUP BY 1),
 l0 AS (SELECT gram, (a + {_M} / {url_filter.CHARACTERS}) / (na + {_M}) AS pa, (b + {_M} / {url_filter.CHARACTERS}) / (nb + {_M}) AS pb FROM gram, n WHERE length(gram) = 1),

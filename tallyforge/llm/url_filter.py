@@ -29,8 +29,6 @@ SMOOTHING = 4.0
 CHARACTERS = 256  # of the uniform distribution that the shortest context falls back on
 #: Largest tables of runs (a row is below 200 bytes) that are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
-#: The SQL twin's limit of runs; the models here have none.
-MOST_GRAMS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
