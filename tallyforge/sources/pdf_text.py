@@ -90,12 +90,11 @@ def confidence(text: Column, layout: Layout) -> Column:
     return F.when(contains_any(text, names), 100).when(contains_any(F.lower(text), [n.lower() for n in names]), 50).otherwise(0)
 
 
-def choose_layouts(lines: DataFrame, layouts: Sequence[Layout] = LAYOUTS, header_lines: int = 60) -> DataFrame:
-    """``file`` and ``bank``, of the surest layout by the first lines; of equal ones the first of the list; none below 50."""
-    first = lines.where(F.col("line_no") <= header_lines)
+def choose_layouts(lines: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
+    """``file`` and ``bank``, of the surest layout by all lines; of equal ones the first of the list; none below 50."""
     scores = [F.max(confidence(F.col("text"), x)).alias(f"s{i}") for i, x in enumerate(layouts)]
     ranked = F.array_sort(F.array(*(F.struct((-F.col(f"s{i}")).alias("by"), F.lit(i).alias("place"), F.lit(x.bank).alias("bank")) for i, x in enumerate(layouts))))
-    best = first.groupBy("file").agg(*scores).select("file", F.get(ranked, 0).alias("best"))
+    best = lines.groupBy("file").agg(*scores).select("file", F.get(ranked, 0).alias("best"))
     return best.select("file", F.when(F.col("best.by") <= -50, F.col("best.bank")).alias("bank"))
 
 
