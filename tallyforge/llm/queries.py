@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, licenses, mixing, near_dedup, search, substring_dedup, toxicity, url_filter, warc, winnowing
+from tallyforge.llm import bpe, fill_in_middle, licenses, mixing, near_dedup, search, spelling, substring_dedup, suffix_dedup, toxicity, url_filter, warc, winnowing
 from tallyforge.llm.common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +60,25 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    back = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_url_filter, op4_substring_dedup, op5_search, op6_warc, op7_near_dedup, op8_licenses, op9_bpe, op10_fingerprints)}
+    made = op1_mix_sources, op2_toxicity, op3_url_filter, op4_substring_dedup, op5_search, op6_warc, op7_near_dedup, op8_licenses, op9_bpe, op10_fingerprints, op11_spelling, op12_fill_in_middle, op13_suffix_dedup
+    return {f.__name__: f for f in made}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -224,5 +241,60 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS B
 """
 
 
+_OP11 = rf"""
+WITH RECURSIVE raw AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS id, {_LOWER.format(f"unnest(regexp_extract_all(coalesce(text, ''), '{spelling.LETTERS}'))")} AS run FROM documents),
+each AS (SELECT id, run, count(*) AS n FROM raw GROUP BY ALL),
+-- the table of the CRC-32, each entry by eight shifts of its number
+crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS entry FROM range(256) r(i)),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda k: CAST('0x' || h[2 * k + 1:2 * k + 2] AS BIGINT))),
+    lambda c, b: xor(c >> 8, entry[1 + (xor(c, b) & 255)]))) AS h
+  FROM (SELECT run, n, hex(encode(id || ':' || run)) AS h FROM each), crc),
+w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+link AS (
+  SELECT DISTINCT x.word AS a, y.word AS b FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT word, rest FROM less WHERE rest IN (SELECT word FROM w) UNION SELECT rest, word FROM less WHERE rest IN (SELECT word FROM w)),
+near AS (SELECT a AS word, count(*) AS n_near, max(n) AS top FROM link JOIN w ON b = w.word GROUP BY a),
+best AS (SELECT a AS word, min(b) AS form, top AS form_n, n_near FROM link JOIN w ON b = w.word JOIN near ON a = near.word AND n = top GROUP BY ALL),
+f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.root = f.word WHERE f.form IS NOT NULL),
+last AS (SELECT walk.word, root FROM walk JOIN f ON root = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN last USING (word)
+"""
+
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS unit,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+g AS (SELECT *, len(unit) AS n, list_transform([0, 1, 2, 3], lambda k: CAST('0x' || h[8 * k + 1:8 * k + 8] AS BIGINT)) AS r FROM d),
+c AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, array_to_string(unit[:a], '') AS pre, array_to_string(unit[a + 1:b], '') AS mid, array_to_string(unit[b + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+_OP13 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, row_number() OVER () AS row FROM documents),
+s AS (SELECT row, doc_id, unnest(range(1, len(h) // 2 - 48)) AS i, h FROM d),
+w AS (SELECT row, doc_id, i, md5(substr(h, 2 * i - 1, 100)) AS k FROM s),
+f AS (SELECT k, min(coalesce(doc_id, -9223372036854775807)) AS first FROM w GROUP BY k),
+again AS (SELECT row, i FROM w JOIN f USING (k) WHERE coalesce(doc_id, -9223372036854775807) > first),
+-- windows that touch or overlap make one removed run
+turn AS (SELECT row, i, CASE WHEN i - lag(i) OVER o <= 50 THEN 0 ELSE 1 END AS turn FROM again WINDOW o AS (PARTITION BY row ORDER BY i)),
+run AS (SELECT row, i, sum(turn) OVER (PARTITION BY row ORDER BY i) AS run FROM turn),
+span AS (SELECT row, run, min(i) AS lo, max(i) + 50 AS past FROM run GROUP BY ALL),
+gap AS (SELECT row, lo, past, lag(past, 1, 1) OVER (PARTITION BY row ORDER BY lo) AS begin FROM span),
+kept AS (SELECT row, count(*) AS n, sum(past - lo) AS lost, string_agg(h[2 * begin - 1:2 * lo - 2], '' ORDER BY lo) || any_value(h)[2 * max(past) - 1:] AS h FROM gap JOIN d USING (row) GROUP BY row)
+SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(lost, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN kept USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _OP1, "op3_url_filter": _OP3, "op4_substring_dedup": _OP4, "op6_warc": _OP6, "op7_near_dedup": _OP7, "op8_licenses": _OP8}
+    return {"op1_mix_sources": _OP1, "op3_url_filter": _OP3, "op4_substring_dedup": _OP4, "op6_warc": _OP6, "op7_near_dedup": _OP7, "op8_licenses": _OP8, "op11_spelling": _OP11, "op12_fill_in_middle": _OP12, "op13_suffix_dedup": _OP13}
