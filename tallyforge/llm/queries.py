@@ -87,6 +87,9 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _TOPIC = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{x}')" for x in parts) + f" THEN '{name}'" for name, parts in mixing.TOPICS) + " ELSE 'prose' END"
 _GOAL = "(SELECT {0}, pow(sum(tokens), 0.7) / sum(pow(sum(tokens), 0.7)) OVER () AS goal_{0} FROM cell GROUP BY {0})"
 
+#: Rounds of the twin: far more than these tables need; once they have settled, the rest changes nothing.
+_RAKE_ROUNDS = 300
+
 _OP1 = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {_TOPIC} AS topic,
@@ -99,8 +102,8 @@ ipf AS (
   UNION ALL
   SELECT i + 1, source, lang, topic, tokens, goal_source, goal_lang, goal_topic, w * goal_topic / sum(w) OVER (PARTITION BY topic) FROM (
     SELECT * REPLACE (w * goal_lang / sum(w) OVER (PARTITION BY lang) AS w) FROM (
-      SELECT * REPLACE (w * goal_source / sum(w) OVER (PARTITION BY source) AS w) FROM ipf WHERE i < {mixing.ROUNDS}))),
-raked AS (SELECT source, lang, topic, tokens, w / sum(w) OVER () * sum(tokens) OVER () / tokens AS r FROM ipf WHERE i = {mixing.ROUNDS}),
+      SELECT * REPLACE (w * goal_source / sum(w) OVER (PARTITION BY source) AS w) FROM ipf WHERE i < {_RAKE_ROUNDS}))),
+raked AS (SELECT source, lang, topic, tokens, w / sum(w) OVER () * sum(tokens) OVER () / tokens AS r FROM ipf WHERE i = {_RAKE_ROUNDS}),
 ranked AS (
   SELECT *, 0.8 * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY r DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS budget,
     sum(tokens * r) OVER (ORDER BY r DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mass FROM raked),

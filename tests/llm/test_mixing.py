@@ -41,13 +41,20 @@ def test_raking_equals_numpy(spark, monkeypatch, limit):
     assert got == pytest.approx({k: v for k, v in np.ndenumerate(want)}, abs=1e-6)
 
 
-def test_raking_goes_on_until_it_settles(spark):
+def test_targets_that_contradict_each_other_leave_the_last_dimension_met(spark):
+    raked = mixing.rake(cells(spark, np.array([[1.0, 0.0], [0.0, 1.0]])), {"source": target(spark, [1, 3]), "lang": target(spark, [1, 1])})
+    assert {(r.source, r.lang): r.share for r in raked.collect()} == pytest.approx({("0", "0"): 0.5, ("0", "1"): 0, ("1", "0"): 0, ("1", "1"): 0.5})
+
+
+@pytest.mark.parametrize("limit", [mixing.BROADCAST_ROWS, 0])
+def test_raking_goes_on_until_it_settles(spark, monkeypatch, limit):
     tokens = np.array([[1000.0, 1.0], [1.0, 10.0]])  # strongly tied, so slow
     goals = [np.array([0.3, 0.7]), np.array([0.5, 0.5])]
     by = {"source": target(spark, goals[0]), "lang": target(spark, goals[1])}
     got = {(int(r.source), int(r.lang)): r.share for r in mixing.rake(cells(spark, tokens), by).collect()}
     assert got == pytest.approx({k: v for k, v in np.ndenumerate(fitted(tokens, goals, 5000))}, abs=1e-7)
     assert got[0, 0] + got[0, 1] == pytest.approx(0.3, abs=1e-7)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", limit)
     with pytest.warns(RuntimeWarning, match="not settled in 2 rounds"):
         mixing.rake(cells(spark, tokens), by, rounds=2)
 
@@ -94,6 +101,11 @@ def test_given_targets_shift_the_tokens(spark):
     assert 50 <= n["a"] <= 100 and 50 <= n["b"] <= 100
 
 
+def test_columns_with_names_of_the_operator(spark):
+    docs = spark.createDataFrame([(1, "a", "en", "x", 3, 5.0)], "doc_id long, topic string, lang string, source string, n_tokens int, cell_source double")
+    assert mixing.mix(docs, keep=1.0).select("cell_source", "sampled").collect() == [(5.0, True)]
+
+
 def test_empty_table(spark):
     docs = mixing.describe(spark.createDataFrame([], "doc_id long, text string, lang string, source string"))
     assert mixing.mix(docs).count() == 0
