@@ -49,7 +49,7 @@ PAIR = r"^(\d{2}\.\d{2}\.)/(\d{2}\.\d{2}\.)\s*(.*)"
 #: The readings in the order in which they are tried.
 GERMAN = ("comprehensive", "multiline", "table", "date_amount", "block")
 INTERNATIONAL = ("table", "line", "block")
-_PARSED = "struct<booking_date:date,value_date:date,amount:double,description:string,raw_text:string,spare:boolean>"
+PARSED = "struct<booking_date:date,value_date:date,amount:double,description:string,raw_text:string,spare:boolean>"
 
 
 def is_header(text: Column) -> Column:
@@ -95,7 +95,7 @@ def number(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
 
 
-def _signed(text: Column, pattern: str) -> Column:
+def signed_amount(text: Column, pattern: str) -> Column:
     """The amount of the first match of ``pattern``, whose first group is a sign (none: plus) and whose second is the number."""
     sign = F.when(F.trim(F.regexp_extract(text, pattern, 1)).startswith("-"), -1.0).otherwise(1.0)
     return sign * number(F.regexp_extract(text, pattern, 2))
@@ -106,7 +106,8 @@ def ordered(lines: DataFrame, year: int) -> DataFrame:
     whole = Window.partitionBy("file").orderBy("line_no")
     upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""))
-    rows = lines.select("file", "line_no", text.alias("text")).withColumns({"idx": F.row_number().over(whole), "after": F.lead("text").over(whole), "before": F.lag("text").over(whole)})
+    only = F.col("only") if "only" in lines.columns else F.lit(None).cast("string")
+    rows = lines.select("file", "line_no", text.alias("text"), only.alias("only")).withColumns({"idx": F.row_number().over(whole), "after": F.lead("text").over(whole), "before": F.lag("text").over(whole)})
     year_line, torn = r"^\d{4}$", r"\d{2}\.\d{2}\.$"
     rows = rows.withColumns({
         "joined": F.when(F.col("text").rlike(torn) & F.coalesce(F.col("after").rlike(year_line), F.lit(False)), F.concat("text", "after")).otherwise(F.col("text")),
@@ -118,7 +119,7 @@ def ordered(lines: DataFrame, year: int) -> DataFrame:
     })
 
 
-def _blocks_of(rows: DataFrame, spans: Sequence[tuple[str, str]]) -> DataFrame:
+def blocks_of(rows: DataFrame, spans: Sequence[tuple[str, str]]) -> DataFrame:
     """``rows`` with a block for each of ``spans`` (name, column of places): the first row of the span that has taken it.
 
     ``<name>_next`` is where the scan goes on if a row begins a span, null where none can begin, and ``<name>_last`` the span's last
@@ -153,73 +154,73 @@ def _blocks_of(rows: DataFrame, spans: Sequence[tuple[str, str]]) -> DataFrame:
     return rows.sortWithinPartitions("file", "line_no").mapInArrow(scan, out)
 
 
-def _gathered(rows: DataFrame, blocks: Sequence[tuple[str, Column, Column, Column]]) -> DataFrame:
-    """``file``, ``strategy``, ``block``, ``line_no`` and ``parts`` of every block: (strategy, block, text, header) say where a row belongs."""
+def gathered(rows: DataFrame, blocks: Sequence[tuple[str, Column, Column, Column]], *carried: str) -> DataFrame:
+    """``file``, ``strategy``, ``block``, ``line_no`` and ``parts`` of every block: (strategy, block, text, header) say where a row belongs.  Of the columns ``carried`` each block has what its first row has."""
     each = F.array(*(F.struct(F.lit(s).alias("strategy"), b.cast("int").alias("block"), t.alias("text"), h.alias("header")) for s, b, t, h in blocks))
-    long = rows.select("file", "line_no", "idx", F.explode(F.filter(each, lambda x: x["block"].isNotNull())).alias("x")).select("file", "line_no", "idx", "x.*")
+    long = rows.select("file", "line_no", "idx", *carried, F.explode(F.filter(each, lambda x: x["block"].isNotNull())).alias("x")).select("file", "line_no", "idx", *carried, "x.*")
     parts = F.array_sort(F.collect_list(F.struct("idx", "text", "header")))
-    return long.groupBy("file", "strategy", "block").agg(F.min("line_no").alias("line_no"), parts.alias("parts"))
+    return long.groupBy("file", "strategy", "block").agg(F.min("line_no").alias("line_no"), parts.alias("parts"), *(F.min_by(c, "idx").alias(c) for c in carried))
 
 
-def _head() -> Column:
+def head_line() -> Column:
     return F.get("parts", 0)["text"]
 
 
-def _joined_rest(skip: int = 0, by: str = " ") -> Column:
+def joined_rest(skip: int = 0, by: str = " ") -> Column:
     """The texts behind a block's first (less ``skip`` at the end), without blank lines and headers."""
     rest = F.filter(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1 - skip, F.lit(0))), lambda p: (p["text"] != "") & ~p["header"])
     return F.array_join(F.transform(rest, lambda p: p["text"]), by)
 
 
-def _result(booking: Column, value: Column, amount: Column, description: Column, raw: Column, keep: Column, spare: Column | None = None) -> Column:
+def result(booking: Column, value: Column, amount: Column, description: Column, raw: Column, keep: Column, spare: Column | None = None) -> Column:
     spare = F.lit(False) if spare is None else spare
-    made = F.struct(booking.alias("booking_date"), F.coalesce(value, booking).alias("value_date"), amount.alias("amount"), description.alias("description"), raw.alias("raw_text"), spare.alias("spare")).cast(_PARSED)
+    made = F.struct(booking.alias("booking_date"), F.coalesce(value, booking).alias("value_date"), amount.alias("amount"), description.alias("description"), raw.alias("raw_text"), spare.alias("spare")).cast(PARSED)
     return F.when(booking.isNotNull() & amount.isNotNull() & keep, made)
 
 
-def _dated(text: Column, i: int, year: int, pattern: str = DATE) -> Column:
+def dated(text: Column, i: int, year: int, pattern: str = DATE) -> Column:
     return german_date(F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), i), year)
 
 
-def _without(text: Column, *patterns: str, by: str = " ") -> Column:
+def without(text: Column, *patterns: str, by: str = " ") -> Column:
     for p in patterns:
         text = F.regexp_replace(text, p, by)
     return text
 
 
 def _table(year: int) -> Column:
-    head = _head()
-    description = collapse(F.concat_ws(" ", F.regexp_replace(_without(head, DATE, AMOUNT, by=""), "€", " "), _joined_rest()))
-    return once(description, lambda d: _result(_dated(head, 0, year), _dated(head, 1, year), _signed(head, AMOUNT), d, head, ~is_balance(d, head)))
+    head = head_line()
+    description = collapse(F.concat_ws(" ", F.regexp_replace(without(head, DATE, AMOUNT, by=""), "€", " "), joined_rest()))
+    return once(description, lambda d: result(dated(head, 0, year), dated(head, 1, year), signed_amount(head, AMOUNT), d, head, ~is_balance(d, head)))
 
 
 def _date_amount(year: int) -> Column:
-    head = _head()
+    head = head_line()
     end = rf"{AMOUNT}\s*$"
-    own = F.trim(_without(head, rf"^{DATE}", end, by=""))
+    own = F.trim(without(head, rf"^{DATE}", end, by=""))
     second = F.regexp_extract(own, rf"^({DATE})", 1)
-    description = F.trim(F.concat_ws(" ", F.trim(_without(own, rf"^{DATE}", by="")), F.nullif(_joined_rest(), F.lit(""))))
+    description = F.trim(F.concat_ws(" ", F.trim(without(own, rf"^{DATE}", by="")), F.nullif(joined_rest(), F.lit(""))))
     found = head.rlike(rf"^{DATE}") & head.rlike(end)
-    return once(description, lambda d: _result(_dated(head, 0, year), F.when(second != "", german_date(second, year)), _signed(head, end), d, head, found & ~is_balance(d, head)))
+    return once(description, lambda d: result(dated(head, 0, year), F.when(second != "", german_date(second, year)), signed_amount(head, end), d, head, found & ~is_balance(d, head)))
 
 
 def _block(year: int) -> Column:
     whole = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
-    description = lambda w: collapse(_without(w, DATE, AMOUNT))
-    return once(whole, lambda w: once(description(w), lambda d: _result(_dated(w, 0, year), _dated(w, 1, year), _signed(w, AMOUNT), d, w, (F.length(d) > 3) & ~is_balance(d, w))))
+    description = lambda w: collapse(without(w, DATE, AMOUNT))
+    return once(whole, lambda w: once(description(w), lambda d: result(dated(w, 0, year), dated(w, 1, year), signed_amount(w, AMOUNT), d, w, (F.length(d) > 3) & ~is_balance(d, w))))
 
 
 def _multiline(year: int) -> Column:
-    head, last = _head(), F.element_at("parts", -1)["text"]
+    head, last = head_line(), F.element_at("parts", -1)["text"]
     paired = head.rlike(PAIR)
     own = F.trim(F.when(paired, F.regexp_extract(head, PAIR, 3)).otherwise(F.regexp_replace(head, rf"^{DATE}", "")))
     own = F.when(~own.rlike(rf"^\s*{SIGNED}\s*$") | paired, own)
     before = F.trim(F.regexp_extract(last, rf"^(.*?){SIGNED}", 1))
-    description = collapse(F.concat_ws(" ", F.nullif(own, F.lit("")), F.nullif(_joined_rest(1), F.lit("")), F.when(~is_header(before), before)))
+    description = collapse(F.concat_ws(" ", F.nullif(own, F.lit("")), F.nullif(joined_rest(1), F.lit("")), F.when(~is_header(before), before)))
     booking = F.when(paired, german_date(F.regexp_extract(head, PAIR, 1), year)).otherwise(german_date(F.regexp_extract(head, rf"^({DATE})", 1), year))
     value = F.when(paired, german_date(F.regexp_extract(head, PAIR, 2), year)).otherwise(booking)
-    raw = F.array_join(F.array_compact(F.array(head, F.nullif(_joined_rest(1, "\n"), F.lit("")), last)), "\n")
-    return once(description, lambda d: _result(booking, value, _signed(last, SIGNED), d, raw, ~is_balance(d, raw)))
+    raw = F.array_join(F.array_compact(F.array(head, F.nullif(joined_rest(1, "\n"), F.lit("")), last)), "\n")
+    return once(description, lambda d: result(booking, value, signed_amount(last, SIGNED), d, raw, ~is_balance(d, raw)))
 
 
 def _comprehensive(year: int) -> Column:
@@ -230,13 +231,13 @@ def _comprehensive(year: int) -> Column:
         shown = F.try_element_at(F.regexp_extract_all(w, F.lit(MARKED), F.lit(0)), F.lit(-1))
         size = number(F.regexp_extract(shown, MARKED, 2))
         mark = F.upper(F.concat(F.regexp_extract(shown, MARKED, 1), F.regexp_extract(shown, MARKED, 3)))
-        description = collapse(_without(w, DATE_ANY, MARKED, r"[€+\-−–]|\b[SH]\b"))
-        head = _head()
+        description = collapse(without(w, DATE_ANY, MARKED, r"[€+\-−–]|\b[SH]\b"))
+        head = head_line()
 
         def with_text(d: Column) -> Column:
             debit = F.when(mark.rlike("^[-−–]"), True).when(mark.rlike("^[+]"), False).when(mark.rlike("[-−–S]$"), True).when(mark.rlike("[+H]$"), False).otherwise(~contains_any(F.lower(d), INCOME))
             raw = F.array_join(texts, "\n")
-            return _result(_dated(head, 0, year, DATE_ANY), _dated(head, 1, year, DATE_ANY), F.when(debit, -size).otherwise(size), d, raw, ~is_balance(d, raw), F.length(d) <= 2)
+            return result(dated(head, 0, year, DATE_ANY), dated(head, 1, year, DATE_ANY), F.when(debit, -size).otherwise(size), d, raw, ~is_balance(d, raw), F.length(d) <= 2)
 
         return once(description, with_text)
 
@@ -246,7 +247,8 @@ def _comprehensive(year: int) -> Column:
 def german_readings(lines: DataFrame, year: int) -> DataFrame:
     """The transactions of each of the ``GERMAN`` readings: ``file``, ``strategy``, ``line_no``, dates, ``amount``, ``description``, ``raw_text``.
 
-    ``lines`` have ``file``, ``line_no`` and ``text``; a null text is a blank line.  ``year`` is that of dates without one.
+    ``lines`` have ``file``, ``line_no`` and ``text``; a null text is a blank line.  ``year`` is that of dates without one.  Where they have
+    ``only``, the name of a reading, their document gets no other.
     """
     rows = ordered(lines, year)
     by_file = Window.partitionBy("file")
@@ -259,7 +261,7 @@ def german_readings(lines: DataFrame, year: int) -> DataFrame:
         "hit": text.rlike(DATE) & text.rlike(AMOUNT), "day": day, "halt": only | pair | (day & ~signed), "gives": signed,
         "begins": ~F.col("blank") & ~F.col("header") & F.when(pair, german_date(F.regexp_extract(text, PAIR, 1), year)).otherwise(german_date(F.regexp_extract(text, rf"^({DATE})", 1), year)).isNotNull(),
         "c_halt": F.regexp_instr(joined, F.lit(DATE_ANY)).between(1, 3) & (~joined.rlike(MARKED) | (F.length(joined) > 20)),
-        "c_begins": (joined != "") & ~F.col("joined_header") & _dated(joined, 0, year, DATE_ANY).isNotNull(),
+        "c_begins": (joined != "") & ~F.col("joined_header") & dated(joined, 0, year, DATE_ANY).isNotNull(),
     })
     place_of = lambda flag, place, over: F.min(F.when(flag, F.col(place))).over(over)
     rows = rows.withColumns({
@@ -273,26 +275,27 @@ def german_readings(lines: DataFrame, year: int) -> DataFrame:
         "m_next": F.when(F.col("begins"), F.when(met, F.col("found") + 1).otherwise(F.coalesce("stop", F.col("idx") + 15))), "m_last": F.when(F.col("begins") & met, F.col("found")),
         "c_next": F.when(F.col("c_begins") & ~F.col("left_out"), F.coalesce("c_stop", F.col("place") + 12)),
     }).withColumn("c_last", F.col("c_next") - 1)
-    slim = rows.select("file", "line_no", "idx", "place", "text", "joined", "blank", "header", "joined_header", "t_block", "d_block", "gap", "m_next", "m_last", "c_next", "c_last")
-    taken = _blocks_of(slim, [("m", "idx"), ("c", "place")])
+    slim = rows.select("file", "line_no", "idx", "place", "only", "text", "joined", "blank", "header", "joined_header", "t_block", "d_block", "gap", "m_next", "m_last", "c_next", "c_last")
+    taken = blocks_of(slim, [("m", "idx"), ("c", "place")])
     close = lambda b: F.when((F.col("idx") - F.col(b) <= 4) & (F.col("gap") < F.col(b)), F.col(b))
     blocks = [
         ("comprehensive", F.col("c_block"), joined, F.col("joined_header")), ("multiline", F.col("m_block"), text, F.col("header")), ("table", close("t_block"), text, F.col("header")),
         ("date_amount", close("d_block"), text, F.col("header")), ("block", F.when(~F.col("blank") & ~F.col("header"), F.col("gap")), text, F.col("header")),
     ]
+    blocks = [(s, F.when(F.col("only").isNull() | (F.col("only") == s), b), t, h) for s, b, t, h in blocks]
     read = {"comprehensive": _comprehensive, "multiline": _multiline, "table": _table, "date_amount": _date_amount, "block": _block}
-    parsed = F.lit(None).cast(_PARSED)
+    parsed = F.lit(None).cast(PARSED)
     for name, f in read.items():
         parsed = F.when(F.col("strategy") == name, f(year)).otherwise(parsed)
-    found = _gathered(taken, blocks).withColumn("r", parsed).where("r IS NOT NULL").select("file", "strategy", "line_no", "r.*")
-    return _distinct(found, GERMAN[3:4])
+    found = gathered(taken, blocks).withColumn("r", parsed).where("r IS NOT NULL").select("file", "strategy", "line_no", "r.*")
+    return distinct(found, GERMAN[3:4])
 
 
-def _distinct(found: DataFrame, all_of: Sequence[str] = ()) -> DataFrame:
-    """Without later rows of the same date, amount and first 20 characters of the description, but for the readings ``all_of``; rows of hardly any text only where no earlier one has their date and amount."""
+def distinct(found: DataFrame, all_of: Sequence[str] = (), size: int = 20, by: str = "description") -> DataFrame:
+    """Without later rows of the same date, amount and first ``size`` characters of ``by``, but for the readings ``all_of``; rows of hardly any text only where no earlier one has their date and amount."""
     same = ["file", "strategy", "booking_date", "amount"]
     first = F.row_number().over(Window.partitionBy(*same).orderBy("line_no")) == 1
-    again = F.row_number().over(Window.partitionBy(*same, F.substring("description", 1, 20)).orderBy("line_no")) > 1
+    again = F.row_number().over(Window.partitionBy(*same, F.substring(by, 1, size)).orderBy("line_no")) > 1
     kept = found.withColumn("first", first).where("first OR NOT spare")
     return kept.withColumn("again", again).where(~F.col("again") | F.col("strategy").isin(list(all_of))).drop("first", "again", "spare")
 
@@ -377,19 +380,19 @@ def international_readings(lines: DataFrame) -> DataFrame:
     table = F.when((F.col("idx") - F.col("t_block") <= 3) & (F.col("gap") < F.col("t_block")), F.col("t_block"))
     blocks = [("table", table, text, F.col("header")), ("line", F.when(F.col("hit"), F.col("idx")), text, F.col("header")), ("block", F.when(~F.col("blank") & ~F.col("header"), F.col("gap")), text, F.col("header"))]
     forms = rows.groupBy("file").agg(*(F.first(c, True).alias(c) for c in ("date_form", "amount_form", "currency")))
-    found = _gathered(rows, blocks).join(forms, "file")
-    whole = F.when(F.col("strategy") == "block", F.array_join(F.transform("parts", lambda p: p["text"]), " ")).otherwise(_head())
+    found = gathered(rows, blocks).join(forms, "file")
+    whole = F.when(F.col("strategy") == "block", F.array_join(F.transform("parts", lambda p: p["text"]), " ")).otherwise(head_line())
 
     def read(w: Column) -> Column:
         booking = foreign_date(_by_form(DATE_FORMS, date_form, lambda p: F.regexp_extract(w, p, 1)), date_form)
         amount = foreign_amount(_by_form(AMOUNT_FORMS, amount_form, lambda p: F.regexp_extract(w, p, 1)), amount_form)
-        own = _by_form(AMOUNT_FORMS, amount_form, lambda a: _by_form(DATE_FORMS, date_form, lambda p: _without(w, p, a)))
-        description = collapse(F.concat_ws(" ", F.regexp_replace(own, "[€$£¥₹₱₦]+", ""), F.when(F.col("strategy") == "table", F.nullif(_joined_rest(), F.lit("")))))
+        own = _by_form(AMOUNT_FORMS, amount_form, lambda a: _by_form(DATE_FORMS, date_form, lambda p: without(w, p, a)))
+        description = collapse(F.concat_ws(" ", F.regexp_replace(own, "[€$£¥₹₱₦]+", ""), F.when(F.col("strategy") == "table", F.nullif(joined_rest(), F.lit("")))))
         least = F.when(F.col("strategy") == "block", 3).otherwise(2)
-        return once(description, lambda d: _result(booking, booking, amount, d, w, F.length(d) > least))
+        return once(description, lambda d: result(booking, booking, amount, d, w, F.length(d) > least))
 
     parsed = found.withColumn("r", once(whole, read)).where("r IS NOT NULL").select("file", "strategy", "line_no", "currency", "r.*")
-    return _distinct(parsed)
+    return distinct(parsed)
 
 
 def read_international(lines: DataFrame) -> DataFrame:
