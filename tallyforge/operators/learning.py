@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from tallyforge.functions.references import VISA, found
 from tallyforge.functions.text import TORN, collapse, contains_any, repaired
 from tallyforge.plans import views
 from tallyforge.plans.catalog import query
+from tallyforge.operators.weighting import Plus, Sublinear
 
 # Hints, and the parts of texts that speak for them.
 HINTS = [
@@ -224,10 +228,11 @@ def softmax_scores(weights: DataFrame, key: str, coefficients: DataFrame, interc
     return sums.select(key, label.alias("label"), (1 / sum((F.exp(x - top) for x in z), F.lit(0.0))).alias("probability"))
 
 
-def train(rows: DataFrame, vocabulary: int = 1 << 16, regularization: float = 0.5) -> PipelineModel:
+def train(rows: DataFrame, vocabulary: int = 12_000, regularization: float = 0.5) -> PipelineModel:
     """TF-IDF of runs of one to three words and multinomial logistic regression on ``feature_text`` and ``label``, classes weighted to equal shares.
 
-    The model adds its columns on the way as ``model_...``.
+    The weights of terms are those of ``tfidf`` and ``classify``: sublinear counts times smoothed idf, of length 1.  The ``vocabulary`` most
+    frequent terms count.  The model adds its columns on the way as ``model_...``.
     """
     shares = rows.groupBy("label").agg(F.count("*").alias("n"))
     total, kinds = rows.count(), shares.count()
@@ -238,21 +243,73 @@ def train(rows: DataFrame, vocabulary: int = 1 << 16, regularization: float = 0.
             RegexTokenizer(inputCol="feature_text", outputCol="model_words", pattern=TERM, gaps=False),
             *(NGram(n=k, inputCol="model_words", outputCol=f"model_runs_{k}") for k in (1, 2, 3)),
             SQLTransformer(statement="SELECT *, concat(model_runs_1, model_runs_2, model_runs_3) AS model_terms FROM __THIS__"),
-            CountVectorizer(inputCol="model_terms", outputCol="tf", vocabSize=vocabulary),
-            IDF(inputCol="tf", outputCol="tfidf"),
-            Normalizer(inputCol="tfidf", outputCol="features"),
-            LogisticRegression(labelCol="label_index", featuresCol="features", weightCol="class_weight", family="multinomial", regParam=regularization / max(total, 1), maxIter=100),
+            CountVectorizer(inputCol="model_terms", outputCol="model_counts", vocabSize=vocabulary),
+            Sublinear(inputCol="model_counts", outputCol="model_tf"),
+            IDF(inputCol="model_tf", outputCol="model_idf"),
+            Plus(inputCols=["model_tf", "model_idf"], outputCol="model_weights"),  # tf * idf + tf: the idf gets one more
+            Normalizer(inputCol="model_weights", outputCol="features"),
+            LogisticRegression(labelCol="label_index", featuresCol="features", weightCol="class_weight", family="multinomial", regParam=regularization / max(total, 1), maxIter=100, standardization=False),
         ]
     ).fit(weighed.drop("n"))
 
 
+def _drawn(key: str) -> list[Column]:
+    """An order by chance that is the same in every run."""
+    return [F.md5(F.col(key).cast("string").cast("binary")), F.col(key)]
+
+
 def folds(rows: DataFrame, key: str, label: str = "label", most: int = 5) -> DataFrame:
-    """``rows`` with a stratified ``fold``: by label, in the order of a hash of the key."""
+    """``rows`` with a stratified ``fold``: by label, in the order of a digest of the key."""
     smallest = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
     k = min(most, smallest)
     if k < 2:
         raise ValueError("each label needs two rows at least")
-    return rows.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key)), F.lit(k)))
+    return rows.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(*_drawn(key))), F.lit(k)))
+
+
+def split(rows: DataFrame, key: str, label: str = "label", share: float = 0.2) -> DataFrame:
+    """``rows`` with ``held_out``, true for ``share`` of the rows of each label; if a label has one row only, for about ``share`` of all rows.
+
+    Which rows these are depends on a digest of the key, so every run holds out the same.
+    """
+    own = Window.partitionBy(label)
+    numbered = rows.withColumns({"of_label": F.count("*").over(own), "place": F.row_number().over(own.orderBy(*_drawn(key)))})
+    if rows.groupBy(label).count().where("count < 2").isEmpty():
+        held = F.col("place") <= F.floor(F.col("of_label") * share + 0.5)
+    else:
+        held = F.conv(F.substring(_drawn(key)[0], 1, 13), 16, 10).cast("double") / float(1 << 52) < share
+    return numbered.withColumn("held_out", held).drop("of_label", "place")
+
+
+def predictions(model: PipelineModel, rows: DataFrame, key: str) -> DataFrame:
+    """``key``, ``label``, ``predicted`` and ``confidence`` of rows that ``train``'s model reads."""
+    names = F.array(*map(F.lit, model.stages[0].labels))
+    return model.transform(rows.withColumn("class_weight", F.lit(1.0))).select(key, "label", F.get(names, F.col("prediction").cast("int")).alias("predicted"), F.array_max(vector_to_array("probability")).alias("confidence"))
+
+
+def out_of_fold(rows: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """``predictions`` with ``fold`` of every row, each by a model that is trained on the other folds."""
+    folded = folds(rows, key, most=most)
+    k = folded.agg(F.max("fold")).first()[0] + 1  # up to ``most`` models
+    parts = [predictions(train(folded.where(F.col("fold") != i).drop("fold")), folded.where(F.col("fold") == i), key).withColumn("fold", F.lit(i)) for i in range(k)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+_GRADED = ", g AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'plain' END AS label FROM labels)"
+
+
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("plain").alias("label"))
+
+
+@query(_GRADED + " SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= floor(count(*) OVER (PARTITION BY label) * CAST(0.2 AS DOUBLE) + 0.5) AS held_out FROM g")
+def training_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split(_graded(spark, sf_dir), "doc_id")
+
+
+@query(_GRADED + ", k AS (SELECT least(5, min(n)) AS k FROM (SELECT count(*) AS n FROM g GROUP BY label)) SELECT doc_id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) % k AS INTEGER) AS fold FROM g, k")
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds(_graded(spark, sf_dir), "doc_id")
 
 
 def coverage(scored: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -317,6 +374,22 @@ def model_row(labels: list[str], terms: DataFrame, coefficients: DataFrame, inte
     )
 
 
+def model_of(model: PipelineModel, version: str = "1") -> DataFrame:
+    """What ``train`` has learned as a model of one row, with which ``classify`` computes the same."""
+    labels, counted, idf, fitted = model.stages[0].labels, next(x for x in model.stages if hasattr(x, "vocabulary")), next(x for x in model.stages if hasattr(x, "idf")), model.stages[-1]
+    spark = SparkSession.getActiveSession()
+    terms = spark.createDataFrame([(t, float(x) + 1) for t, x in zip(counted.vocabulary, idf.idf.toArray(), strict=True)], "term string, idf double")
+    values = fitted.coefficientMatrix.toArray()
+    coefficients = spark.createDataFrame([(t, n, float(v)) for i, n in enumerate(labels) for t, v in zip(counted.vocabulary, values[i], strict=True)], "term string, label string, value double")
+    return model_row(list(labels), terms, coefficients, spark.createDataFrame([(n, float(b)) for n, b in zip(labels, fitted.interceptVector.toArray(), strict=True)], "label string, value double"), version)
+
+
+def save_model(model: DataFrame, path: str) -> None:
+    """The model as a line of JSON below ``path``/model, and its labels, in order, as one below ``path``/labels."""
+    model_json(model).write.mode("overwrite").text(f"{path}/model")
+    model.select(F.to_json(F.array_sort("labels"))).write.mode("overwrite").text(f"{path}/labels")
+
+
 def model_json(model: DataFrame) -> DataFrame:
     return model.select(F.to_json(F.struct(*model.columns)).alias("value"))
 
@@ -356,6 +429,11 @@ def errors(scored: DataFrame) -> DataFrame:
     return scored.where("label <> predicted").orderBy(F.desc("confidence"))
 
 
+def write_errors(scored: DataFrame, path: str) -> None:
+    """The errors as delimited files with a header below ``path``, the surest first."""
+    errors(scored).write.mode("overwrite").option("header", "true").csv(path)
+
+
 # A small model, as terms with idf and a value for each label.
 _LABELS = ["SHOPPING", "TRAVEL", "OTHER"]
 _MODEL = [("ring", 1.5, 2.0, 0.0, -1.0), ("hot", 1.0, 0.0, 1.0, 0.5), ("hot ring", 2.0, -3.0, 4.0, 0.0), ("cold", 1.2, 0.1, 0.2, 0.9), ("gear", 1.1, 0.4, 0.4, 0.4)]

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.plans import views
 from tallyforge.plans.catalog import query
+from tallyforge.plans.folders import shared_folder
 
 LATE = "1 hour"
 
@@ -35,8 +33,7 @@ def without_repeats(rows: DataFrame, late: str = LATE) -> DataFrame:
 def run_once(rows: DataFrame, mode: str = "complete") -> DataFrame:
     """Process what is there and return the result, which each micro-batch has written to the checkpoint folder's neighbour."""
     spark = rows.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     schema = rows.schema
 
     def keep(batch: DataFrame, number: int) -> None:

@@ -115,6 +115,45 @@ def test_training_and_scoring(spark):
         learning.folds(frame.limit(1), "id")
 
 
+def _three_kinds(spark):
+    kinds = {"SUPERMARKET": "rewe lidl food", "TRAVEL": "hotel flight booking", "RENT": "flat house rent"}
+    rows = [(i, f"{words} {words.split()[i % 3]} n{i % 7} {'hotel' if i % 11 == 0 else ''}", name) for i in range(45) for name, words in [list(kinds.items())[i % 3]]]
+    return spark.createDataFrame(rows, "id int, feature_text string, label string")
+
+
+def test_serving_computes_what_training_computes(spark, tmp_path):
+    rows = _three_kinds(spark)
+    model = learning.train(rows, vocabulary=40)
+    own = {r.id: (r.predicted, r.confidence) for r in learning.predictions(model, rows, "id").collect()}
+    learning.save_model(learning.model_of(model), str(tmp_path))
+    served = learning.classify(rows, "id", "feature_text", learning.load_model(spark.read.text(f"{tmp_path}/model"))).collect()
+    assert len(served) == 45 and {r.label for r in served} == {"SUPERMARKET", "TRAVEL", "RENT"}
+    for r in served:
+        assert r.label == own[r.id][0] and r.probability == pytest.approx(own[r.id][1], abs=1e-9)
+    assert spark.read.text(f"{tmp_path}/labels").first().value == '["RENT","SUPERMARKET","TRAVEL"]'
+
+
+def test_out_of_fold_predictions_come_from_other_folds(spark):
+    rows = _three_kinds(spark)
+    got = learning.out_of_fold(rows, "id", most=3).collect()
+    assert sorted(r.id for r in got) == list(range(45)) and {r.fold for r in got} == {0, 1, 2}
+    fold = {r.id: r.fold for r in learning.folds(rows, "id", most=3).collect()}
+    assert all(fold[r.id] == r.fold for r in got)
+    folded = learning.folds(rows, "id", most=3)
+    by_hand = learning.predictions(learning.train(folded.where("fold <> 1").drop("fold")), folded.where("fold = 1"), "id").collect()
+    assert {(r.id, r.predicted, round(r.confidence, 9)) for r in got if r.fold == 1} == {(r.id, r.predicted, round(r.confidence, 9)) for r in by_hand}
+
+
+def test_split_of_labels(spark, tmp_path):
+    rows = _three_kinds(spark)
+    held = learning.split(rows, "id").groupBy("label").agg(F.count_if("held_out").alias("n")).collect()
+    assert {r.n for r in held} == {3}
+    single = rows.unionByName(spark.createDataFrame([(99, "x", "ALONE")], rows.schema))
+    assert 0 < learning.split(single, "id").where("held_out").count() < 25
+    learning.write_errors(spark.createDataFrame([("a", "b", 0.5), ("a", "a", 0.9), ("b", "a", 0.7)], "label string, predicted string, confidence double"), str(tmp_path / "e"))
+    assert [r.confidence for r in spark.read.csv(str(tmp_path / "e"), header=True).collect()] == ["0.7", "0.5"]
+
+
 def test_softmax_of_a_given_model(spark):
     weights = spark.createDataFrame([(1, "rewe", 1.0), (2, "none", 1.0)], "id int, term string, weight double")
     coefficients = spark.createDataFrame([("rewe", "A", 2.0), ("rewe", "B", -1.0)], "term string, label string, value double")
