@@ -7,7 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.values import parse_amount, parse_date, period
+from tallyforge.functions.values import german_number, parse_amount, parse_date, period
+from tallyforge.plans import views
+from tallyforge.plans.catalog import query
+from tallyforge.plans.folders import shared_folder
 
 # Parts of header names of each field, the first that fits winning.
 HEADERS: Mapping[str, Sequence[str]] = {
@@ -133,6 +136,52 @@ def country_of(iban: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.substring(F.replace(iban, F.lit(" ")), 1, 2)), F.lit("")), F.lit("de"))
 
 
+def with_country(rows: DataFrame, iban: Column, available: DataFrame, default: str = "de") -> DataFrame:
+    """``rows`` with ``country``: that of the account number if ``available`` (``country``) has it, else ``default``.
+
+    ``available`` are the partitions of a dimension, one for each country that has a file; there are at most 26 * 26 two-letter codes.
+    """
+    known = available.select(F.lower("country").alias("known")).where(F.length("known") == 2).distinct()
+    made = rows.withColumn("country", country_of(iban))
+    return made.join(F.broadcast(known), F.col("country") == F.col("known"), "left").withColumn("country", F.coalesce("known", F.lit(default))).drop("known")
+
+
+_FORMS = [(",", "Date Amount Description Payee"), (";", "Buchungsdatum Betrag Verwendungszweck Auftraggeber"), ("\t", "Datum Betrag Text Name"), ("|", "date value memo beneficiary")]
+
+
+@query("SELECT booking_date, CAST(amount_cents AS DOUBLE) / 100.0 AS amount, description || CASE account_id % 4 WHEN 0 THEN ', x' WHEN 1 THEN '; x' WHEN 2 THEN '' ELSE '| x' END AS description, counterparty_name, account_id % 4 AS form FROM live")
+def delimited_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transactions, written with four delimiters, notations and languages of headers, and read again; texts hold the delimiter."""
+    rows = views.transactions(spark, sf_dir, "id", "account_id", "booking_date", "amount_cents", "description", "counterparty_name").withColumn("form", F.col("account_id") % len(_FORMS))
+    folder = shared_folder(spark, "delimited")
+    for i, (mark, names) in enumerate(_FORMS):
+        own = rows.where(F.col("form") == i)
+        day = F.date_format("booking_date", "dd.MM.yyyy" if i % 2 else "yyyy-MM-dd")
+        amount = german_number(F.col("amount_cents")) if i % 2 else (F.col("amount_cents") / 100).cast("decimal(18,2)").cast("string")
+        text = F.concat("description", F.lit("" if mark == "\t" else f"{mark} x"))
+        columns = [c.alias(n) for c, n in zip((day, amount, text, F.col("counterparty_name")), names.split(), strict=True)]
+        own.select(*columns).write.option("header", "true").option("sep", mark).option("emptyValue", "").csv(f"{folder}/form-{i}")
+    read, _ = read_csv(read_lines(spark, folder))
+    return read.select("booking_date", "amount", "description", "counterparty_name", F.regexp_extract("file", r"form-(\d)", 1).cast("long").alias("form"))
+
+
+@query("""SELECT c.id, coalesce(f.country, 'de') AS country, count(m.id) AS merchants FROM (SELECT c_custkey AS id, lower(substr(n_name, 1, 2)) AS own FROM customer JOIN nation ON c_nationkey = n_nationkey) c
+LEFT JOIN (SELECT DISTINCT CASE n_name WHEN 'GERMANY' THEN 'de' ELSE lower(substr(n_name, 1, 2)) END AS country FROM nation WHERE n_nationkey % 2 = 0 OR n_name = 'GERMANY') f ON f.country = c.own
+LEFT JOIN (SELECT s_suppkey AS id, CASE n_name WHEN 'GERMANY' THEN 'de' ELSE lower(substr(n_name, 1, 2)) END AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 OR n_name = 'GERMANY') m ON m.country = coalesce(f.country, 'de') GROUP BY ALL""")
+def merchants_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each account the merchants of the file of its country, else of the German one; half of the countries have a file."""
+    nation = views.read(spark, sf_dir, "nation").withColumn("country", F.when(F.col("n_name") == "GERMANY", "de").otherwise(F.lower(F.substring("n_name", 1, 2))))
+    made = views.read(spark, sf_dir, "supplier").join(nation.where("n_nationkey % 2 = 0 OR n_name = 'GERMANY'"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "country")
+    folder = shared_folder(spark, "merchants")
+    made.write.partitionBy("country").parquet(folder)
+    files = spark.read.parquet(folder)
+    accounts = views.read(spark, sf_dir, "customer").join(views.read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    iban = F.concat(F.upper(F.substring("n_name", 1, 1)), F.upper(F.substring("n_name", 2, 1)), F.lit(" 12 3456"))
+    placed = with_country(accounts.select(F.col("c_custkey").alias("id"), "n_name"), iban, files)
+    sizes = files.groupBy("country").agg(F.count("*").alias("merchants"))  # a row a country
+    return placed.join(F.broadcast(sizes), "country", "left").select("id", "country", F.coalesce("merchants", F.lit(0)).cast("long").alias("merchants"))
+
+
 def keep_merchants(rows: DataFrame, brands: Sequence[str], redundant: Sequence[str]) -> DataFrame:
     """Names that contain a brand, or none of the redundant words."""
     from tallyforge.functions.text import contains_any

@@ -23,7 +23,8 @@ def test_workbooks(spark, tmp_path):
     (tmp_path / "c.xlsx").write_bytes(b"no zip")
     rows, status = spreadsheets.read_workbooks(spark, str(tmp_path))
     assert [(r.booking_date, r.amount, r.description) for r in rows.orderBy("place").collect()] == [(datetime.date(2024, 1, 15), -12.5, "Coffee"), (datetime.date(2024, 1, 16), 2.0, "")]
-    assert {r.file[-6:]: (r.success, r.rows) for r in status.collect()} == {"a.xlsx": (True, 2), "b.xlsx": (False, 0)}
+    assert {r.file[-6:]: (r.success, r.rows) for r in status.collect()} == {"a.xlsx": (True, 2), "b.xlsx": (False, 0), "c.xlsx": (False, 0)}
+    assert {r.error_message for r in status.collect() if r.file.endswith("c.xlsx")} == {"Could not read the workbook"}
 
 
 def test_transactions_find_their_lines(spark):
