@@ -16,21 +16,32 @@ from tallyforge.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: Rows that go to a Python worker at once, unless the session says otherwise: documents are long, and JVM and worker both hold a batch.
+BATCH_ROWS = 2000
+
+
+def _sized(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's own default
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted to the labels of this input, does not reject."""
+    _sized(spark)
     return toxicity.grade_documents(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("not toxic").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates: five words, similarity 0.8."""
+    _sized(spark)
     gone = near_dedup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 20 words or more that stand earlier; white space elsewhere stays."""
+    _sized(spark)
     left = substring_dedup.remove_repeated(docs.select(*COLUMNS), window=20, reflow=False)
     return left.select("doc_id", F.when(F.col("text").isNotNull(), F.col("kept_text")).alias("text"), "lang", "source", F.length(F.when(F.col("text").isNotNull(), F.col("kept_text"))).cast("long").alias("n_chars"))
 
@@ -42,6 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document that is left."""
+    _sized(spark)
     return bpe.encode(docs, VOCABULARY).select("doc_id", "lang", "source", "n_tokens", "ids")
 
 
