@@ -172,10 +172,14 @@ def amount_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("amount", amount_words(F.col("amount")).alias("words"))
 
 
-@query("SELECT DISTINCT p_type AS name, CASE p_type WHEN 'ECONOMY' THEN 'ECONOMY' ELSE upper(p_type) END AS label, 'RENT' AS rent FROM part")
+@query("""SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN ' ' || upper(name) || ' ' ELSE name END AS name, label FROM (
+  SELECT p_size, coalesce({0}[1 + p_partkey % {2}], p_type) AS name, coalesce({1}[1 + p_partkey % {2}], upper(p_type)) AS label FROM part)""".format([*LABELS], [*LABELS.values()], len(LABELS) + 3))
 def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = views.read(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct()
-    return names.select("name", label_of(F.col("name")).alias("label"), label_of(F.lit(" Rent & Utilities")).alias("rent"))
+    """Names of labels as people write them, known ones and others, and the categories that they stand for."""
+    known = F.get(F.array(*map(F.lit, LABELS)), (F.col("p_partkey") % (len(LABELS) + 3)).cast("int"))
+    name = F.coalesce(known, "p_type")
+    names = views.read(spark, sf_dir, "part").select(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), F.upper(name), F.lit(" "))).otherwise(name).alias("name")).distinct()
+    return names.select("name", label_of(F.col("name")).alias("label"))
 
 
 def ngrams(words: Column, most: int) -> Column:

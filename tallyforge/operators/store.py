@@ -170,3 +170,13 @@ def overrides_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.concat(F.lit("C"), F.length("counterparty_name").cast("string"))
     rules = names.select(F.explode(rules_of(F.lit(None).cast("string"), F.col("counterparty_name"), category)).alias("x")).select("x.*")
     return upsert(rules.limit(0), rules, "pattern", "category_name")
+
+
+@query(""", n AS (SELECT DISTINCT counterparty_name AS name FROM live WHERE counterparty_name IS NOT NULL), r AS (SELECT name, name AS pattern FROM n UNION ALL
+SELECT name, token FROM (SELECT name, list_filter(string_split(name, ' '), lambda w: length(w) > 1)[1] AS token FROM n) WHERE length(token) >= 4)
+SELECT DISTINCT pattern FROM r WHERE pattern NOT IN (SELECT pattern FROM r WHERE length(name) % 2 = 0)""")
+def overrides_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that are left when the corrections of all merchants of an even number of letters are taken back, each with the rules that it wrote."""
+    names = views.transactions(spark, sf_dir, "counterparty_name").where("counterparty_name IS NOT NULL").distinct()
+    rules = lambda rows: rows.select(F.explode(rules_of(F.lit(None).cast("string"), F.col("counterparty_name"), F.lit("C"))).alias("x")).select("x.pattern").distinct()
+    return delete(rules(names), rules(names.where("length(counterparty_name) % 2 = 0")), "pattern")
