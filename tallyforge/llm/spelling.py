@@ -25,10 +25,9 @@ HOT = 100
 
 
 def runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` (as text), ``run`` and ``n``: the lower-cased (A-Z) runs of letters of each document and how often they occur in it."""
+    """``id`` (as text) and ``run``: the lower-cased (A-Z) runs of letters of each document, as often as they occur."""
     each = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.explode(F.regexp_extract_all(text_col, F.lit(LETTERS), F.lit(0))).alias("raw"))
-    counted = each.groupBy("id", "raw").agg(F.count("*").alias("n"))
-    return counted.select("id", F.translate("raw", _UPPER, _LOWER).alias("run"), "n")
+    return each.select("id", F.translate("raw", _UPPER, _LOWER).alias("run"))
 
 
 def misspelt(run: Column, doc_id: Column, every: int = 97) -> Column:
@@ -41,12 +40,12 @@ def misspelt(run: Column, doc_id: Column, every: int = 97) -> Column:
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 5, least_n: int = 3, every: int | None = 97) -> DataFrame:
     """``word`` and ``n`` of all words of at least ``least_chars`` code points and ``least_n`` occurrences; ``every``: see ``misspelt``.
 
-    Runs are summed in each task before they are shuffled.  A null or empty text has no words; a null id is written
+    Words are counted in each task before they are shuffled.  A null or empty text has no words; a null id is written
     as null.  Rows of one id count each.
     """
     found = runs(docs, id_col, text_col)
     word = misspelt(F.col("run"), F.col("id"), every) if every else F.col("run")
-    counted = found.select(word.alias("word"), "n").where(F.length("word") >= least_chars).groupBy("word").agg(F.sum("n").alias("n"))
+    counted = found.select(word.alias("word")).where(F.length("word") >= least_chars).groupBy("word").agg(F.count("*").alias("n"))
     return counted.where(F.col("n") >= least_n)
 
 
