@@ -2,7 +2,7 @@
 
 Equal strings of ``length`` bytes have to meet in one task.  Each such string, a window, is
 routed by its minimizer, the gram of ``GRAM`` bytes in it whose hash is smallest (the last of equal ones), and the
-neighbouring windows of a text that share a minimizer travel as one string, about 70 bytes for 18 windows.  A task
+neighbouring windows of a text that share a minimizer travel as one string, about 71 bytes for 22 windows.  A task
 collects the strings of its share of the minimizers and sorts their suffixes in two stages: those smaller than their
 successors directly, the others by scanning the buckets of their first bytes, each suffix placing the one before it.
 Windows are equal where neighbours in the suffix array have a common prefix of ``length`` bytes, so bytes decide
@@ -30,14 +30,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyforge.llm.common import buffers, give_back, mix, range_chunks, segments
 
-GRAM = 16
+GRAM = 8
 #: Bins that grams are counted in, and how many times the average share a common bin has.
 BINS, COMMON = 1 << 20, 8
 #: Bytes of text that are hashed at once, strings that are sorted at once, and bytes of strings whose suffixes are.
 PIECE, STRINGS, SORTED = 1 << 21, 150_000, 4 << 20
 _U = np.uint64
 _SENT = "bucket int, chunk int, first long, n long, strings binary"
-_CODEC = "zstd"
+_CODEC = pa.Codec("zstd", compression_level=3)
 
 
 # ---- suffix arrays
@@ -62,7 +62,7 @@ def smaller_than_next(data: np.ndarray) -> np.ndarray:
 def _sort_directly(at: np.ndarray, keys: np.ndarray, depth: int) -> np.ndarray:
     """Positions by their first ``depth`` bytes or some more: eight bytes a round, only among those still equal."""
     first = keys[at]
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     at, first = at[order], first[order]
     new = np.append(True, first[1:] != first[:-1])[: len(at)]
     for step in range(8, depth, 8):
@@ -78,16 +78,29 @@ def _sort_directly(at: np.ndarray, keys: np.ndarray, depth: int) -> np.ndarray:
     return at
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """The positions of ``data`` in the order of their suffixes, by their first ``depth`` bytes at least."""
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The positions of ``data`` in the order of their suffixes, by their first ``depth`` bytes at least.
+
+    With ``wanted`` (a flag for each position) only these are sorted, and those that they are induced from: a suffix
+    greater than its successor needs the successors up to the next one that is sorted directly.
+    """
     n = len(data)
     up = smaller_than_next(data)
-    direct = _sort_directly(np.flatnonzero(up), _keys(data), depth)
-    size = np.bincount(data, minlength=256)
+    own = np.ones(n, bool)
+    if wanted is not None:
+        source = np.append(np.where(up, np.arange(n), n), n)
+        source = np.minimum.accumulate(source[::-1])[::-1][:-1]  # the next directly sorted suffix, or the end
+        at = np.flatnonzero(wanted)
+        step = np.zeros(n + 2, np.int32)
+        np.add.at(step, at, 1)
+        np.add.at(step, np.minimum(source[at], n - 1) + 1, -1)
+        own = np.cumsum(step[:n]) > 0
+    direct = _sort_directly(np.flatnonzero(up & own), _keys(data), depth)
+    size = np.bincount(data[own], minlength=256)
     end = np.cumsum(size)
     head = end - size  # of each bucket: where the next induced suffix goes; the directly sorted ones close it
     begin = end - np.bincount(data[direct], minlength=256)
-    out = np.empty(n, np.int64)
+    out = np.empty(int(size.sum()), np.int64)
     at = 0
     for c in np.flatnonzero(begin < end):
         out[begin[c] : end[c]] = direct[at : at + end[c] - begin[c]]
@@ -95,7 +108,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 
     def place(before: np.ndarray) -> None:
         before = before[before >= 0]
-        before = before[~up[before]]
+        before = before[own[before] & ~up[before]]
         if not len(before):
             return
         first = data[before]
@@ -114,7 +127,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
             scanned[c] = head[c]
             place(block - 1)
         place(out[begin[c] : end[c]] - 1)
-    return out
+    return out if wanted is None else out[wanted[out]]
 
 
 def adjacent_prefixes(data: np.ndarray, suffixes: np.ndarray, most: int) -> np.ndarray:
@@ -142,7 +155,7 @@ def _grams(data: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
     """A hash of each gram; with ``common`` (a bit for each bin) the hashes of common grams are above all others."""
     keys = _keys(data)
     n = max(len(data) - GRAM + 1, 0)
-    h = mix(keys[:n] + mix(keys[8 : 8 + n]))
+    h = mix(keys[:n] + mix(keys[GRAM - 8 : GRAM - 8 + n]))
     return h if common is None else (h >> _U(1)) | np.unpackbits(common)[(h & _U(BINS - 1)).astype(np.int64)].astype(_U) << _U(63)
 
 
@@ -243,11 +256,11 @@ def _pack(rows: np.ndarray, smallest: np.ndarray, length: int) -> bytes:
     """Rows without their buckets and padding, and the rank of the first document of each; before all, how many bytes they are."""
     size = rows[:, 4].astype(np.int64) + length - 1
     raw = smallest.astype("<i4").tobytes() + rows[:, 4].tobytes() + rows[:, 5].tobytes() + rows[:, 6:][np.arange(rows.shape[1] - 6) < size[:, None]].tobytes()
-    return len(raw).to_bytes(8, "little") + pa.Codec(_CODEC).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def _unpack(blob: bytes, n: int) -> tuple[np.ndarray, ...]:
-    raw = pa.Codec(_CODEC).decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    raw = _CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
     return np.frombuffer(raw, "<i4", n), np.frombuffer(raw, np.uint8, n, 4 * n), np.frombuffer(raw, np.uint8, n, 5 * n), np.frombuffer(raw, np.uint8, -1, 6 * n)
 
 
@@ -324,22 +337,32 @@ def _worth_sorting(body: np.ndarray, start: np.ndarray, count: np.ndarray, gram:
     return out
 
 
-def _gone(body: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of some strings, by number of string and place, that a string of a smaller ``key`` has too."""
+def _masks(body: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
+    """For each string, a bit for each window that a string of a smaller ``key`` has too.
+
+    Equal strings are sorted once, for the smallest of their keys.
+    """
+    width = int(count.max()) + length - 1
     size = count + length - 1
+    rows = np.lib.stride_tricks.sliding_window_view(np.append(body, np.zeros(width, np.uint8)), width)[start]
+    rows = np.concatenate([rows * (np.arange(width) < size[:, None]), count[:, None]], 1).astype(np.uint8)  # the count tells zeros of a text from those behind it
+    _, example, same = np.unique(rows.view(f"S{width + 1}").ravel(), return_index=True, return_inverse=True)
+    least = np.full(len(example), np.iinfo(np.int64).max)
+    np.minimum.at(least, same, key)
+    count, size = count[example], size[example]
     begin = np.cumsum(size + 1) - size - 1
-    of = np.repeat(np.arange(len(start)), size + 1)
-    data = np.zeros(len(of), np.uint8)  # a zero after each string; as no byte of UTF-8 is 255, one more than a byte is no zero
+    of = np.repeat(np.arange(len(example)), size + 1)
     text = np.arange(len(of)) - begin[of]
-    inside = text < size[of]
-    data[inside] = body[(start[of] + text)[inside]] + np.uint8(1)
-    suffixes = suffix_array(data, length)
-    suffixes = suffixes[text[suffixes] < count[of[suffixes]]]
+    data = np.zeros(len(of), np.uint8)  # a zero after each string; as no byte of UTF-8 is 255, one more than a byte is no zero
+    data[text < size[of]] = rows[example][np.arange(width + 1) < size[:, None]] + np.uint8(1)
+    suffixes = suffix_array(data, length, text < count[of])
     heads = np.flatnonzero(adjacent_prefixes(data, suffixes, length) < length)
     owner = of[suffixes]
-    least = np.repeat(np.minimum.reduceat(key[owner], heads), np.diff(heads, append=len(owner)))
-    later = least < key[owner]
-    return owner[later], text[suffixes[later]]
+    first = np.repeat(np.minimum.reduceat(least[owner], heads), np.diff(heads, append=len(owner)))
+    later = np.flatnonzero(first < least[owner])
+    masks = np.zeros(len(example), _U)
+    np.bitwise_or.at(masks, owner[later], _U(1) << text[suffixes[later]].astype(_U))
+    return np.where(key > least[same], ~_U(0), masks[same])
 
 
 def _compare(length: int):
@@ -356,18 +379,12 @@ def _compare(length: int):
         start, count, gram = start[keep], count[keep], gram[keep]
         several = int((count + length).sum()) // SORTED + 1  # equal windows have equal grams, so they stay together
         share = (_hashed(body, start + gram, GRAM) % _U(several)).astype(np.int64)
-        owners, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        masks = np.zeros(len(keep), _U)
         for k in range(several):
             own = np.flatnonzero(share == k)
             if len(own):
-                owner, place = _gone(body, start[own], count[own], key[own], length)
-                owners.append(own[owner])
-                places.append(place)
-        owner, place = np.concatenate(owners), np.concatenate(places)
-        order = np.argsort(owner, kind="stable")
-        owner, bits = owner[order], _U(1) << place[order].astype(_U)
-        heads = np.flatnonzero(np.append(True, np.diff(owner) != 0))[: len(owner)]
-        string, mask = keep[owner[heads]], np.bitwise_or.reduceat(bits, heads) if len(heads) else bits
+                masks[own] = _masks(body, start[own], count[own], key[own], length)
+        string, mask = keep[masks > 0], masks[masks > 0]
         edges = np.cumsum(ns)
         where = np.searchsorted(string, np.append(0, edges)).tolist()
         out = []
@@ -440,8 +457,8 @@ def _remove(length: int, buckets: int, common: np.ndarray | None, id_col: str, t
 def common_grams(docs: DataFrame, text_col: str) -> np.ndarray:
     """A bit for each bin of grams: whether it has over ``COMMON`` times the average.
 
-    Each task counts its texts' grams and gives the bins that have twice its own average; fewer than one bin in ``COMMON`` is
-    common, so the driver gets at most 131,072 numbers.
+    Each task counts its texts' grams and gives the bins that have twice its own average and more than 64; fewer than one bin in
+    ``COMMON`` is common, so the driver gets at most 131,072 numbers.  What is common only spreads the work; the result does not depend on it.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +468,7 @@ def common_grams(docs: DataFrame, text_col: str) -> np.ndarray:
                 data = buffers(batch[0][i:j])[0]
                 for k in range(0, len(data), PIECE):
                     n += np.bincount((_grams(data[k : k + PIECE]) & _U(BINS - 1)).astype(np.int64), minlength=BINS)
-        many = np.flatnonzero(n > 2 * max(n.sum() / BINS, 1))
+        many = np.flatnonzero(n > max(2 * n.sum() / BINS, 64))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(many, -1), pa.int32()), pa.array(np.append(n[many], n.sum()), pa.int64())], ["bin", "n"])
         give_back()
 
@@ -468,13 +485,13 @@ def remove_repeated(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
 
     A byte of a text in UTF-8 goes if a string of ``length`` bytes covers it that also starts in a document of a smaller id.
     Strings are judged on the input, and none crosses documents.  What is left may begin or end within a character,
-    so it is binary.  ``length`` is from 24 to 79.
+    so it is binary.  ``length`` is from 24 to 71.
 
     Null and empty texts have no bytes.  A null id is smaller than all others; rows of one id are no earlier documents
     of each other.  Columns of ``docs`` with the names of the four new ones, or named ``chunk``, are dropped.
     """
-    if not 24 <= length < 80:
-        raise ValueError("the length of repeated strings is from 24 to 79 bytes")
+    if not 24 <= length < GRAM + 64:  # a bit for each window of a string
+        raise ValueError("the length of repeated strings is from 24 to 71 bytes")
     docs = docs.drop("n_bytes", "n_removed", "removed", "kept", "chunk")
     common = common_grams(docs, text_col)
     chunked, bounds = range_chunks(docs, id_col, text_col, chunk_bytes)

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import public_tokenizers
 import pytest
@@ -43,6 +45,17 @@ def test_equals_the_library_on_any_text(text):
     assert encoded(text) == expected(text)[0]
 
 
+@pytest.mark.parametrize("alphabet", ["a", "ab", "abcdefghijklmnopqrstuvwxyz", "aäeß"])
+def test_long_words_equal_the_library_and_take_seconds(alphabet):
+    draw = random.Random(7)
+    for n in (bpe.LONG, bpe.LONG + 1, 5000, 200_000):
+        word = "".join(draw.choice(alphabet) for _ in range(n))
+        began = time.perf_counter()
+        got = encoded(f"short {word} words")
+        assert time.perf_counter() - began < 20
+        assert got == REAL.encode(f"short {word} words", add_special_tokens=False).ids
+
+
 def test_equals_the_library_on_every_code_point():
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for shown in ("a{0}b", "{0}{0}", "!{0}7"):

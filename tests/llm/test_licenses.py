@@ -1,5 +1,7 @@
 import re
+import time
 
+import numpy as np
 import pytest
 
 from tallyforge.llm import licenses
@@ -67,9 +69,26 @@ def test_automaton_accepts_what_a_pattern_does(markup):
     for n in range(3, 7):
         for rest in itertools.product("abcdef", repeat=n - 2):
             text = " ".join(["a", "b", *rest])
-            tokens = _hashes(text)
+            tokens = np.array(_hashes(text), np.uint64)
             accepted = [k for k in range(1, n + 1) if pattern.fullmatch("".join(f" {w}" for w in text.split()[:k]))]
-            assert automaton.longest(tokens) == max(accepted, default=0)
+            assert automaton.longest(tokens) == [max(accepted, default=0)]
+
+
+@pytest.mark.parametrize("markup", ["a b <<beginOptional>>c<<endOptional>> e", "a b <<var;max=3>> a", "a b <<var>> c <<beginOptional>>d<<endOptional>>", "a a a"])
+def test_all_starts_at_once_equal_each_alone(markup):
+    automaton, draw = compile_template("x", markup), np.random.default_rng(3)
+    for n in (1, 5, 40, 200):
+        tokens = np.array(_hashes(" ".join(draw.choice(list("aabbcde"), n))), np.uint64)
+        for starts in (range(n), draw.choice(n, n // 3, replace=False)):
+            starts = sorted(int(s) for s in starts)
+            assert automaton.longest(tokens, starts) == [automaton.longest(tokens[s:])[0] for s in starts]
+
+
+def test_a_long_text_of_grants_that_never_end(spark):
+    began = time.perf_counter()
+    grant = dict(reversed(licenses.TEMPLATES))["mit"].split("<<")[0] + " and so on. "
+    [row] = licenses.scan(spark.createDataFrame([(1, grant * 2000 + "the mit license")], "doc_id long, text string")).collect()
+    assert row.n_words > 100_000 and row.spans == [] and time.perf_counter() - began < 60
 
 
 @pytest.mark.parametrize("markup", ["<<var;max=3>> x", "a <<beginOptional>>b<<endOptional>>", "a b <<beginOptional>>c", "a b <<endOptional>>"])
