@@ -52,10 +52,15 @@ def judged(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_c
 
 def _positions(urls: DataFrame, order: int) -> DataFrame:
     """A row for each character of ``url`` and its end: the runs ``g0`` to ``g<order>`` that end there, null where it has no such many before."""
-    marked = urls.withColumn("marked", F.concat(F.lit("\x02"), "url", F.lit("\x03"))).drop("url")
-    each = marked.withColumn("at", F.explode(F.sequence(F.lit(2), F.length("marked"))))
-    runs = {f"g{k}": F.when(F.col("at") > k, F.substr("marked", F.col("at") - k, F.lit(k + 1))) for k in range(order + 1)}
-    return each.withColumns(runs).drop("marked", "at")
+    chars = F.split(F.concat(F.lit("\x02"), "url", F.lit("\x03")), "")  # by code points; a place of an array is found at once, one of a string is counted out
+    marked = urls.withColumn("marked", chars).drop("url")
+
+    def runs(c: Column, i: Column) -> Column:
+        upto = [F.get(F.col("marked"), i - k) for k in range(order, 0, -1)]
+        return F.struct(*(F.when(i >= k, F.concat(*upto[order - k :], c)).alias(f"g{k}") for k in range(order + 1)))
+
+    each = marked.withColumn("at", F.explode(F.slice(F.transform("marked", runs), F.lit(2), F.size("marked"))))
+    return each.select(*(c for c in urls.columns if c != "url"), "at.*")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -67,29 +72,16 @@ def _sizes(grams: DataFrame) -> dict[int, int]:
     return {r["n"]: r["count"] for r in grams.groupBy(F.length("gram").alias("n")).count().collect()}  # a row for each length
 
 
-def _least(counted: DataFrame, most: int) -> int:
-    """The smallest power of two such that at most ``most`` runs are as frequent."""
-    sizes = counted.groupBy(F.floor(F.log2(F.col("a") + F.col("b"))).alias("power")).agg(F.count("*").alias("n")).collect()  # at most 63 rows
-    kept = 0
-    for power, n in sorted(map(tuple, sizes), reverse=True):
-        kept += n
-        if kept > most:
-            return 2 ** (power + 1)
-    return 1
-
-
-def train(urls: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING, most: int | None = None) -> tuple[DataFrame, DataFrame, float] | None:
+def train(urls: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING) -> tuple[DataFrame, DataFrame, float] | None:
     """The models of ``urls`` (``url`` and boolean ``accepted``), as differences of logarithms.
 
     Returns the runs with ``ratio`` (of a character after its context), the contexts with ``fall``
     (of the factors by which an unseen character falls back), and the ratio of a character that no
-    run has.  None if either kind of URL is missing.  ``most`` leaves out rare runs until so many are left; by default all are kept.
+    run has.  None if either kind of URL is missing.  All runs are kept.
     """
     runs = _positions(urls, order).select("accepted", F.explode(F.array(*(f"g{k}" for k in range(order + 1)))).alias("gram")).where("gram is not null")
     count = lambda kind: F.count_if(F.col("accepted") == kind).cast("double")
     grams = cut(runs.groupBy("gram").agg(count(True).alias("a"), count(False).alias("b")), "runs")
-    if most is not None:
-        grams = cut(grams.where(F.col("a") + F.col("b") >= _least(grams, most)), "grams")
     sizes = _sizes(grams)
     total = grams.where(F.length("gram") == 1).agg(F.sum("a"), F.sum("b")).first()
     if not total[0] or not total[1]:
@@ -115,11 +107,10 @@ def train(urls: DataFrame, order: int = ORDER, smoothing: float = SMOOTHING, mos
 
 
 def score(urls: DataFrame, model: tuple[DataFrame, DataFrame, float], order: int = ORDER) -> DataFrame:
-    """``urls`` (``url`` and columns that can be grouped by) without ``url``, with the ``score`` of each row."""
+    """``urls`` (``url`` and other columns) without ``url``, with the ``score`` of each row."""
     ratios, falls, unseen = model
-    kept = [c for c in urls.columns if c != "url"]
-    each = _positions(urls.withColumn("row", F.monotonically_increasing_id()), order)
-    each = each.select("row", *kept, F.coalesce(*(f"g{k}" for k in reversed(range(order + 1)))).alias("run"))
+    rows = cut(urls.withColumn("row", F.monotonically_increasing_id()), "rows")
+    each = _positions(rows.select("row", "url"), order).select("row", F.coalesce(*(f"g{k}" for k in reversed(range(order + 1)))).alias("run"))
     sizes = _sizes(ratios)
     runs = each.select("run").distinct()
     value = F.lit(unseen)
@@ -133,7 +124,8 @@ def score(urls: DataFrame, model: tuple[DataFrame, DataFrame, float], order: int
         runs = runs.join(level, f"g{k}", "left")
         value = F.coalesce(f"ratio{k}", value)
     values = cut(runs.select("run", value.alias("value")), "values")
-    return each.join(_small(values, values.count()), "run").groupBy("row", *kept).agg(F.avg("value").alias("score")).drop("row")
+    means = each.join(_small(values, values.count()), "run").groupBy("row").agg(F.avg("value").alias("score"))  # a character carries a number, not its URL's columns
+    return rows.drop("url").join(means, "row").drop("row")
 
 
 def fold(id_col: str) -> Column:
