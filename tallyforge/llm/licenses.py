@@ -89,6 +89,9 @@ def _hashes(text: str) -> list[int]:
     return words(pa.array([text]), LOWER_ALNUM, lower=True).hash.tolist()
 
 
+_NOWHERE: frozenset[int] = frozenset()
+
+
 @dataclass
 class Automaton:
     """States with edges by word hash, by any word, and without a word; it accepts at ``end``."""
@@ -130,17 +133,45 @@ class Automaton:
                 todo.append(s)
         return states
 
-    def longest(self, tokens: np.ndarray) -> int:
-        """Words of the longest accepted run at the beginning of ``tokens``; 0 if there is none."""
-        states, found = self.closed({0}), 0
-        for n, token in enumerate(tokens, 1):
-            value = int(token)
-            states = self.closed({t for s in states for t in self.by_word[s].get(value, set()) | self.by_any[s]})
-            if not states:
+    def longest(self, tokens: np.ndarray, starts: Sequence[int] = (0,)) -> list[int]:
+        """Words of the longest accepted run at each of the ascending ``starts`` of ``tokens``; 0 where there is none.
+
+        One pass serves all starts: those that have come to the same states at a word have the same future, and go on as one
+        group.  A group knows the last word at which it was accepted, and the larger group that it has become part of.
+        """
+        last: list[int] = []
+        part_of: list[int] = []
+
+        def group(*parts: int) -> int:
+            last.append(0)
+            part_of.append(-1)
+            for g in parts:
+                part_of[g] = len(last) - 1
+            return len(last) - 1
+
+        values, todo, of = tokens.tolist(), list(reversed(starts)), {}
+        begin, active, at = frozenset(self.closed({0})), {}, 0
+        while todo or active:
+            at = at if active else todo[-1]
+            if at >= len(values):
                 break
-            if self.end in states:
-                found = n
-        return found
+            if todo and todo[-1] == at:
+                of[todo.pop()] = own = group()
+                active[begin] = group(own, active[begin]) if begin in active else own
+            after: dict[frozenset[int], int] = {}
+            for states, g in active.items():
+                new = frozenset(self.closed({t for s in states for t in self.by_word[s].get(values[at], _NOWHERE) | self.by_any[s]}))
+                if new:
+                    after[new] = group(g, after[new]) if new in after else g
+            at += 1
+            for states, g in after.items():
+                if self.end in states:
+                    last[g] = at
+            active = after
+        past = [0] * len(last)
+        for g in reversed(range(len(last))):  # a larger group came later, and so did what happened to it
+            past[g] = (past[part_of[g]] if part_of[g] >= 0 else 0) or last[g]
+        return [max(past[of[s]] - s, 0) if s in of else 0 for s in starts]
 
 
 def compile_template(label: str, markup: str) -> Automaton:
@@ -229,12 +260,15 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
                 covered[w] += 1
                 covered[w + len(phrase)] -= 1
         for automaton in automata:
-            for w in places(found, doc, automaton.start).tolist():
-                size = automaton.longest(found.hash[w : found.bounds[doc[w] + 1]])
-                if size:
-                    spans[doc[w]].append({"label": automaton.label, "first": w - int(found.bounds[doc[w]]), "words": size})
-                    covered[w] += 1
-                    covered[w + size] -= 1
+            at = places(found, doc, automaton.start)
+            for d in np.unique(doc[at]):
+                begin = int(found.bounds[d])
+                own = (at[doc[at] == d] - begin).tolist()
+                for w, size in zip(own, automaton.longest(found.hash[begin : found.bounds[d + 1]], own), strict=True):
+                    if size:
+                        spans[d].append({"label": automaton.label, "first": w, "words": size})
+                        covered[begin + w] += 1
+                        covered[begin + w + size] -= 1
         inside = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) > 0)])
         count = found.counts()
         share = np.diff(inside[found.bounds]) / np.maximum(count, 1)
