@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -32,6 +33,8 @@ from tallyforge.llm.common import give_back, segments
 REMEMBERED = 40 << 20
 _SEGMENT = 1 << 20  # bytes of text that are split at once
 _NONE = np.iinfo(np.int64).max
+#: Symbols of a word from which its rounds go by rank.
+LONG = 2048
 _BITS = 20  # of a symbol's number in a pair key
 _SPACE = regex.compile("[" + "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
 #: str.split() takes these for white space, the vocabulary's pattern does not.
@@ -146,6 +149,13 @@ class Vocabulary:
         rank, at = np.full(len(word), _NONE), np.zeros(len(word), np.int64)  # of the pair of a symbol and the next
         rank[:-1], at[:-1] = self._ranks(symbols[:-1] << _BITS | symbols[1:], word[:-1] == word[1:])
         done_symbols, done_word = [], []
+        for i in np.flatnonzero(size > LONG):  # rounds over all symbols would cost the square of its length
+            own = word == i
+            done_symbols.append(self._merge_long(symbols[own]))
+            done_word.append(np.full(len(done_symbols[-1]), i))
+        if done_word:
+            short = size[word] <= LONG
+            symbols, word, rank, at = symbols[short], word[short], rank[short], at[short]
         while len(symbols):
             starts = np.flatnonzero(np.diff(word, prepend=-1))
             lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(word))))
@@ -176,6 +186,44 @@ class Vocabulary:
         edges = (4 * np.searchsorted(word[order], np.arange(len(raw) + 1))).tolist()
         return [flat[i:j] for i, j in zip(edges, edges[1:])]
 
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The symbols of one long word after all merges: rounds of the lowest rank as for many words, but a round touches only the places of its rank and their neighbours."""
+        n = len(symbols)
+        symbols, following, before = np.append(symbols, 0), np.arange(1, n + 2), np.arange(-1, n)
+        alive = np.append(np.ones(n, bool), False)
+        rank, at = np.full(n + 1, _NONE), np.zeros(n + 1, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def update(place: np.ndarray) -> None:
+            rank[place], at[place] = self._ranks(symbols[place] << _BITS | symbols[following[place]], following[place] < n)
+            place = place[rank[place] != _NONE]
+            place = place[np.argsort(rank[place], kind="stable")]
+            for own in np.split(place, np.flatnonzero(np.diff(rank[place])) + 1) if len(place) else []:
+                r = int(rank[own[0]])
+                if r not in waiting:
+                    heapq.heappush(heap, r)
+                waiting.setdefault(r, []).append(own)
+
+        update(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            hit = np.unique(np.concatenate(waiting.pop(r)))
+            hit = hit[alive[hit] & (rank[hit] == r)]
+            if not len(hit):
+                continue
+            run = np.cumsum(np.append(True, following[hit[:-1]] != hit[1:]))  # of overlapping places every other one
+            first = np.flatnonzero(np.diff(run, prepend=0))
+            hit = hit[(np.arange(len(hit)) - first[run - 1]) % 2 == 0]
+            symbols[hit] = self.merged[at[hit]]
+            gone = following[hit]
+            alive[gone] = False
+            following[hit] = following[gone]
+            before[following[hit]] = hit
+            left = before[hit]
+            update(np.unique(np.concatenate([hit, left[left >= 0]])))
+        return symbols[:n][alive[:n]]
+
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
 
