@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that are hashed at once; bounds the memory of a Python worker.
 SEGMENT_BYTES = 1 << 20
@@ -67,9 +68,11 @@ def range_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int,
     so that a pair of chunks has a hundred windows of words on average however large the corpus is.  Approximate
     quantiles over all ids cut them into cells, ``cells`` for each chunk that is to be; the bytes of each cell are
     summed, and neighbouring cells join to chunks.  So long texts of neighbouring ids make more chunks, and only one
-    cell can be larger than a chunk.  The driver holds one number a cell.  Null ids go to the first chunk.  A column
+    cell can be larger than a chunk.  The driver holds one number a cell.  Null ids go to the first chunk; ids that are no numbers are refused.  A column
     ``name`` is replaced, others stay.  Returns the frame and the inner bounds.
     """
+    if id_col in docs.columns and not isinstance(docs.schema[id_col].dataType, T.NumericType):
+        raise TypeError(f"ranges of {id_col} need numbers, not {docs.schema[id_col].dataType.simpleString()}")
     docs = docs.drop(name)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunk_bytes = max(chunk_bytes, math.isqrt(650 * size))

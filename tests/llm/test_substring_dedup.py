@@ -94,3 +94,8 @@ def test_white_space_stays_without_reflow(spark):
 
 def test_empty_table(spark):
     assert remove_repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    with pytest.raises(TypeError, match="need numbers"):
+        remove_repeated(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
