@@ -3,6 +3,7 @@
 A bank's layout is a row of a table: which lines begin a transaction, where its date, amount and
 sign stand, and how many lines may follow.  One scan serves all layouts: a running count of the
 beginning lines numbers the transactions of a document, and each takes the lines up to the next.
+Banks whose transactions have no such line are read by ``layouts``, unknown ones by ``strategies``.
 """
 
 from __future__ import annotations
@@ -63,8 +64,6 @@ LAYOUTS = (
     Layout("Sparda-Bank", rf"^{_FULL}\s+.*{_FULL}\s+.*{_GERMAN}", rf"^({_FULL})", 30, sign="+", key=20),
     Layout("Oldenburgische Landesbank", rf"^{_TWO}\s+{_SHORT}", rf"^({_TWO})", 30, key=20),
 )
-#: For documents of which nothing is known but that a date begins a transaction.
-GENERIC = Layout("", rf"^(?:{_FULL}|{_SHORT}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}})", rf"^({_FULL}|{_SHORT}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}})", 12)
 # Institutions by currency and notation of amounts; their dates are day first, but for the last group.
 INSTITUTIONS = {
     ("XAF", False): ["Afriland First Bank"], ("NGN", True): ["UBA Bank"], ("USD", True): ["Jaha"], ("KES", True): ["Nairobi Bank", "KCB Bank"], ("SGD", True): ["POSB"],
