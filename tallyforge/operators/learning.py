@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.references import VISA, found
-from tallyforge.functions.text import TORN, collapse, contains_any, repaired
+from tallyforge.functions.text import TORN, contains_any, repaired
 from tallyforge.plans import views
 from tallyforge.plans.catalog import query
 from tallyforge.operators.weighting import Plus, Sublinear

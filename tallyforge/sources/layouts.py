@@ -7,12 +7,11 @@ line with dates, the lines up to the next beginning.  Where a scan takes lines t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import collapse, contains_any, once
 from tallyforge.functions.values import german_date
-from tallyforge.plans.catalog import query
 from tallyforge.sources import strategies as st
 
 
