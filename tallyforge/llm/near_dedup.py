@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACED, Words, buffers, cut, give_back, mix, segments, spread_join, words
+from tallyforge.llm.common import SPACED, Words, cut, give_back, mix, segments, spread_join, words
 from tallyforge.llm.components import components
 
 _U = np.uint64
