@@ -78,25 +78,45 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Transactions of delimited lines, and a row on each file's success.  A file's first line tells its delimiter."""
-    header = lines.groupBy("file").agg(F.min_by("line", "place").alias("header"))
-    marks = header.select("file", delimiter(F.col("header")).alias("delimiter"))  # one row a file
-    return read_cells(lines.join(marks, "file").select("file", "place", cells(F.col("line"), F.col("delimiter")).alias("cells")))
+    """Transactions of delimited lines, and a row on each file's success.  A file's first line tells its delimiter.
 
+    The one row a file of headers is broadcast if there are few files, so that lines stay where they are read.
+    """
+    header = lines.groupBy("file").agg(F.min("place").alias("first"), F.min_by("line", "place").alias("header"))
+    header = header.withColumn("delimiter", delimiter(F.col("header"))).withColumn("names", cells(F.col("header"), F.col("delimiter")))
+    header = with_places(header.drop("header"), HEADERS)
+    files = len(lines.inputFiles())
+    near = F.broadcast(header) if 0 < files <= 10_000 else header
+    body = lines.join(near.where(_USABLE), "file").where(F.col("place") > F.col("first"))
+    transactions = body.withColumn("cells", cells(F.col("line"), F.col("delimiter"))).select("file", "place", *fields(HEADERS)).where(_COMPLETE)
+    sums = transactions.groupBy("file").agg(*_sums())
+    status = header.join(sums, "file", "left").select("file", problem().isNull().alias("success"), F.coalesce("rows", F.lit(0)).alias("rows"), "statement_period", problem().alias("error_message"))
+    return transactions, status
 
-def read_cells(rows: DataFrame, headers: Mapping[str, Sequence[str]] = HEADERS) -> tuple[DataFrame, DataFrame]:
-    """Transactions of rows of ``cells``, and a row on each file's success.
 
-    A file's first row is its header.  Rows without a date or an amount are left out; the rest of the
-    fields may be missing.  The one row a file of headers is joined to its rows.
-    """
-    header = rows.groupBy("file").agg(F.min("place").alias("first"), F.min_by("cells", "place").alias("names"))
-    header = header.withColumns({f"at_{f}": column_of(F.col("names"), n) for f, n in headers.items()})
-    problem = F.when(F.col("at_date").isNull(), "Could not find date column in CSV").when(F.col("at_amount").isNull(), "Could not find amount column in CSV")
-    body = rows.join(header.where("at_date IS NOT NULL AND at_amount IS NOT NULL"), "file").where(F.col("place") > F.col("first"))
+_USABLE, _COMPLETE = "at_date IS NOT NULL AND at_amount IS NOT NULL", "booking_date IS NOT NULL AND amount IS NOT NULL"
+
+
+def with_places(header: DataFrame, headers: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``header`` (``names``) with the place of each field as ``at_<field>``."""
+    return header.withColumns({f"at_{f}": column_of(F.col("names"), n) for f, n in headers.items()})
+
+
+def problem() -> Column:
+    """What a header lacks, else null."""
+    return F.when(F.col("at_date").isNull(), "Could not find date column in CSV").when(F.col("at_amount").isNull(), "Could not find amount column in CSV")
+
+
+def _sums() -> list[Column]:
+    complete = F.expr(_COMPLETE)
+    days = F.when(complete, F.col("booking_date"))
+    return [F.count(F.when(complete, 1)).alias("rows"), period(F.min(days), F.max(days)).alias("statement_period")]
+
+
+def fields(headers: Mapping[str, Sequence[str]]) -> list[Column]:
+    """The fields of a row of ``cells`` by the places of its header; all but date and amount may be missing."""
     cell = lambda f: F.nullif(F.get("cells", F.col(f"at_{f}").cast("int") - 1), F.lit("")) if f in headers else F.lit(None).cast("string")
-    transactions = body.select(
-        "file", "place",
+    return [
         parse_date(cell("date")).alias("booking_date"),
         parse_date(cell("value_date")).alias("value_date"),
         parse_amount(cell("amount")).alias("amount"),
@@ -108,10 +128,23 @@ def read_cells(rows: DataFrame, headers: Mapping[str, Sequence[str]] = HEADERS)
         cell("remittance").alias("remittance_info"),
         cell("type").alias("transaction_type"),
         F.array_join("cells", ";").alias("raw_text"),
-    ).where("booking_date IS NOT NULL AND amount IS NOT NULL")
-    sums = transactions.groupBy("file").agg(F.count("*").alias("rows"), period(F.min("booking_date"), F.max("booking_date")).alias("statement_period"))
-    status = header.join(sums, "file", "left").select("file", problem.isNull().alias("success"), F.coalesce("rows", F.lit(0)).alias("rows"), "statement_period", problem.alias("error_message"))
-    return transactions, status
+    ]
+
+
+def read_sheets(parts: DataFrame, headers: Mapping[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
+    """Transactions of sheets that come in parts, and a row on each file's success.
+
+    A part has its ``file``, the header's ``names``, ``rows`` of cells from place ``at`` on, the header being at 0, and a ``problem`` if the file
+    could not be read; each file has a part, even without rows.  Rows without a date or an amount are left out.
+    """
+    placed = with_places(parts, headers)
+    each = lambda rows, explode: rows.select("*", explode("rows").alias("i", "cells")).withColumn("place", F.col("at") + F.col("i"))
+    transactions = each(placed.where("problem IS NULL").where(_USABLE), F.posexplode).select("file", "place", *fields(headers)).where(_COMPLETE)
+    told = placed.withColumn("error_message", F.coalesce("problem", problem()))
+    told = told.withColumn("rows", F.when(F.col("error_message").isNull(), F.col("rows")))
+    day, _, amount, *_ = fields(headers)
+    status = each(told, F.posexplode_outer).select("file", "error_message", day, amount).groupBy("file", "error_message").agg(*_sums())
+    return transactions, status.select("file", F.col("error_message").isNull().alias("success"), "rows", "statement_period", "error_message")
 
 
 def load_keywords(lines: DataFrame, known: Sequence[str]) -> DataFrame:

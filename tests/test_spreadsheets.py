@@ -32,3 +32,20 @@ def test_transactions_find_their_lines(spark):
     rows = spark.createDataFrame([("f", 1, -1250, "REWE Berlin"), ("f", 2, -120000, "something else"), ("f", 3, 99, "none")], "file string, id int, amount_cents long, description string")
     got = {r.id: (r.page, r.line_no, r.sure) for r in pages.match_lines(rows, lines).collect()}
     assert got == {1: (1, 2, True), 2: (2, 1, False)}
+
+
+def test_each_workbook_is_written_and_parsed_once(spark):
+    files = spreadsheets.written_workbooks(spark, "/root/testdata/sf0.001")
+    for frame in spreadsheets.parse_workbooks(files):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 2 and plan.count("Relation ") == 2  # lines and parts
+
+
+def test_a_long_sheet_comes_in_parts(spark, tmp_path):
+    n = 2 * spreadsheets._PART + 1
+    head = '<row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row>'
+    workbook(tmp_path / "a.xlsx", head + "".join(f'<row><c r="A{i}" s="1"><v>45306</v></c><c r="B{i}"><v>{i}</v></c></row>' for i in range(2, n + 2)))
+    workbook(tmp_path / "b.xlsx", head)
+    rows, status = spreadsheets.read_workbooks(spark, str(tmp_path))
+    assert [(r.place, r.amount) for r in rows.orderBy("place").collect()] == [(i - 1, float(i)) for i in range(2, n + 2)]
+    assert {r.file[-6:]: (r.success, r.rows, r.statement_period) for r in status.collect()} == {"a.xlsx": (True, n, "JAN 2024 - JAN 2024"), "b.xlsx": (True, 0, None)}
