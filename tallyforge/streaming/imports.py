@@ -47,7 +47,7 @@ def incremental_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("id", "account_id", "booking_date", F.floor(-F.abs("amount_cents") / 5000000).alias("amount_cents"), F.lit("row").alias("description"), F.pmod("statement_id", F.lit(2)).alias("drop"))
     folder = shared_folder(spark, "imports")
     for drop in (0, 1):  # the second comes when the first has been imported
-        rows.where(F.col("drop") == drop).drop("drop").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rows.where(F.col("drop") == drop).drop("drop").write.mode("append").parquet(f"{folder}/in")
         arriving = spark.readStream.schema(rows.drop("drop").schema).parquet(f"{folder}/in")
         import_stream(arriving, f"{folder}/out", f"{folder}/state")
     merge_batch(f"{folder}/out", rows.where("drop = 1").drop("drop"), 1, ["id"])  # as after a restart
