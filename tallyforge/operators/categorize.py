@@ -83,12 +83,15 @@ def categorize(rows: DataFrame, overrides: DataFrame, keywords: DataFrame, merch
         F.when(F.col("merchant").isNotNull(), F.col("keyword_category")).alias("merchant_keyword"),
     )
     same = F.col("description").eqNullSafe(F.col("of_description")) & F.col("counterparty_name").eqNullSafe(F.col("of_counterparty"))
+    if model is not None:  # joined to the pairs, of which there are fewer than transactions
+        known = model.select(F.col("description").alias("m_description"), F.col("counterparty_name").alias("m_counterparty"), "label", "probability")
+        found = found.join(known, F.col("of_description").eqNullSafe(F.col("m_description")) & F.col("of_counterparty").eqNullSafe(F.col("m_counterparty")), "left")
     first = categories.cascade(F.col("low"), F.col("amount_cents"), F.col("override"), F.col("merchant_category"), F.col("keyword_category"), F.col("hint"), F.col("merchant_keyword"))
-    out = rows.join(found, same).select(*rows.columns, first.alias("first"))  # a column of its own: its rules are planned once
-    out = out.select(*rows.columns, categories.gated(F.col("first")).alias("x"))
+    say = [] if model is None else ["label", "probability"]
+    out = rows.join(found, same).select(*rows.columns, *say, first.alias("first"))  # a column of its own: its rules are planned once
+    out = out.select(*rows.columns, *say, categories.gated(F.col("first")).alias("x"))
     if model is not None:
-        known = model.select(F.col("description").alias("of_description"), F.col("counterparty_name").alias("of_counterparty"), "label", "probability")
-        out = out.join(known, same, "left").select(*rows.columns, categories.with_model(F.col("x"), F.col("label"), F.col("probability"), mode).alias("x"))
+        out = out.select(*rows.columns, categories.with_model(F.col("x"), F.col("label"), F.col("probability"), mode).alias("x"))
     return out.select(*rows.columns, "x.*")
 
 
