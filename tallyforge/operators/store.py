@@ -30,9 +30,13 @@ def update_by_key(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str, sequence: str) -> DataFrame:
-    """Insert or replace: of each key the row with the largest ``sequence`` stays."""
-    last = Window.partitionBy(key).orderBy(F.desc(sequence))
-    return insert(table, rows).withColumn("place", F.row_number().over(last)).where("place = 1").drop("place")
+    """Insert or replace: of each key the row with the largest ``sequence`` stays.
+
+    The rows of a key are aggregated before they are shuffled, so that one with many changes is no large group.
+    """
+    every = insert(table, rows)
+    last = every.groupBy(F.col(key).alias("of")).agg(F.max_by(F.struct(*every.columns), F.struct(sequence)).alias("x"))
+    return last.select("x.*")
 
 
 def delete(table: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -110,9 +114,11 @@ def account_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(""", r AS (SELECT description AS pattern, CASE WHEN id % 2 = 0 THEN auto_category ELSE 'custom:' || category_id END AS category_name, id * 100000000 + amount_cents AS seq FROM live)
 SELECT pattern, max(seq) AS seq, arg_max(category_name, seq) FILTER (true) AS category_name FROM (SELECT pattern, seq, max(coalesce(category_name, '')) AS category_name FROM r GROUP BY 1, 2) GROUP BY 1""")
 def override_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.transactions(spark, sf_dir).selectExpr("description AS pattern", "CASE WHEN id % 2 = 0 THEN auto_category ELSE concat('custom:', category_id) END AS category_name", "id * 100000000 + amount_cents AS seq")
-    rows = rows.groupBy("pattern", "seq").agg(F.max(F.coalesce("category_name", F.lit(""))).alias("category_name"))
-    return upsert(rows.where("seq % 2 = 0"), rows.where("seq % 2 <> 0"), "pattern", "seq").select("pattern", "seq", "category_name")
+    rows = views.transactions(spark, sf_dir, "id", "amount_cents", "description", "auto_category", "category_id").selectExpr("description AS pattern", "CASE WHEN id % 2 = 0 THEN auto_category ELSE concat('custom:', category_id) END AS category_name", "id * 100000000 + amount_cents AS seq")
+    # of a pattern's rows with one category the last; of equal ones the largest category, which is what the pair of both orders by
+    rows = rows.groupBy("pattern", F.coalesce("category_name", F.lit("")).alias("category_name"), (F.col("seq") % 2 == 0).alias("even")).agg(F.max("seq").alias("seq"))
+    rows = rows.select("pattern", "seq", "category_name", "even", F.struct("seq", "category_name").alias("by"))
+    return upsert(rows.where("even"), rows.where("NOT even"), "pattern", "by").select("pattern", "seq", "category_name")
 
 
 @query("""SELECT 'accounts' AS name, count(*) AS n FROM accounts WHERE id <> 7 UNION ALL SELECT 'statements', count(*) FROM statements WHERE account_id <> 7

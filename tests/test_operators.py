@@ -176,3 +176,36 @@ def test_feature_text(spark, description, cents, found):
 
 def test_runs_of_words(spark):
     assert [one(spark, learning.ngrams(F.lit(words).cast("array<string>"), 3))[0] for words in (["a", "b", "c"], ["a"], [])] == [["a", "b", "c", "a b", "b c", "a b c"], ["a"], []]
+
+
+def test_an_upsert_has_no_large_groups(spark):
+    kinds = "k string, v map<string,int>, n long"
+    got = store.upsert(spark.createDataFrame([("a", {"x": 1}, 1), ("b", None, None), ("c", {"x": 7}, 9)], kinds), spark.createDataFrame([("a", {"x": 2}, 2), ("c", {"x": 8}, 8)], kinds), "k", "n")
+    assert sorted((r.k, r.v, r.n) for r in got.collect()) == [("a", {"x": 2}, 2), ("b", None, None), ("c", {"x": 7}, 9)]
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_model_is_joined_to_pairs_of_texts(spark):
+    rows = spark.createDataFrame([(1, 5, "shop", "hot rod")], "id long, amount_cents long, counterparty_name string, description string")
+    model = rows.select("description", "counterparty_name", F.lit("EDUCATION").alias("label"), F.lit(0.5).alias("probability"))
+    tree = categorize.categorize(rows, *categorize._given(spark), model, "BALANCED")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    top = next(i for i, line in enumerate(tree) if "Join" in line)
+    left = [i for i in range(top + 1, len(tree)) if tree[i].lstrip().startswith(":-")][0]
+    right = next(i for i in range(left + 1, len(tree)) if tree[i].index("-") == tree[left].index("-") and tree[i].lstrip().startswith("+-"))
+    assert not any("Join" in line for line in tree[left:right])  # a transaction is joined once
+
+
+def test_what_arrives_is_not_gathered_in_one_task(spark, tmp_path, monkeypatch):
+    from tallyforge.streaming import imports
+
+    monkeypatch.setattr(imports, "shared_folder", lambda spark, purpose: str(tmp_path / purpose))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        imports.incremental_import(spark, "/root/testdata/sf0.001")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list(tmp_path.glob("imports/in/*.parquet"))) > 2
