@@ -186,9 +186,10 @@ _FORMS = [(",", "Date Amount Description Payee"), (";", "Buchungsdatum Betrag Ve
 def delimited_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All transactions, written with four delimiters, notations and languages of headers, and read again; texts hold the delimiter."""
     rows = views.transactions(spark, sf_dir, "id", "account_id", "booking_date", "amount_cents", "description", "counterparty_name").withColumn("form", F.col("account_id") % len(_FORMS))
-    folder = shared_folder(spark, "delimited")
+    folder, joined = shared_folder(spark, "delimited"), shared_folder(spark, "delimited-rows")
+    rows.write.partitionBy("form").parquet(joined)  # joined once for all forms
     for i, (mark, names) in enumerate(_FORMS):
-        own = rows.where(F.col("form") == i)
+        own = spark.read.schema(rows.drop("form").schema).parquet(f"{joined}/form={i}")
         day = F.date_format("booking_date", "dd.MM.yyyy" if i % 2 else "yyyy-MM-dd")
         amount = german_number(F.col("amount_cents")) if i % 2 else (F.col("amount_cents") / 100).cast("decimal(18,2)").cast("string")
         text = F.concat("description", F.lit("" if mark == "\t" else f"{mark} x"))

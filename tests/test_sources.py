@@ -80,3 +80,10 @@ def test_export_reads_back(spark, tmp_path):
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
     assert text == exports.HEADER + '\n15.01.2024,"a ""b"", c",,RENT,-0.05,EUR,Main\n'
     assert exports.transaction_lines(rows, "Other").count() == 0 and exports.transaction_lines(rows, "All Accounts").count() == 1
+
+
+def test_lines_stay_where_they_are_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Amount\n15.01.2024,5\n", encoding="utf-8")
+    rows, _ = statements.read_csv(statements.read_lines(spark, str(tmp_path)))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
