@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.text import collapse, contains_any
 from tallyforge.functions.values import german_date, parse_amount
 from tallyforge.plans.catalog import query
+from tallyforge.plans.folders import shared_folder
 from tallyforge.sources import banks, layouts, strategies
 
 _GERMAN = r"\d{1,3}(?:\.\d{3})*,\d{2}"
@@ -161,24 +162,39 @@ def read_statements(lines: DataFrame, default_year: int, by_hand: DataFrame | No
     bank = banks.choose_bank(lines).select("file", "bank")
     if by_hand is not None:
         bank = bank.join(by_hand.select("file", F.col("bank").alias("hand")), "file", "left").select("file", F.coalesce("hand", "bank").alias("bank"))
-    rows = lines.select("file", "line_no", "text").join(bank, "file")
+    # both are written, since all banks' readings start from the one, and what they leave from the other
+    spark = lines.sparkSession
+    rows = _kept(spark, "lines", lines.select("file", "line_no", "text").join(bank, "file"), "bank")
+    commerzbank = rows.where(F.col("bank") == "Commerzbank")
     low = F.lower("text")
     has = lambda *words: functools.reduce(Column.__and__, [F.max(F.coalesce(low.contains(w), F.lit(False))).over(Window.partitionBy("file")) for w in words])
-    older = ~has("buchungstag", "umsatzart", "betrag") & (has("buchungsdatum:") | has("zu ihren lasten"))
-    rows = rows.withColumn("bank", F.when((F.col("bank") == "Commerzbank") & older, "Commerzbank, older").otherwise(F.col("bank")))
-    own = {"Commerzbank, older": layouts.commerzbank, "Consorsbank": layouts.consorsbank, "Norisbank": layouts.norisbank, "ING DiBa": layouts.ing, "Revolut": layouts.revolut}
-    parts = [f(rows.where(F.col("bank") == name), default_year).withColumn("bank", F.lit(name.split(",")[0])) for name, f in own.items()]
-    found = _together(scan_by_bank(rows, LAYOUTS, default_year), *parts)
+    commerzbank = commerzbank.withColumn("older", ~has("buchungstag", "umsatzart", "betrag") & (has("buchungsdatum:") | has("zu ihren lasten")))
+    own = {"Consorsbank": layouts.consorsbank, "Norisbank": layouts.norisbank, "ING DiBa": layouts.ing, "Revolut": layouts.revolut}
+    parts = [f(rows.where(F.col("bank") == name), default_year).withColumn("bank", F.lit(name)) for name, f in own.items()]
+    parts.append(layouts.commerzbank(commerzbank.where("older").drop("older"), default_year).withColumn("bank", F.lit("Commerzbank")))
+    by_row = rows.where(F.col("bank") != "Commerzbank").unionByName(commerzbank.where("NOT older").drop("older"))
+    found = _together(scan_by_bank(by_row, LAYOUTS, default_year), *parts)
+    by_file = Window.partitionBy("file")
+    least = F.when(F.col("bank").isin("DKB", "Deutsche Bank", "Sparkasse"), 3).otherwise(2)
+    found = _kept(spark, "found", found.withColumn("own", F.count("*").over(by_file)).withColumn("sure", F.col("own") >= least), "sure")
+    sure, few = found.where("sure").drop("own", "sure"), found.where("NOT sure").drop("own", "sure")
+    left = rows.join(sure.select("file").distinct(), "file", "left_anti")
     known, whole = F.col("bank").isin([x.bank for x in LAYOUTS] + list(own)), F.col("bank") == "Sparkasse"
-    # one pass for what the own layouts may leave: of known banks only the comprehensive reading, of others all
-    readings = strategies.german_readings(rows.select("file", "line_no", "text", F.when(F.coalesce(known & ~whole, F.lit(False)), "comprehensive").alias("only")), default_year)
-    bank = rows.select("file", F.when(known, F.split("bank", ",")[0]).alias("bank")).distinct()
+    # one pass for what the own layouts left: of known banks only the comprehensive reading, of others all
+    readings = strategies.german_readings(left.select("file", "line_no", "text", F.when(F.coalesce(known & ~whole, F.lit(False)), "comprehensive").alias("only")), default_year)
+    bank = left.select("file", F.when(known, F.col("bank")).alias("bank")).distinct()
     other = _together(strategies.choose(readings, strategies.GERMAN, 3).join(bank, "file"))
-    both = found.withColumn("side", F.lit(0)).unionByName(other.withColumn("side", F.lit(1)))
-    n = lambda side: F.count(F.when(F.col("side") == side, 1)).over(Window.partitionBy("file"))
-    least = F.when(F.col("bank").isin("DKB", "Deutsche Bank", "Sparkasse"), 3).otherwise(2)
+    both = few.withColumn("side", F.lit(0)).unionByName(other.withColumn("side", F.lit(1)))
+    n = lambda side: F.count(F.when(F.col("side") == side, 1)).over(by_file)
     both = both.withColumns({"own": n(0), "more": n(1)})
-    return both.where((F.col("side") == 1) == ((F.col("own") < least) & (F.col("more") > F.col("own")))).drop("side", "own", "more")
+    return sure.unionByName(both.where((F.col("side") == 1) == (F.col("more") > F.col("own"))).drop("side", "own", "more"))
+
+
+def _kept(spark: SparkSession, purpose: str, rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` as they are written to the shared folder, apart by a column of few values."""
+    folder = shared_folder(spark, purpose)
+    rows.write.partitionBy(by).parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
 
 
 def _forms(day: Column, cents: Column, text: Column) -> list[tuple[str, list[str], list[Column]]]:
@@ -239,6 +255,6 @@ SELECT 's' || statement_id AS file, {_NAMES!r}[1 + form] AS bank, sign * size AS
 )
 def statement_lines_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All statements, printed as lines in the forms of all banks, and read again; the bank that names itself too weakly is given by hand."""
-    lines = printed_statements(strategies.numbered(spark, sf_dir))
+    lines = _kept(spark, "printed", printed_statements(strategies.numbered(spark, sf_dir)), "form")
     by_hand = lines.where(F.col("form") == len(_NAMES) - 1).select("file", F.lit("Revolut").alias("bank")).distinct()
     return read_statements(lines, 2024, by_hand).select("file", "bank", "booking_date", "amount", "description")

@@ -76,3 +76,15 @@ def test_effective_merchants(spark, counterparty, description, name):
     texts = F.lit(description), F.lit(counterparty).cast("string")
     whole = references.whole_text(*texts)
     assert value(spark, references.effective_merchant(references.kind(F.lower(whole)), texts[1], whole)) == name
+
+
+def test_only_what_the_own_layout_left_is_read_again(spark, monkeypatch):
+    from tallyforge.sources import strategies
+
+    n26 = ["N26 Bank", "Rewe 15.01.2024 -12,50€", "Miete 16.01.2024 -700,00€"]
+    rows = [(f, i, t) for f, lines in {"sure": n26, "few": n26[:2], "none": ["kein Name", "15.01.2024 Kaffee 3,50"]}.items() for i, t in enumerate(lines)]
+    seen, german = [], strategies.german_readings
+    monkeypatch.setattr(strategies, "german_readings", lambda lines, year: seen.append(lines) or german(lines, year))
+    got = pdf_text.read_statements(spark.createDataFrame(rows, "file string, line_no int, text string"), 2024)
+    assert sorted((r.file, r.amount) for r in got.collect()) == [("few", -12.5), ("none", -3.5), ("sure", -700.0), ("sure", -12.5)]
+    assert {r.file for r in seen[0].collect()} == {"few", "none"}
