@@ -193,19 +193,26 @@ def ngrams(words: Column, most: int) -> Column:
     return F.flatten(F.array(*(runs(k) for k in range(1, most + 1))))
 
 
+def term_weights(rows: DataFrame, key: str, words: str, most: int = 3) -> DataFrame:
+    """``key``, ``term``, ``raw``: sublinear counts times smoothed idf, not yet of length 1.
+
+    Rows are dealt by term before they are counted, so terms are made and shuffled once, and those of a term are counted where they
+    meet.  A join with the terms' idf would shuffle them again, and Spark, which takes exploded rows to be as few as their input, broadcast it.
+    """
+    tokens = rows.select(key, F.regexp_extract_all(F.lower(words), F.lit(TERM), F.lit(0)).alias("words")).select(key, F.explode(ngrams(F.col("words"), most)).alias("term"))
+    counts = tokens.repartition("term").groupBy("term", key).agg(F.count("*").alias("tf"))
+    n = rows.agg(F.count("*").alias("n"))  # one row
+    often = counts.withColumn("df", F.count("*").over(Window.partitionBy("term"))).join(F.broadcast(n))
+    return often.select(key, "term", ((1 + F.log("tf")) * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1)).alias("raw"))
+
+
 def tfidf(rows: DataFrame, key: str, words: str, most: int = 3) -> DataFrame:
     """``key``, ``term``, ``weight``: sublinear counts times smoothed idf, of length 1 for each key.
 
     Terms are runs of one to ``most`` words; a word has two letters, digits or underscores at least.
     """
-    tokens = rows.select(key, F.regexp_extract_all(F.lower(words), F.lit(TERM), F.lit(0)).alias("words")).select(key, F.explode(ngrams(F.col("words"), most)).alias("term"))
-    counts = tokens.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    often = counts.groupBy("term").agg(F.count("*").alias("df"))
-    n = rows.agg(F.count("*").alias("n")).select("n", F.lit(1).alias("one"))  # one row
-    idf = often.withColumn("one", F.lit(1)).join(F.broadcast(n), "one").select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    weighed = counts.join(idf, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return weighed.select(key, "term", (F.col("raw") / norm).alias("weight"))
+    return term_weights(rows, key, words, most).select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
 @query(r""", s AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM conversations),
@@ -215,7 +222,8 @@ w AS (SELECT id, c.term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM convers
 SELECT id, count(*) AS terms, round(max(raw / s), 6) AS heaviest FROM (SELECT *, sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS s FROM w) GROUP BY 1""")
 def tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return tfidf(rows, "id", "text").groupBy("id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("heaviest"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")))
+    return term_weights(rows, "id", "text").groupBy("id").agg(F.count("*").alias("terms"), F.round(F.max("raw") / norm, 6).alias("heaviest"))
 
 
 def softmax_scores(weights: DataFrame, key: str, coefficients: DataFrame, intercepts: DataFrame) -> DataFrame:

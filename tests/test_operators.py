@@ -1,4 +1,5 @@
 import datetime
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +210,15 @@ def test_what_arrives_is_not_gathered_in_one_task(spark, tmp_path, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(list(tmp_path.glob("imports/in/*.parquet"))) > 2
+
+
+def test_terms_are_made_once_and_never_broadcast(spark):
+    rows = spark.createDataFrame([(1, "ab cd ab"), (1, "cd"), (2, "ab"), (3, None)], "id long, text string")
+    found = learning.tfidf(rows, "id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "HashJoin" not in plan  # of few rows all terms were broadcast
+    idf = {"ab": math.log(5 / 3) + 1} | dict.fromkeys(("cd", "ab cd", "cd ab", "ab cd ab"), math.log(5 / 2) + 1)
+    raw = {t: (1 + math.log(2 if t in ("ab", "cd") else 1)) * x for t, x in idf.items()}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    got = {(r.id, r.term): r.weight for r in found.collect()}
+    assert got == pytest.approx({(2, "ab"): 1.0} | {(1, t): x / norm for t, x in raw.items()})
