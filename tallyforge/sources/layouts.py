@@ -52,7 +52,7 @@ def _until(start: Column, stop: Column, look: int) -> Column:
 
 
 def _found(rows: DataFrame, blocks: list, parsed: Column, *carried: str) -> DataFrame:
-    return st.gathered(rows, blocks, *carried).withColumn("r", parsed).where("r IS NOT NULL").select("file", "strategy", "line_no", "r.*")
+    return st.told(st.gathered(rows, blocks, *carried), parsed, "file", "strategy", "line_no")
 
 
 def _texts(skip_first: bool = False) -> Column:
@@ -381,5 +381,5 @@ def revolut(lines: DataFrame, year: int, enough: int = 3) -> DataFrame:
         .when(s == "line", free(head, _short_date(F.regexp_extract(head, _LINE_DATE, 1), year), _first_amount(head, _LINE_AMOUNT, 1, -1.0), [_LINE_DATE], _LINE_AMOUNT, 2))
         .otherwise(once(whole, lambda w: free(w, _short_date(F.regexp_extract(w, _BLOCK_DATE, 1), year), _first_amount(w, _LINE_AMOUNT, 1, -1.0), [_BLOCK_DATE], _LINE_AMOUNT, 3)))
     )
-    found = st.gathered(rows, blocks, "currency").withColumn("r", parsed).where("r IS NOT NULL").select("file", "strategy", "line_no", "currency", "r.*")
+    found = st.told(st.gathered(rows, blocks, "currency"), parsed, "file", "strategy", "line_no", "currency")
     return st.choose(st.distinct(found), REVOLUT, enough)

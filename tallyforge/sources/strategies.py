@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,7 +55,10 @@ PARSED = "struct<booking_date:date,value_date:date,amount:double,description:str
 
 def is_header(text: Column) -> Column:
     """Headers and footers of pages, sums and balances, lone numbers, and lines of less than five characters."""
-    low = F.lower(F.trim(text))
+    return once(F.lower(F.trim(text)), _is_header)
+
+
+def _is_header(low: Column) -> Column:
     both = lambda *parts: F.lit(True) if not parts else low.contains(parts[0]) & both(*parts[1:])
     hit = contains_any(low, HEADER_PARTS) | low.isin(HEADER_WHOLE) | low.startswith("saldo") | low.startswith("buchungstext") | (low.startswith("verwendungszweck") & (F.length(low) < 25))
     for pair in [*HEADER_PAIRS, ("datum", "betrag", "saldo")]:
@@ -64,7 +68,7 @@ def is_header(text: Column) -> Column:
 
 def is_balance(description: Column, raw: Column) -> Column:
     """Whether a row tells a balance, or nothing but a currency."""
-    return contains_any(F.lower(description), BALANCE) | contains_any(F.lower(raw), BALANCE) | F.upper(F.trim(description)).isin("EUR", "€", "EURO", "")
+    return F.exists(F.array(F.lower(description), F.lower(raw)), lambda low: contains_any(low, BALANCE)) | F.upper(F.trim(description)).isin("EUR", "€", "EURO", "")
 
 
 def transaction_type(description: Column) -> Column:
@@ -113,10 +117,8 @@ def ordered(lines: DataFrame, year: int) -> DataFrame:
         "joined": F.when(F.col("text").rlike(torn) & F.coalesce(F.col("after").rlike(year_line), F.lit(False)), F.concat("text", "after")).otherwise(F.col("text")),
         "left_out": F.col("text").rlike(year_line) & F.coalesce(F.col("before").rlike(torn), F.lit(False)),
     }).drop("after", "before")
-    return rows.withColumns({
-        "place": F.when(~F.col("left_out"), F.sum((~F.col("left_out")).cast("int")).over(upto)),
-        "blank": F.col("text") == "", "header": is_header(F.col("text")), "joined_header": is_header(F.col("joined")),
-    })
+    rows = rows.withColumns({"place": F.when(~F.col("left_out"), F.sum((~F.col("left_out")).cast("int")).over(upto)), "blank": F.col("text") == "", "header": is_header(F.col("text"))})
+    return rows.withColumn("joined_header", F.when(F.col("joined") == F.col("text"), F.col("header")).otherwise(is_header(F.col("joined"))))
 
 
 def blocks_of(rows: DataFrame, spans: Sequence[tuple[str, str]]) -> DataFrame:
@@ -128,24 +130,39 @@ def blocks_of(rows: DataFrame, spans: Sequence[tuple[str, str]]) -> DataFrame:
     """
     names = [name for name, _ in spans]
 
+    def ints(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return c.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False), c.is_valid().to_numpy(zero_copy_only=False)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, state = None, {}
         for batch in batches:
-            files = batch["file"].to_pylist()
+            if not batch.num_rows:
+                continue
+            code = batch["file"].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            head = batch["file"][0].as_py()
+            # files by their number in this batch: 0 goes on from the last one
+            group = np.cumsum(np.concatenate([[head != file], code[1:] != code[:-1]]))
             made = []
             for name, place in spans:
-                out = []
-                free, first, last = state.get(name, (0, None, -1))
-                current = file
-                for f, at, ahead, end in zip(files, *(batch[c].to_pylist() for c in (place, f"{name}_next", f"{name}_last")), strict=True):
-                    if f != current:
-                        current, free, first, last = f, 0, None, -1
-                    if at is not None and ahead is not None and at >= free:
-                        free, first, last = ahead, at, -1 if end is None else end
-                    out.append(first if at is not None and first is not None and at <= last else None)
-                state[name] = free, first, last
-                made.append(pa.array(out, pa.int32()))
-            file = files[-1] if files else file
+                (at, placed), (ahead, begins), (end, _) = (ints(batch[c]) for c in (place, f"{name}_next", f"{name}_last"))
+                free, first, last = state.get(name, (0, -1, -1))
+                can, current, chosen = np.flatnonzero(placed & begins), 0, []
+                for i, of, a, b in zip(can.tolist(), group[can].tolist(), at[can].tolist(), ahead[can].tolist(), strict=True):
+                    if of != current:
+                        current, free = of, 0
+                    if a >= free:
+                        free = b
+                        chosen.append(i)
+                # each row's latest span of its file, which can be one of the last batch
+                taken = np.array([-1, *chosen])
+                taken = taken[np.searchsorted(taken, np.arange(len(at)), side="right") - 1]
+                own = (taken >= 0) & (group[taken] == group)
+                older = (taken < 0) & (group == 0)
+                firsts = np.where(own, at[taken], np.where(older, first, -1))
+                lasts = np.where(own, end[taken], np.where(older, last, -1))
+                state[name] = free if current == group[-1] else 0, int(firsts[-1]), int(lasts[-1])
+                made.append(pa.array(firsts, pa.int32(), mask=~(placed & (own | older) & (at <= lasts))))
+            file = batch["file"][-1].as_py()
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept.names), *made], schema=schema)
 
     kept = to_arrow_schema(rows.schema)
@@ -188,60 +205,67 @@ def without(text: Column, *patterns: str, by: str = " ") -> Column:
     return text
 
 
-def _table(year: int) -> Column:
-    head = head_line()
-    description = collapse(F.concat_ws(" ", F.regexp_replace(without(head, DATE, AMOUNT, by=""), "€", " "), joined_rest()))
-    return once(description, lambda d: result(dated(head, 0, year), dated(head, 1, year), signed_amount(head, AMOUNT), d, head, ~is_balance(d, head)))
-
-
-def _date_amount(year: int) -> Column:
-    head = head_line()
-    end = rf"{AMOUNT}\s*$"
-    own = F.trim(without(head, rf"^{DATE}", end, by=""))
-    second = F.regexp_extract(own, rf"^({DATE})", 1)
-    description = F.trim(F.concat_ws(" ", F.trim(without(own, rf"^{DATE}", by="")), F.nullif(joined_rest(), F.lit(""))))
-    found = head.rlike(rf"^{DATE}") & head.rlike(end)
-    return once(description, lambda d: result(dated(head, 0, year), F.when(second != "", german_date(second, year)), signed_amount(head, end), d, head, found & ~is_balance(d, head)))
-
-
-def _block(year: int) -> Column:
-    whole = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
-    description = lambda w: collapse(without(w, DATE, AMOUNT))
-    return once(whole, lambda w: once(description(w), lambda d: result(dated(w, 0, year), dated(w, 1, year), signed_amount(w, AMOUNT), d, w, (F.length(d) > 3) & ~is_balance(d, w))))
-
-
-def _multiline(year: int) -> Column:
-    head, last = head_line(), F.element_at("parts", -1)["text"]
-    paired = head.rlike(PAIR)
-    own = F.trim(F.when(paired, F.regexp_extract(head, PAIR, 3)).otherwise(F.regexp_replace(head, rf"^{DATE}", "")))
-    own = F.when(~own.rlike(rf"^\s*{SIGNED}\s*$") | paired, own)
-    before = F.trim(F.regexp_extract(last, rf"^(.*?){SIGNED}", 1))
-    description = collapse(F.concat_ws(" ", F.nullif(own, F.lit("")), F.nullif(joined_rest(1), F.lit("")), F.when(~is_header(before), before)))
-    booking = F.when(paired, german_date(F.regexp_extract(head, PAIR, 1), year)).otherwise(german_date(F.regexp_extract(head, rf"^({DATE})", 1), year))
-    value = F.when(paired, german_date(F.regexp_extract(head, PAIR, 2), year)).otherwise(booking)
-    raw = F.array_join(F.array_compact(F.array(head, F.nullif(joined_rest(1, "\n"), F.lit("")), last)), "\n")
-    return once(description, lambda d: result(booking, value, signed_amount(last, SIGNED), d, raw, ~is_balance(d, raw)))
+def told(found: DataFrame, parsed: Column, *kept: str) -> DataFrame:
+    """The columns ``kept`` and those of ``parsed`` (``result``) where it is one; it is made once a row, which a filter on it would not leave it at."""
+    return found.select(*kept, F.inline(F.array_compact(F.array(parsed))))
 
 
-def _comprehensive(year: int) -> Column:
-    texts = F.transform(F.filter("parts", lambda p: (p["text"] != "") & ~p["header"]), lambda p: p["text"])
-    whole = F.array_join(texts, " ")
-
-    def read(w: Column) -> Column:
-        shown = F.try_element_at(F.regexp_extract_all(w, F.lit(MARKED), F.lit(0)), F.lit(-1))
-        size = number(F.regexp_extract(shown, MARKED, 2))
-        mark = F.upper(F.concat(F.regexp_extract(shown, MARKED, 1), F.regexp_extract(shown, MARKED, 3)))
-        description = collapse(without(w, DATE_ANY, MARKED, r"[€+\-−–]|\b[SH]\b"))
-        head = head_line()
+def _of(**by: Column) -> Column:
+    """What the row's reading has in ``by``, else null."""
+    out = F.lit(None)
+    for name, c in by.items():
+        out = F.when(F.col("strategy") == name, c).otherwise(out)
+    return out
 
-        def with_text(d: Column) -> Column:
-            debit = F.when(mark.rlike("^[-−–]"), True).when(mark.rlike("^[+]"), False).when(mark.rlike("[-−–S]$"), True).when(mark.rlike("[+H]$"), False).otherwise(~contains_any(F.lower(d), INCOME))
-            raw = F.array_join(texts, "\n")
-            return result(dated(head, 0, year, DATE_ANY), dated(head, 1, year, DATE_ANY), F.when(debit, -size).otherwise(size), d, raw, ~is_balance(d, raw), F.length(d) <= 2)
 
-        return once(description, with_text)
+def _german(found: DataFrame, year: int) -> DataFrame:
+    """The transactions of gathered blocks, each as its reading has it.
 
-    return once(whole, read)
+    What is used more than once is a column of its own on the way, so that it is made once a row; texts are made only
+    where date and amount are there.
+    """
+    end = rf"{AMOUNT}\s*$"
+    head, last, whole, shown, paired, d = (F.col(c) for c in ("head", "last", "whole", "shown", "paired", "description"))
+    each = F.transform(F.filter("parts", lambda p: (p["text"] != "") & ~p["header"]), lambda p: p["text"])
+    rows = found.withColumns({"head": head_line(), "last": F.element_at("parts", -1)["text"], "texts": _of(comprehensive=each)})
+    rows = rows.withColumns({
+        "whole": _of(comprehensive=F.array_join("texts", " "), block=F.array_join(F.transform("parts", lambda p: p["text"]), " ")),
+        "paired": (F.col("strategy") == "multiline") & head.rlike(PAIR), "own": _of(date_amount=F.trim(without(head, rf"^{DATE}", end, by=""))),
+    })
+    rows = rows.withColumn("shown", _of(comprehensive=F.try_element_at(F.regexp_extract_all(whole, F.lit(MARKED), F.lit(0)), F.lit(-1))))
+    every = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    days = _of(
+        comprehensive=every(head, DATE_ANY), multiline=F.when(paired, F.array(*(F.regexp_extract(head, PAIR, i) for i in (1, 2)))).otherwise(F.array(F.regexp_extract(head, rf"^({DATE})", 1))),
+        table=every(head, DATE), date_amount=F.when(head.rlike(rf"^{DATE}"), F.array(F.regexp_extract(head, DATE, 0), F.regexp_extract("own", rf"^({DATE})", 1))), block=every(whole, DATE),
+    )
+    size = _of(comprehensive=number(F.regexp_extract(shown, MARKED, 2)), multiline=signed_amount(last, SIGNED), table=signed_amount(head, AMOUNT), date_amount=signed_amount(head, end), block=signed_amount(whole, AMOUNT))
+    rows = rows.withColumns({"dates": F.transform(F.slice(days, 1, 2), lambda t: german_date(t, year)), "size": size})
+    rows = rows.withColumns({"booking": F.get("dates", F.lit(0)), "value": F.get("dates", F.lit(1))})
+    rows = rows.withColumn("there", F.col("booking").isNotNull() & F.col("size").isNotNull())
+    there = lambda c: F.when(F.col("there"), c)
+    rows = rows.withColumns({
+        "rest": there(_of(multiline=joined_rest(1), table=joined_rest(), date_amount=joined_rest())),
+        "begun": there(_of(multiline=F.trim(F.when(paired, F.regexp_extract(head, PAIR, 3)).otherwise(F.regexp_replace(head, rf"^{DATE}", ""))))),
+        "before": there(_of(multiline=F.trim(F.regexp_extract(last, rf"^(.*?){SIGNED}", 1)))), "marks": there(_of(comprehensive=F.upper(F.concat(F.regexp_extract(shown, MARKED, 1), F.regexp_extract(shown, MARKED, 3))))),
+        "lines": there(_of(multiline=joined_rest(1, "\n"))),
+    })
+    begun, rest = F.col("begun"), F.nullif("rest", F.lit(""))
+    description = _of(
+        comprehensive=collapse(without(whole, DATE_ANY, MARKED, r"[€+\-−–]|\b[SH]\b")),
+        multiline=collapse(F.concat_ws(" ", F.nullif(F.when(~begun.rlike(rf"^\s*{SIGNED}\s*$") | paired, begun), F.lit("")), rest, F.when(~is_header(F.col("before")), F.col("before")))),
+        table=collapse(F.concat_ws(" ", F.regexp_replace(without(head, DATE, AMOUNT, by=""), "€", " "), "rest")),
+        date_amount=F.trim(F.concat_ws(" ", F.trim(without(F.col("own"), rf"^{DATE}", by="")), rest)),
+        block=collapse(without(whole, DATE, AMOUNT)),
+    )
+    raw = _of(comprehensive=F.array_join("texts", "\n"), multiline=F.array_join(F.array_compact(F.array(head, F.nullif("lines", F.lit("")), last)), "\n"), table=head, date_amount=head, block=whole)
+    rows = rows.withColumns({"description": there(description), "raw": there(raw)})
+    marks = F.col("marks")
+    debit = F.when(marks.rlike("^[-−–]"), True).when(marks.rlike("^[+]"), False).when(marks.rlike("[-−–S]$"), True).when(marks.rlike("[+H]$"), False).otherwise(~once(F.lower(d), lambda low: contains_any(low, INCOME)))
+    keep = F.col("there") & ~is_balance(d, F.col("raw")) & ((F.col("strategy") != "block") | (F.length(d) > 3))
+    rows = rows.withColumns({"amount": F.when((F.col("strategy") == "comprehensive") & debit, -F.col("size")).otherwise(F.col("size")), "keep": keep})
+    spare = (F.col("strategy") == "comprehensive") & (F.length(d) <= 2)
+    made = F.struct(F.col("booking").alias("booking_date"), F.coalesce("value", "booking").alias("value_date"), "amount", "description", F.col("raw").alias("raw_text"), spare.alias("spare")).cast(PARSED)
+    return told(rows, F.when(F.col("keep"), made), "file", "strategy", "line_no")
 
 
 def german_readings(lines: DataFrame, year: int) -> DataFrame:
@@ -256,13 +280,15 @@ def german_readings(lines: DataFrame, year: int) -> DataFrame:
     ahead = by_file.orderBy("line_no").rowsBetween(1, 14)
     near = by_file.orderBy("place").rangeBetween(1, 11)
     text, joined = F.col("text"), F.col("joined")
-    day, pair, only, signed = text.rlike(rf"^{DATE}"), text.rlike(PAIR), text.rlike(rf"^{DATE}$"), text.rlike(SIGNED)
+    day, pair, signed = F.col("day"), F.col("pair"), F.col("gives")
+    rows = rows.withColumns({"day": text.rlike(rf"^{DATE}"), "pair": text.rlike(PAIR), "gives": text.rlike(SIGNED), "c_day": F.regexp_extract(joined, DATE_ANY, 0)})
+    first = F.when(pair, F.regexp_extract(text, PAIR, 1)).when(day, F.regexp_extract(text, rf"^({DATE})", 1))
+    rows = rows.withColumns({"first": F.when(~F.col("blank") & ~F.col("header"), first), "c_day": F.when((joined != "") & ~F.col("joined_header") & (F.col("c_day") != ""), F.col("c_day"))})
     rows = rows.withColumns({
-        "hit": text.rlike(DATE) & text.rlike(AMOUNT), "day": day, "halt": only | pair | (day & ~signed), "gives": signed,
-        "begins": ~F.col("blank") & ~F.col("header") & F.when(pair, german_date(F.regexp_extract(text, PAIR, 1), year)).otherwise(german_date(F.regexp_extract(text, rf"^({DATE})", 1), year)).isNotNull(),
-        "c_halt": F.regexp_instr(joined, F.lit(DATE_ANY)).between(1, 3) & (~joined.rlike(MARKED) | (F.length(joined) > 20)),
-        "c_begins": (joined != "") & ~F.col("joined_header") & dated(joined, 0, year, DATE_ANY).isNotNull(),
+        "hit": text.rlike(DATE) & text.rlike(AMOUNT), "halt": pair | (day & (~signed | text.rlike(rf"^{DATE}$"))), "starts": F.transform(F.array("first", "c_day"), lambda t: german_date(t, year).isNotNull()),
+        "c_halt": F.regexp_instr(joined, F.lit(DATE_ANY)).between(1, 3) & ((F.length(joined) > 20) | ~joined.rlike(MARKED)),
     })
+    rows = rows.withColumns({"begins": F.get("starts", F.lit(0)), "c_begins": F.get("starts", F.lit(1))})
     place_of = lambda flag, place, over: F.min(F.when(flag, F.col(place))).over(over)
     rows = rows.withColumns({
         "t_block": F.last(F.when(F.col("hit"), F.col("idx")), True).over(upto), "d_block": F.last(F.when(F.col("day"), F.col("idx")), True).over(upto),
@@ -283,11 +309,7 @@ def german_readings(lines: DataFrame, year: int) -> DataFrame:
         ("date_amount", close("d_block"), text, F.col("header")), ("block", F.when(~F.col("blank") & ~F.col("header"), F.col("gap")), text, F.col("header")),
     ]
     blocks = [(s, F.when(F.col("only").isNull() | (F.col("only") == s), b), t, h) for s, b, t, h in blocks]
-    read = {"comprehensive": _comprehensive, "multiline": _multiline, "table": _table, "date_amount": _date_amount, "block": _block}
-    parsed = F.lit(None).cast(PARSED)
-    for name, f in read.items():
-        parsed = F.when(F.col("strategy") == name, f(year)).otherwise(parsed)
-    found = gathered(taken, blocks).withColumn("r", parsed).where("r IS NOT NULL").select("file", "strategy", "line_no", "r.*")
+    found = _german(gathered(taken, blocks), year)
     return distinct(found, GERMAN[3:4])
 
 

@@ -83,3 +83,24 @@ def test_long_documents_and_null_lines(spark):
     got = st.read_german(spark.createDataFrame(rows, "file string, line_no int, text string"), 2024).collect()
     assert len(got) == 1000 and {r.strategy for r in got} == {"comprehensive"} and sum(r.amount for r in got if r.line_no < 400) == -sum(range(0, 400, 4))
     assert got[0].booking_date.year == 2024 and isinstance(got[0].booking_date, datetime.date)
+
+
+def test_a_reading_is_made_once_a_block(spark):
+    text = lines(spark, "02.05.2024 Kaffee 3,00")
+    for df in (st.german_readings(text, 2024),):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.split("\n") if "Filter" in x and "regexp_" in x]  # a filter that has to make it to see whether it is one
+
+
+def test_spans_go_on_in_the_next_batch(spark):
+    rows = [("a", 0, 4, 2), ("a", 1, None, None), ("a", 2, 9, 9), ("a", 3, None, None), ("a", 4, 6, None), ("a", 5, 6, 9), ("b", 0, None, None), ("b", 1, 2, 3), ("b", None, 9, 9), ("b", 2, 3, 2), ("b", 3, None, None), (None, 0, 1, 1), (None, 1, None, None)]
+    df = spark.createDataFrame([(f, i, *x) for i, (f, *x) in enumerate(rows)], "file string, line_no int, idx int, x_next int, x_last int").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    try:
+        for most in (1, 2, 3, 100):
+            spark.conf.set(name, most)
+            got = {r.line_no: r.x_block for r in st.blocks_of(df, [("x", "idx")]).collect()}
+            assert [got[i] for i in range(13)] == [0, 0, 0, None, None, None, None, 1, None, 2, None, 0, 0]
+    finally:
+        spark.conf.set(name, held)
