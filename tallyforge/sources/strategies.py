@@ -367,7 +367,14 @@ def is_foreign_header(text: Column) -> Column:
 
 def foreign_date(text: Column, form: Column) -> Column:
     """A date in one of ``DATE_FORMS``; a year of two digits is of this century up to 50."""
-    parts = F.split(F.trim(F.replace(text, F.lit(","), F.lit(""))), r"[/.\-\s]+")
+    return _date_of(date_parts(text), form)
+
+
+def date_parts(text: Column) -> Column:
+    return F.split(F.trim(F.replace(text, F.lit(","), F.lit(""))), r"[/.\-\s]+")
+
+
+def _date_of(parts: Column, form: Column) -> Column:
     at = lambda i: F.get(parts, i)
     month = lambda c: (F.ceil(F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(c, 1, 3))) / 3)).cast("string")
     named = lambda name: form == name
@@ -405,15 +412,20 @@ def international_readings(lines: DataFrame) -> DataFrame:
     found = gathered(rows, blocks).join(forms, "file")
     whole = F.when(F.col("strategy") == "block", F.array_join(F.transform("parts", lambda p: p["text"]), " ")).otherwise(head_line())
 
-    def read(w: Column) -> Column:
-        booking = foreign_date(_by_form(DATE_FORMS, date_form, lambda p: F.regexp_extract(w, p, 1)), date_form)
-        amount = foreign_amount(_by_form(AMOUNT_FORMS, amount_form, lambda p: F.regexp_extract(w, p, 1)), amount_form)
-        own = _by_form(AMOUNT_FORMS, amount_form, lambda a: _by_form(DATE_FORMS, date_form, lambda p: without(w, p, a)))
-        description = collapse(F.concat_ws(" ", F.regexp_replace(own, "[€$£¥₹₱₦]+", ""), F.when(F.col("strategy") == "table", F.nullif(joined_rest(), F.lit("")))))
-        least = F.when(F.col("strategy") == "block", 3).otherwise(2)
-        return once(description, lambda d: result(booking, booking, amount, d, w, F.length(d) > least))
-
-    parsed = found.withColumn("r", once(whole, read)).where("r IS NOT NULL").select("file", "strategy", "line_no", "currency", "r.*")
+    w, there = F.col("whole"), F.col("booking").isNotNull() & F.col("amount").isNotNull()
+    found = found.withColumn("whole", whole)
+    found = found.withColumns({"day": _by_form(DATE_FORMS, date_form, lambda p: F.regexp_extract(w, p, 1)), "size": _by_form(AMOUNT_FORMS, amount_form, lambda p: F.regexp_extract(w, p, 1))})
+    found = found.withColumn("day_parts", date_parts(F.col("day")))
+    found = found.withColumns({"booking": _date_of(F.col("day_parts"), date_form), "amount": foreign_amount(F.col("size"), amount_form)})
+    # one after the other, so that each has a pattern of its form only
+    found = found.withColumn("own", F.when(there, _by_form(DATE_FORMS, date_form, lambda p: without(w, p))))
+    found = found.withColumn("own", _by_form(AMOUNT_FORMS, amount_form, lambda p: without(F.col("own"), p)))
+    rest = F.when(F.col("strategy") == "table", joined_rest())
+    found = found.withColumn("rest", F.when(there, rest))
+    found = found.withColumn("description", collapse(F.concat_ws(" ", F.regexp_replace("own", "[€$£¥₹₱₦]+", ""), F.nullif("rest", F.lit("")))))
+    d = F.col("description")
+    least = F.when(F.col("strategy") == "block", 3).otherwise(2)
+    parsed = told(found, result(F.col("booking"), F.col("booking"), F.col("amount"), d, w, F.length(d) > least), "file", "strategy", "line_no", "currency")
     return distinct(parsed)
 
 

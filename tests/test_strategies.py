@@ -87,7 +87,8 @@ def test_long_documents_and_null_lines(spark):
 
 def test_a_reading_is_made_once_a_block(spark):
     text = lines(spark, "02.05.2024 Kaffee 3,00")
-    for df in (st.german_readings(text, 2024),):
+    forms = text.withColumns({"date_form": F.lit("DD_MM_YYYY"), "amount_form": F.lit("DOT_DECIMAL"), "currency": F.lit("EUR")})
+    for df in (st.german_readings(text, 2024), st.international_readings(forms)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert not [x for x in plan.split("\n") if "Filter" in x and "regexp_" in x]  # a filter that has to make it to see whether it is one
 
