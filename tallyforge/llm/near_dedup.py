@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import SPACED, Words, cut, give_back, mix, segments, spread_join, words
 from tallyforge.llm.components import components
 
+#: Places of signatures that shingles permute at once, unless one document has more: short documents keep them all open.
+PERMUTED = 4 << 20
 _U = np.uint64
 _DOC_BITS = _U(54)
 _LOW = _U((1 << 54) - 1)
@@ -98,6 +100,16 @@ def superminhash(items: np.ndarray, doc: np.ndarray, docs: int, places: int) ->
     return sig.reshape(docs, places)
 
 
+def signatures(items: np.ndarray, n: np.ndarray, places: int) -> np.ndarray:
+    """``superminhash`` of documents of ``n`` items each, that stand in order, for some documents at a time."""
+    upto, i, out = np.append(0, np.cumsum(n)), 0, [np.zeros((0, places), np.uint64)]
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + PERMUTED // places, "right")) - 1)
+        out.append(superminhash(items[upto[i] : upto[j]], np.repeat(np.arange(j - i), n[i:j]), j - i, places))
+        i = j
+    return np.concatenate(out)
+
+
 def band_plan(percent: int, rows: int = 5, missed: float = 1e-9) -> int:
     """Bands of ``rows`` rows such that a pair just at the threshold shares none with a chance of ``missed`` at most."""
     return max(1, math.ceil(math.log(missed) / math.log(1 - min(0.999999, percent / 100) ** rows)))
@@ -111,14 +123,13 @@ def _sign(size: int, bands: int, rows: int):
                 found = words(texts[i:j], SPACED, lower=True)
                 hashes, doc = _runs(found, size)
                 items = np.unique((doc.astype(np.uint64) << _DOC_BITS) | (hashes >> _U(10)))
-                doc = (items >> _DOC_BITS).astype(np.int64)
+                n = np.bincount((items >> _DOC_BITS).astype(np.int64), minlength=j - i)
                 items = mix(items & _LOW)
-                n = np.bincount(doc, minlength=j - i)
                 line, start, end = found.joined()
                 start, end = np.append(start, len(line)), np.append(0, end)
                 own = zip(start[found.bounds[:-1]].tolist(), end[found.bounds[1:]].tolist(), strict=True)
                 class_of = np.frombuffer(b"".join(hashlib.blake2b(line[x:y], digest_size=16).digest() for x, y in own), np.int64).reshape(-1, 2)
-                sig = superminhash(items, doc, j - i, bands * rows).reshape(j - i, bands, rows)
+                sig = signatures(items, n, bands * rows).reshape(j - i, bands, rows)
                 key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (j - i, bands)).copy()
                 for r in range(rows):
                     key = mix(key * _U(0x9E3779B97F4A7C15) + sig[:, :, r])

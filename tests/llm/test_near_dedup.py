@@ -1,6 +1,8 @@
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyforge.llm import near_dedup
@@ -109,3 +111,18 @@ def test_empty_table_and_plan(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     bands = near_dedup.band_plan(85)
     assert (1 - 0.85**5) ** bands <= 1e-9
+
+
+def test_signatures_of_many_short_documents_need_little_memory():
+    """Documents of fewer shingles than places keep all their permutations open: they are made for some documents at a time."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 150)) for _ in range(1000)] + ["", "one two"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc", "text"])
+    sign = near_dedup._sign(5, 53, 5)
+    tracemalloc.start()
+    whole = pa.Table.from_batches(sign([batch])).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    for i in (0, 1, 500, 999, 1000, 1001):
+        assert pa.Table.from_batches(sign([batch.slice(i, 1)])).to_pylist() == [whole[i]]
