@@ -9,7 +9,8 @@ spread that held-out rule-labelled URLs show.
 
 All of it is DataFrame expressions.  A position's value depends on its longest run alone, so
 the models are asked once for each different run.  Tables are broadcast only up to
-``BROADCAST_ROWS``, and joined by shuffle beyond.
+``BROADCAST_ROWS``, counted, and joined by shuffle beyond: Spark's own estimate is that of
+compressed files, which a row for each character outgrows many times.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 ORDER = 4
 SMOOTHING = 4.0
 CHARACTERS = 256  # of the uniform distribution that the shortest context falls back on
-#: Largest tables of runs (a row is below 200 bytes) that are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Largest tables of runs (a row is below 200 bytes) that are broadcast, of which the driver holds dozens; larger ones are joined by shuffle.
+BROADCAST_ROWS = 10_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,7 +65,7 @@ def _positions(urls: DataFrame, order: int) -> DataFrame:
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
 def _sizes(grams: DataFrame) -> dict[int, int]:
@@ -125,7 +126,7 @@ def score(urls: DataFrame, model: tuple[DataFrame, DataFrame, float], order: int
         value = F.coalesce(f"ratio{k}", value)
     values = cut(runs.select("run", value.alias("value")), "values")
     means = each.join(_small(values, values.count()), "run").groupBy("row").agg(F.avg("value").alias("score"))  # a character carries a number, not its URL's columns
-    return rows.drop("url").join(means, "row").drop("row")
+    return rows.drop("url").join(means.hint("merge"), "row").drop("row")
 
 
 def fold(id_col: str) -> Column:

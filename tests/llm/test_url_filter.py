@@ -106,3 +106,14 @@ def test_a_url_of_many_characters(spark):
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert len(got) == 62 and {got[100], got[101]} <= {"allow", "block"}
     assert time.perf_counter() - began < 90
+
+
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)
+    plans, cut = [], url_filter.cut
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(url_filter, "cut", lambda df, purpose: (planned(df), cut(df, purpose))[1])
+    learn = spark.createDataFrame([(u, True) for u in GOOD] + [(u, False) for u in POOR], "url string, accepted boolean")
+    planned(url_filter.score(learn.select("url"), url_filter.train(learn)))
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 8
+    assert not [p for p in plans if "Broadcast" in p]
