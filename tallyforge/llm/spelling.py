@@ -7,7 +7,8 @@ bounded by one verifies it within the join, so that only links leave it.
 
 A segment that more than ``HOT`` words share is partitioned once more: what remains of the words holds the edit, so one half of that
 is as it was too, and the key grows by it.  Keys that still have a large share of the rows are dealt to several tasks.
-All of it is DataFrame expressions.
+All of it is DataFrame expressions.  Tables that grow with the words are joined by shuffle, as Spark takes exploded ones to be as small
+as the compressed file of words, and would send them through the driver.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def near_pairs(words: DataFrame, hot: int = HOT) -> DataFrame:
     many = cut(index.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*key), "segments")
     one = (F.levenshtein(F.col("a"), F.col("b"), 1) == 1) & ((F.length("a") < F.length("b")) | (F.col("a") < F.col("b")))
     few = index.join(many, key, "left_anti").withColumnRenamed("word", "a").drop("rest")
-    found = few.join(probe.withColumnRenamed("word", "b").drop("rest"), key).where(one).select("a", "b")
+    found = few.join(probe.withColumnRenamed("word", "b").drop("rest").hint("merge"), key).where(one).select("a", "b")
     fine = []  # hashes of the longer keys deal the rows; the keys themselves are compared
     for side, alias in ((index, "a"), (probe, "b")):
         again = side.join(many, key, "left_semi").withColumnRenamed("word", alias)
@@ -98,10 +99,10 @@ def near_pairs(words: DataFrame, hot: int = HOT) -> DataFrame:
 def forms(words: DataFrame, pairs: DataFrame, times: int = 2) -> DataFrame:
     """``words`` (``word``, ``n``) with ``n_near``, ``form`` and ``form_n``: the near word of largest n, the smallest of equals, if that is ``times`` a word's own n."""
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near")))
-    known = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    known = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), "near")
     best = known.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("by"), "near")).alias("best"))
     better = -F.col("best.by") >= times * F.col("n")
-    return words.join(best, "word", "left").select(
+    return words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(better, F.col("best.near")).alias("form"), F.when(better, -F.col("best.by")).alias("form_n")
     )
 
@@ -115,7 +116,7 @@ def roots(words: DataFrame) -> DataFrame:
     step = cut(words.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "roots")
     for _ in range(6):
         ahead = step.select(F.col("word").alias("root"), F.col("root").alias("ahead"))
-        step = cut(step.join(ahead, "root", "left").select("word", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moved")), "roots")
+        step = cut(step.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moved")), "roots")
         if step.where("moved").isEmpty():
             break
         step = step.drop("moved")
@@ -129,4 +130,4 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """
     words = cut(vocabulary(docs, id_col, text_col, least_chars, least_n, every), "words")
     known = cut(forms(words, cut(near_pairs(words, hot), "links")), "forms")
-    return known.join(roots(known), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return known.join(roots(known).hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

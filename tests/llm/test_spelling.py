@@ -82,3 +82,16 @@ def test_chains_reach_their_last_form(spark):
 
 def test_empty_table(spark):
     assert found(spelling.variants(spark.createDataFrame([], "doc_id long, text string"))) == []
+
+
+def test_words_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    cut = spelling.cut
+    monkeypatch.setattr(spelling, "cut", lambda df, purpose: (planned(df), cut(df, purpose))[1])
+    planned(spelling.variants(spark.createDataFrame(corpus(), "doc_id long, text string"), hot=3))
+    # what is broadcast are segments that many words share, and keys of many rows: those anti, semi and left joins only
+    joins = [line for p in plans for line in p.splitlines() if "Join" in line]
+    assert sum("SortMergeJoin" in line for line in joins) >= 6
+    assert not [line for line in joins if "Broadcast" in line and "Inner" in line or "n_near" in line and "Broadcast" in line]
+    assert not [p for p in plans if "ahead" in p and "Broadcast" in p]
