@@ -63,8 +63,14 @@ def cells(line: Column, delimiter: Column) -> Column:
 
 def column_of(header: Column, names: Sequence[str]) -> Column:
     """Place (from 1) of the first header that contains the first fitting name; null if none does."""
+    return _place(F.transform(header, F.lower), names)
+
+
+def _place(low: Column, names: Sequence[str]) -> Column:
+    """``column_of`` of lower-cased headers."""
     def place(name: str) -> Column:
-        return F.nullif(F.array_position(F.transform(header, lambda h: F.lower(h).contains(name)), True), F.lit(0))
+        has = lambda h: h.contains(name)
+        return F.when(F.exists(low, has), F.array_position(F.transform(low, has), True))
 
     return F.coalesce(*map(place, names))
 
@@ -99,7 +105,8 @@ _USABLE, _COMPLETE = "at_date IS NOT NULL AND at_amount IS NOT NULL", "booking_d
 
 def with_places(header: DataFrame, headers: Mapping[str, Sequence[str]]) -> DataFrame:
     """``header`` (``names``) with the place of each field as ``at_<field>``."""
-    return header.withColumns({f"at_{f}": column_of(F.col("names"), n) for f, n in headers.items()})
+    low = header.withColumn("low", F.transform("names", F.lower))  # once for all fields
+    return low.withColumns({f"at_{f}": _place(F.col("low"), n) for f, n in headers.items()}).drop("low")
 
 
 def problem() -> Column:

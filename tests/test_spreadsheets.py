@@ -1,5 +1,8 @@
 import datetime
+import io
+import random
 import zipfile
+import zlib
 
 from tallyforge.operators import pages
 from tallyforge.sources import spreadsheets
@@ -49,3 +52,48 @@ def test_a_long_sheet_comes_in_parts(spark, tmp_path):
     rows, status = spreadsheets.read_workbooks(spark, str(tmp_path))
     assert [(r.place, r.amount) for r in rows.orderBy("place").collect()] == [(i - 1, float(i)) for i in range(2, n + 2)]
     assert {r.file[-6:]: (r.success, r.rows, r.statement_period) for r in status.collect()} == {"a.xlsx": (True, n, "JAN 2024 - JAN 2024"), "b.xlsx": (True, 0, None)}
+
+
+def archives():
+    """Archives of several makes, and damaged ones."""
+    held, draw = [], random.Random(4)
+    for method in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2):
+        for comment, name, streamed in ((b"", "xl/a.xml", False), (b"said", "xl/a.xml", False), (b"", "xl/\u00e4.xml", False), (b"", "xl/a.xml", True)):
+            out = io.BytesIO()
+            if streamed:
+                out.seekable = lambda: False
+            with zipfile.ZipFile(out, "w", method) as z:
+                z.comment = comment
+                for n, text in ((name, "x" * 300), ("xl/b.xml", ""), ("xl/c.xml", "\u00e4bc"), ("xl/c.xml", "again")):
+                    z.writestr(n, text)
+            held.append(out.getvalue())
+    held += [b"before" + held[0], held[0] + b"behind", b"", held[0][:40]]
+    for whole in held[:8]:
+        for _ in range(150):
+            damaged = bytearray(whole)
+            damaged[draw.randrange(len(whole))] ^= 1 << draw.randrange(8)
+            held.append(bytes(damaged))
+    return held
+
+
+def outcome(open_archive, names, read):
+    try:
+        book = open_archive()
+        return {n: read(book, n) for n in names(book)}
+    except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, OSError, ValueError, zlib.error) as e:
+        return type(e)
+
+
+def test_archives_are_read_as_zipfile_reads_them():
+    for content in archives():
+        want = outcome(lambda: zipfile.ZipFile(io.BytesIO(content)), lambda z: list(z.NameToInfo), lambda z, n: z.read(n))
+        assert outcome(lambda: spreadsheets._Archive(content), lambda z: list(z.parts), lambda z, n: z.read(n)) == want
+
+
+def test_plain_archives_are_taken_from_their_bytes(spark, monkeypatch):
+    row = spreadsheets.written_workbooks(spark, "/root/testdata/sf0.001").where("length(content) > 40").first()
+    with zipfile.ZipFile(io.BytesIO(bytes(row.content))) as z:
+        assert z.testzip() is None and z.read("xl/worksheets/sheet7.xml").startswith(b"<worksheet")
+        assert len(z.namelist()) == 6
+    monkeypatch.setattr(zipfile, "ZipFile", None)
+    assert spreadsheets.first_sheet(bytes(row.content))[0] == ["Datum", "Betrag", "", "Text"]
